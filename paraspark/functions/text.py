@@ -16,6 +16,11 @@ from paraspark.constants import STOP_MARKERS
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 # The same class for RE2 (DuckDB oracle SQL); RE2's \s lacks \x0b.
 WS_RE2 = r"[\t\n\x0b\f\r\x1c-\x1f\x85\p{Z}]"
+# The same set spelled out (29 code points), for char-set functions that need no regex:
+# btrim strips them from both ends, translate maps them all to a plain space.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(col) -> Column:
@@ -23,12 +28,14 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """Python ``str.strip()``: drop leading and trailing whitespace."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: drop leading and trailing whitespace (char-set trim, no regex)."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def collapse_ws(col) -> Column:
-    return F.regexp_replace(_c(col), f"{WS}+", " ")
+    """Every whitespace run becomes one space: map the set to spaces, then squeeze spaces."""
+    spaced = F.translate(_c(col), WS_CHARS, " " * len(WS_CHARS))
+    return F.regexp_replace(spaced, " {2,}", " ")
 
 
 def flatten_text(col) -> Column:
@@ -42,9 +49,14 @@ def normalize_text(col) -> Column:
 
 
 def clean_prediction(col) -> Column:
-    """Cut a generation at the earliest stop marker, then strip."""
-    alternatives = "|".join(m.replace("|", r"\|") for m in STOP_MARKERS)
-    return strip(F.regexp_replace(_c(col), f"(?s)(?:{alternatives}).*$", ""))
+    """Cut a generation at the earliest stop marker, then strip (plain substring search)."""
+    x = _c(col)
+    cut = None
+    for marker in STOP_MARKERS:
+        pos = F.instr(x, marker)
+        pos = F.when(pos > 0, pos)
+        cut = pos if cut is None else F.least(cut, pos)   # least skips nulls
+    return strip(F.when(cut.isNull(), x).otherwise(x.substr(F.lit(1), cut - 1)))
 
 
 def split_ws(col) -> Column:

@@ -9,7 +9,8 @@ intersections; they are computed as one aggregation job:
 3. ``groupBy(key, order, item)`` counts each side (map-side combined), ``least`` of the two
    counts is the bag overlap, and ``groupBy(key)`` folds the seven overlaps into one row.
 
-Steps 2-3 need no further shuffle: hash partitioning on the key already satisfies the
+Cases with equal normalised texts, or with an empty side, emit nothing: their overlaps follow
+from the lengths.  Steps 2-3 need no further shuffle: hash partitioning on the key already satisfies the
 clustering of both aggregations and of the join back to the cases.  Bag sizes never need
 counting - they follow from the text lengths.  Per-order F-scores are averaged with the same
 operation order as the definition, so values match it to the last bit in most rows; queries
@@ -59,25 +60,33 @@ def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
     """One row per (key, order, item, side) occurrence; ``cases`` carries ``__np``/``__nr``/``__scored``."""
     # unscored cases emit empty texts and vanish after the generator, so this branch reads the
     # very same exchange as the join back to the cases (exchange reuse: one shuffle)
-    scored = F.col("__scored")
+    # Only cases whose two non-empty texts differ need their bags: equal texts overlap fully and
+    # an empty side overlaps nothing, both known from the lengths alone.
+    scored = F.col("__scored") & (F.col(_NP) != "") & (F.col(_NR) != "") & (F.col(_NP) != F.col(_NR))
     sides = cases.select(*key_cols, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.when(scored, F.col(_NP)).otherwise(F.lit("")).alias("t")),
         F.struct(F.lit(1).alias("side"), F.when(scored, F.col(_NR)).otherwise(F.lit("")).alias("t")),
     )).alias("s")).select(*key_cols, F.col("s.side").alias("side"), F.col("s.t").alias("t"))
     sides = sides.where(F.col("t") != "")
-    # all overlapping windows of n characters in one linear regex pass (a positional substring
-    # would rescan the UTF-8 string from its start for every window); a text shorter than n is
-    # one gram.  Each item is tagged with its order and everything is exploded once.
+    # One linear regex pass per text yields, at every position, the window of the next
+    # ``max_order`` characters (shorter near the end); the n-gram starting there is the window's
+    # n-character prefix.  (A positional substring would rescan the UTF-8 text from its start
+    # for every gram.)  A text shorter than n contributes itself once, at position 1.
     t = F.col("t")
-    tagged = []
+    parts = []
     if tokens:
-        tagged.append(F.transform(F.split(t, " "), _tag(0)))
+        parts.append(sides.select(*key_cols, "side", F.inline(F.transform(F.split(t, " "), _tag(0)))))
     if chars:
-        for n in range(1, max_order + 1):
-            windows = F.when(F.length(t) < n, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-            tagged.append(F.transform(windows, _tag(n)))
-    all_items = tagged[0] if len(tagged) == 1 else F.concat(*tagged)
-    return sides.select(*key_cols, "side", F.inline(all_items))
+        windows = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{1,{max_order}}}))"), F.lit(1))
+        pos = sides.select(*key_cols, "side", F.length(t).alias("len"), F.posexplode(windows).alias("i", "w"))
+        grams = pos.select(*key_cols, "side", "len", "i", "w", F.inline(F.array(*[
+            F.struct(F.lit(n).alias("ord"), F.left(F.col("w"), F.lit(n)).alias("item")) for n in range(1, max_order + 1)])))
+        keep = (F.length("w") >= F.col("ord")) | ((F.col("i") == 0) & (F.col("len") < F.col("ord")))
+        parts.append(grams.where(keep).select(*key_cols, "side", "ord", "item"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bag_overlap(items: DataFrame, key_cols: list, orders) -> DataFrame:
@@ -137,15 +146,16 @@ def score_predictions(df: DataFrame, key, pred: str = "prediction", ref: str = "
     cols = []
     if "exact_match" in metrics:
         cols.append(F.when(scored, (F.col(_NP) == F.col(_NR)).cast("int")).alias("exact_match"))
+    same = F.col(_NP) == F.col(_NR)
     if want_tok:
-        ov0 = F.coalesce(F.col("__ov0"), F.lit(0)).cast("double")
+        ov0 = F.when(same, _n_tokens(F.col(_NP))).otherwise(F.coalesce(F.col("__ov0"), F.lit(0)).cast("double"))
         cols.append(F.when(scored, _token_f1(ov0, _n_tokens(F.col(_NP)), _n_tokens(F.col(_NR)))).alias("token_f1"))
     if want_chr:
         lp, lr = F.length(_NP), F.length(_NR)
         beta2 = beta * beta
         total = None
         for o in range(1, max_order + 1):
-            ovo = F.coalesce(F.col(f"__ov{o}"), F.lit(0)).cast("double")
+            ovo = F.when(same, _bag_size(lp, o)).otherwise(F.coalesce(F.col(f"__ov{o}"), F.lit(0)).cast("double"))
             s = _fbeta(ovo, _bag_size(lp, o), _bag_size(lr, o), beta2)
             total = s if total is None else total + s
         cols.append(F.when(scored, total / F.lit(float(max_order))).alias("chrf_like"))
