@@ -56,13 +56,15 @@ def _tag(order: int):
 
 
 def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
-              tokens: bool = True, chars: bool = True) -> DataFrame:
+              tokens: bool = True, chars: bool = True, skip_trivial: bool = False) -> DataFrame:
     """One row per (key, order, item, side) occurrence; ``cases`` carries ``__np``/``__nr``/``__scored``."""
     # unscored cases emit empty texts and vanish after the generator, so this branch reads the
     # very same exchange as the join back to the cases (exchange reuse: one shuffle)
-    # Only cases whose two non-empty texts differ need their bags: equal texts overlap fully and
-    # an empty side overlaps nothing, both known from the lengths alone.
-    scored = F.col("__scored") & (F.col(_NP) != "") & (F.col(_NR) != "") & (F.col(_NP) != F.col(_NR))
+    # Scoring needs bags only for cases whose two non-empty texts differ (``skip_trivial``):
+    # equal texts overlap fully and an empty side overlaps nothing, both known from the lengths.
+    scored = F.col("__scored")
+    if skip_trivial:
+        scored = scored & (F.col(_NP) != "") & (F.col(_NR) != "") & (F.col(_NP) != F.col(_NR))
     sides = cases.select(*key_cols, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.when(scored, F.col(_NP)).otherwise(F.lit("")).alias("t")),
         F.struct(F.lit(1).alias("side"), F.when(scored, F.col(_NR)).otherwise(F.lit("")).alias("t")),
@@ -139,7 +141,7 @@ def score_predictions(df: DataFrame, key, pred: str = "prediction", ref: str = "
     if want_tok or want_chr:
         base = base.repartition(n, *keys)
         orders = ([0] if want_tok else []) + (list(range(1, max_order + 1)) if want_chr else [])
-        items = bag_items(base, keys, max_order, tokens=want_tok, chars=want_chr)
+        items = bag_items(base, keys, max_order, tokens=want_tok, chars=want_chr, skip_trivial=True)
         ov = bag_overlap(items, keys, orders)
         out = base.join(ov, keys, "left")
     scored = F.col("__scored")
