@@ -50,11 +50,6 @@ def char_ngrams(text, n: int) -> Column:
              .otherwise(grams))
 
 
-def _tag(order: int):
-    """One-argument lambda for ``transform`` (a second parameter would receive the index)."""
-    return lambda g: F.struct(F.lit(order).alias("ord"), g.alias("item"))
-
-
 def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
               tokens: bool = True, chars: bool = True, skip_trivial: bool = False) -> DataFrame:
     """One row per (key, order, item, side) occurrence; ``cases`` carries ``__np``/``__nr``/``__scored``."""
@@ -77,7 +72,7 @@ def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
     t = F.col("t")
     parts = []
     if tokens:
-        parts.append(sides.select(*key_cols, "side", F.inline(F.transform(F.split(t, " "), _tag(0)))))
+        parts.append(sides.select(*key_cols, "side", F.lit(0).alias("ord"), F.explode(F.split(t, " ")).alias("item")))
     if chars:
         windows = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{1,{max_order}}}))"), F.lit(1))
         pos = sides.select(*key_cols, "side", F.length(t).alias("len"), F.posexplode(windows).alias("i", "w"))

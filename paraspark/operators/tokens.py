@@ -13,11 +13,15 @@ def encode(df: DataFrame, tokenizer=None, max_len: int = DEFAULT_MAX_SEQ_LEN,
            messages: str = "messages") -> DataFrame:
     """Encode the full conversation and its prompt part (all but the last turn, with a generation
     cue), each cut to ``max_len`` tokens, then build the label mask (F1, F2)."""
-    tok = tokenizer or whitespace_tokenizer()
     m = F.col(messages)
     prompt_msgs = F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))
-    full_ids = truncate(tok(chat_markup(m)), max_len)
-    prompt_ids = truncate(tok(chat_markup(prompt_msgs, generation_cue=True)), max_len)
+    full_text, prompt_text = chat_markup(m), chat_markup(prompt_msgs, generation_cue=True)
+    if tokenizer is None:
+        # the built-in tokenizer can stop at the cut instead of hashing every token first
+        tok = whitespace_tokenizer()
+        full_ids, prompt_ids = tok(full_text, max_len), tok(prompt_text, max_len)
+    else:
+        full_ids, prompt_ids = truncate(tokenizer(full_text), max_len), truncate(tokenizer(prompt_text), max_len)
     out = df.withColumn("input_ids", full_ids).withColumn("__prompt_ids", prompt_ids)
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     out = out.withColumn("labels", mask_labels(F.col("input_ids"), F.col("__prompt_ids")))
