@@ -127,7 +127,22 @@ def score_predictions(df: DataFrame, key, pred: str = "prediction", ref: str = "
                       metrics=("exact_match", "token_f1", "chrf_like"), max_order: int = CHRF_MAX_ORDER,
                       beta: float = CHRF_BETA, num_partitions: int | None = None) -> DataFrame:
     """All metrics, one row per case (H6); metrics are null when the reference is empty."""
-    keys = _keys(key)
+    user_keys = _keys(key)
+    # Internal join keys are declared non-null (coalesce with a typed sentinel).  Otherwise the
+    # left join infers ``isnotnull(key)`` on the aggregation side only, its input plan differs
+    # from the case side, and the case texts would be shuffled twice instead of once (exchange
+    # reuse).  Case keys must identify cases; null keys would share one bag.
+    keys, sentinel_cols = [], []
+    for i, k in enumerate(user_keys):
+        dtype = df.schema[k].dataType.simpleString()
+        sentinel = {"bigint": -(2 ** 63), "int": -(2 ** 31), "string": "\u0000"}.get(dtype)
+        if df.schema[k].nullable and sentinel is not None:
+            keys.append(f"__key{i}")
+            sentinel_cols.append(F.coalesce(F.col(k), F.lit(sentinel).cast(dtype)).alias(f"__key{i}"))
+        else:
+            keys.append(k)
+    if sentinel_cols:
+        df = df.select("*", *sentinel_cols)
     want_tok = "token_f1" in metrics
     want_chr = "chrf_like" in metrics
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -158,7 +173,7 @@ def score_predictions(df: DataFrame, key, pred: str = "prediction", ref: str = "
             s = _fbeta(ovo, _bag_size(lp, o), _bag_size(lr, o), beta2)
             total = s if total is None else total + s
         cols.append(F.when(scored, total / F.lit(float(max_order))).alias("chrf_like"))
-    keep = [c for c in df.columns if c not in metrics]
+    keep = [c for c in df.columns if c not in metrics and not c.startswith("__key")]
     return out.select(*keep, *cols)
 
 

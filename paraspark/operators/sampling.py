@@ -79,14 +79,14 @@ def sample_balanced(df: DataFrame, key, n: int, by: str = "direction", seed: int
     groups = groups.withColumn("__needed", F.least(F.lit(n).cast("bigint"), F.col("__total")) - F.sum("__quota").over(everything))
 
     cand = cand.join(groups.select(by, "__quota", "__needed"), by)
-    chosen = cand.where(F.col("__rn") <= F.col("__quota"))
-    out = chosen
-    if top_up:
-        rest = cand.where(F.col("__rn") > F.col("__quota"))
-        rest = (rest.withColumn("__trn", F.row_number().over(Window.orderBy("__h", *keys)))
-                    .where(F.col("__trn") <= F.col("__needed")).drop("__trn"))
-        out = chosen.unionByName(rest)
-    return out.drop("__h", "__rn", "__quota", "__needed")
+    chosen = F.col("__rn") <= F.col("__quota")
+    if not top_up:
+        return cand.where(chosen).drop("__h", "__rn", "__quota", "__needed")
+    # one window over the bounded candidates ranks the not-chosen rows by draw; chosen rows and
+    # the first ``needed`` of the rest are kept in the same pass
+    rest_rank = F.row_number().over(Window.partitionBy(chosen.alias("__c")).orderBy("__h", *keys))
+    out = cand.withColumn("__trn", rest_rank).where(chosen | (F.col("__trn") <= F.col("__needed")))
+    return out.drop("__h", "__rn", "__quota", "__needed", "__trn")
 
 
 def remaining(df: DataFrame, chosen: DataFrame, key) -> DataFrame:
