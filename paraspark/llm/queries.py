@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from paraspark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from paraspark.llm.mixing import OP8_SQL, op8_mixing
+from paraspark.llm.ngram_join import OP7_SQL, op7_ngram_join
 from paraspark.llm.url_filters import OP6_SQL, op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_url_filters, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_url_filters, op7_ngram_join, op8_mixing)}
 
-SQL = {"op3_exact_dedup": OP3_SQL, "op6_url_filters": OP6_SQL, "op8_mixing": OP8_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op6_url_filters": OP6_SQL, "op7_ngram_join": OP7_SQL,
+       "op8_mixing": OP8_SQL}

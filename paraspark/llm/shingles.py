@@ -135,7 +135,7 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return words
     if n < width:
-        return mix(np.asarray([(words * _MULT[:n]).sum(dtype=_U) + _U(n) * _MULT[-1]], dtype=_U))
+        return mix((words * _MULT[:n]).sum(dtype=_U, keepdims=True) + _MULT[-n:-n + 1 or None])
     found = np.sort(grams(words, width))
     if n == width:
         return found
