@@ -1,6 +1,6 @@
 """Vectorised word and shingle hashes over Arrow string batches.
 
-Words are maximal runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``; A-Z is lower-cased.  A whole
+Words are maximal runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``; A-Z may count as a-z.  A whole
 slice of texts is hashed at once in numpy: a polynomial hash per word from one running sum over
 the bytes (the multiplier is odd, so positions can be divided out modulo 2**64), then a mixed
 sum over ``width`` neighbouring words per shingle.  Slices hold about ``SLICE_BYTES`` bytes, and a
@@ -21,7 +21,8 @@ _BASE = 0x9E3779B97F4A7C15          # odd multiplier of the byte polynomial
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _RNG = np.random.RandomState(20240229)
 _BYTE = _RNG.randint(0, 1 << 62, size=256, dtype=np.int64).astype(_U) * _U(4) + _U(1)
-_BYTE[65:91] = _BYTE[97:123]        # A-Z hash as a-z
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]      # A-Z hash as a-z
 _MULT = _RNG.randint(0, 1 << 62, size=64, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,7 +56,7 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word in ``raw``; ``breaks`` are offsets at which a word always ends."""
     n = len(raw)
     if n == 0:
@@ -70,7 +71,7 @@ def _words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     last[cut - 1] |= inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last)
     up, down = _POWERS.upto(n + 1)
-    terms = _BYTE[raw]
+    terms = table[raw]
     terms *= up[:n]
     run = np.cumsum(terms, dtype=_U)
     total = run[end]
@@ -78,7 +79,7 @@ def _words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, mix(total * down[start] + (end - start).astype(_U))
 
 
-def _long_words(raw: np.ndarray) -> np.ndarray:
+def _long_words(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Word hashes of one long text, hashed in pieces that end at white space."""
     out, at = [], 0
     while at < len(raw):
@@ -89,13 +90,14 @@ def _long_words(raw: np.ndarray) -> np.ndarray:
                 to += int(gap[0])
                 break
             to = min(len(raw), to + SLICE_BYTES)
-        out.append(_words(raw[at:to], np.empty(0, np.int64))[1])
+        out.append(_words(raw[at:to], np.empty(0, np.int64), table)[1])
         at = to
     return np.concatenate(out)
 
 
-def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The hashes of the words of each text in order; nothing for null or empty texts."""
+def word_hashes(texts: pa.Array, fold: bool = True) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text in order, none for null or empty texts; ``fold``: A-Z as a-z."""
+    table = _FOLDED if fold else _BYTE
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     texts = texts.fill_null(b"")
     if len(texts) == 0:
@@ -108,10 +110,10 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
         to = max(at + 1, int(np.searchsorted(offsets, base + SLICE_BYTES, side="right")) - 1)
         raw = data[base:offsets[to]]
         if to == at + 1 and len(raw) > SLICE_BYTES:
-            yield _long_words(raw)
+            yield _long_words(raw, table)
         else:
             breaks = offsets[at:to + 1] - base
-            start, hashes = _words(raw, breaks)
+            start, hashes = _words(raw, breaks, table)
             cuts = np.searchsorted(start, breaks)
             for k in range(to - at):
                 yield hashes[cuts[k]:cuts[k + 1]]
