@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import sized_broadcast, table
+from paraspark.llm.common import sized_broadcast, stored, table
 
 BROADCAST_RULES = 200_000
 DEFAULT_VERDICT = "allow"   # of urls that no rule fits
@@ -85,7 +85,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     rule = F.concat("host", "path")
     best = hits.groupBy("url_host", "head").agg(F.max(F.struct(
         F.length(rule).alias("n"), rule.alias("rule"), F.col("action"))).alias("best"))
-    judged = heads.join(best, ["url_host", "head"], "left")
+    best = stored(best, "url-verdicts")     # distinct hosts and heads that a rule fits
+    judged = heads.join(sized_broadcast(best, best.count(), BROADCAST_RULES), ["url_host", "head"], "left")
     return judged.select(F.col("id").alias(id_col), F.col("url_host").alias("host"),
                          F.col("url_path").alias("path"), F.col("best.rule").alias("rule"),
                          F.coalesce("best.action", F.lit(default)).alias("verdict"))
