@@ -38,7 +38,7 @@ def _by_direction(direction, mapping: dict) -> Column:
     expr = None
     for key, value in mapping.items():
         expr = F.when(d == key, F.lit(value)) if expr is None else expr.when(d == key, F.lit(value))
-    return expr
+    return expr.otherwise(F.raise_error(F.concat(F.lit("unknown direction: "), F.coalesce(d, F.lit("null")))).cast("string"))
 
 
 def source_language(direction) -> Column:

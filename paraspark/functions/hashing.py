@@ -27,13 +27,3 @@ def seeded_hash(seed: int, *key_cols) -> Column:
     """Uniform integer in [0, 2^32) drawn from ``seed`` and the key column(s)."""
     text = F.concat(F.lit(str(int(seed))), F.lit(":"), _key_string(*key_cols))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
-def seeded_uniform(seed: int, *key_cols) -> Column:
-    """The same draw scaled to [0, 1)."""
-    return seeded_hash(seed, *key_cols) / F.lit(float(HASH_SPACE))
-
-
-def oracle_hash_sql(seed: int, key_sql: str) -> str:
-    """DuckDB expression equal to :func:`seeded_hash` for a single key."""
-    return f"CAST('0x' || substr(md5('{int(seed)}:' || CAST({key_sql} AS VARCHAR)), 1, 8) AS BIGINT)"

@@ -59,10 +59,14 @@ def clean_prediction(col) -> Column:
     return strip(F.when(cut.isNull(), x).otherwise(x.substr(F.lit(1), cut - 1)))
 
 
-def split_ws(col) -> Column:
-    """``text.split()`` as an array column (empty text gives an empty array)."""
-    flat = flatten_text(col)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+def split_ws(col, most: int | None = None) -> Column:
+    """``text.split()`` as an array column (empty text gives an empty array), the first ``most`` tokens
+    only: splitting stops there and leaves the rest of the text alone."""
+    if most is None:
+        flat = flatten_text(col)
+        return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    text = F.translate(strip(col), WS_CHARS, " " * len(WS_CHARS))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(text, " +", most + 1), 1, most))
 
 
 def token_count(col) -> Column:

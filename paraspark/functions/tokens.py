@@ -19,9 +19,7 @@ DEFAULT_VOCAB = 1 << 20
 def whitespace_tokenizer(vocab: int = DEFAULT_VOCAB):
     """Whitespace tokens with hashed ids; ``max_len`` stops hashing once the cut is reached."""
     def tokenize(text: Column, max_len: int | None = None) -> Column:
-        tokens = split_ws(text)
-        if max_len is not None:
-            tokens = F.slice(tokens, 1, max_len)
+        tokens = split_ws(text, max_len)
         return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(vocab)).cast("int"))
     return tokenize
 

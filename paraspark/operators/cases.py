@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paraspark.constants import DIRECTIONS
 from paraspark.functions.chat import (
-    chat_example, prompt_simple, prompt_structured_messages, source_text_for, target_text_for,
+    chat_example, prompt_simple, prompt_structured_messages, source_text, source_text_for, target_text_for,
 )
 
 
@@ -20,7 +20,7 @@ def directions_for(bidirectional_or_direction) -> list:
     if bidirectional_or_direction is False or bidirectional_or_direction is None:
         return ["en-es"]
     if bidirectional_or_direction not in DIRECTIONS:
-        raise ValueError(f"Unsupported direction: {bidirectional_or_direction}")
+        raise ValueError(f"no such direction: {bidirectional_or_direction!r}")
     return [bidirectional_or_direction]
 
 
@@ -67,3 +67,14 @@ def with_case_messages(df: DataFrame, prompt_template: str = "structured") -> Da
     else:
         raise ValueError(f"Unknown prompt template: {prompt_template}")
     return df.withColumn("messages", msgs)
+
+
+def segment_columns(chat: DataFrame) -> DataFrame:
+    """Segment table of chat rows (D16): the optional columns or '', ``segment_id`` falling back to the
+    line number, the source text, and whatever else ``chat`` holds but its messages and raw line."""
+    names = ("segment_id", "accent", "youtube_id", "start_time", "duration")
+    there = {c: F.col(c) if c in chat.columns else F.lit(None).cast("string") for c in names}
+    other = [c for c in chat.columns if c not in (*names, "messages", "metadata", "raw")]
+    return chat.select(
+        F.coalesce(there["segment_id"], F.col("line_no").cast("string")).alias("segment_id"),
+        *[F.coalesce(there[c], F.lit("")).alias(c) for c in names[1:]], source_text("messages").alias("source_text"), *other)

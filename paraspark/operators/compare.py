@@ -32,23 +32,21 @@ def regression_gate(a: DataFrame, b: DataFrame, key, metric: str = "chrf_like",
                     improve: str = "en-es", guard: str = "es-en", digits: int = 6) -> DataFrame:
     """Accept run ``b`` only if ``improve`` gains and ``guard`` falls by at most ``tol``.
 
-    Means are taken over cases scored in both runs; the verdict is one row.
+    Means and ``n_cases`` are over the cases scored in both runs; the verdict, one row, is decided on
+    unrounded means, only the shown deltas are rounded.
     """
-    joined = compare_runs(a, b, key, metrics=(metric,))
+    joined = compare_runs(a, b, key, metrics=(metric,)).where(
+        F.col(f"{metric}_a").isNotNull() & F.col(f"{metric}_b").isNotNull())
     per_dir = joined.groupBy("direction").agg(
-        F.round(F.avg(f"{metric}_a"), digits).alias("mean_a"),
-        F.round(F.avg(f"{metric}_b"), digits).alias("mean_b"),
-        F.count(F.lit(1)).alias("n_cases"),
-    )
+        F.avg(f"{metric}_a").alias("mean_a"), F.avg(f"{metric}_b").alias("mean_b"), F.count(F.lit(1)).alias("n_cases"))
     delta = F.col("mean_b") - F.col("mean_a")
     return per_dir.agg(
-        F.max(F.when(F.col("direction") == improve, F.round(delta, digits))).alias("improve_delta"),
-        F.max(F.when(F.col("direction") == guard, F.round(delta, digits))).alias("guard_delta"),
-        F.sum("n_cases").alias("n_cases"),
-    ).withColumn(
-        "accepted",
-        F.coalesce((F.col("improve_delta") > 0) & (F.col("guard_delta") >= -F.lit(tol)), F.lit(False)),
-    )
+        F.max(F.when(F.col("direction") == improve, delta)).alias("up"),
+        F.max(F.when(F.col("direction") == guard, delta)).alias("down"),
+        F.coalesce(F.sum("n_cases"), F.lit(0)).alias("n_cases"),
+    ).select(
+        F.round("up", digits).alias("improve_delta"), F.round("down", digits).alias("guard_delta"), "n_cases",
+        F.coalesce((F.col("up") > 0) & (F.col("down") >= -F.lit(tol)), F.lit(False)).alias("accepted"))
 
 
 def same_cases(df: DataFrame, cases: DataFrame, key) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Row identity: dense numbering in a given order without a single-task window.
+"""Row identity: dense numbering without a single-task window.
 
-``row_number() OVER (ORDER BY ..)`` with no partition puts every row into one task.  Instead the
-frame is range-partitioned on the order columns, sorted inside each partition, and each row gets
-``offset(partition) + position in partition``.  Offsets come from a per-partition count - a table
-with one row per partition, so its broadcast size is bounded by the partition count, not the data.
+``row_number() OVER (ORDER BY ..)`` with no partition puts every row into one task.  Rows of files
+need no sort: a scan's rows are numbered by their place in a file block plus the rows of the blocks
+before it.  Rows of tables are numbered by their keys alone: the narrow key frame is
+range-partitioned, sorted and numbered with per-partition offsets, and joined back.
+Offsets have one row per block or partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraspark.session import ensure_checkpoint_dir
@@ -25,32 +26,53 @@ def _order_cols(order_cols):
 
 def with_row_index(df: DataFrame, order_cols, start: int = 0, name: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
-    """Dense index ``start, start+1, ..`` following ``order_cols`` (B1).
+    """Dense index ``start, start+1, ..`` following ``order_cols`` (B1), a unique key of column names.
 
-    ``order_cols`` should form a unique key so the numbering is deterministic.  The
-    range-partitioned, sorted frame is checkpointed to the shared checkpoint folder: the
-    counting pass and the numbering pass then read identical partitions (a recomputed range
-    exchange could sample different bounds), and a lost executor cannot renumber rows.
+    Only the key columns are sorted.  They are checkpointed to the shared checkpoint folder: the
+    counting pass and the numbering pass then read identical partitions (a recomputed range exchange
+    could sample different bounds), and a lost executor cannot renumber rows.
     """
-    cols = _order_cols(order_cols)
+    names = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    keys = df.select(*names)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *cols)
-                .sortWithinPartitions(*cols)
-                .checkpoint(eager=True)
-                .withColumn(_PID, F.spark_partition_id())
-                .withColumn(_MID, F.monotonically_increasing_id()))
+    ranged = (keys.repartitionByRange(n, *names).sortWithinPartitions(*names).checkpoint(eager=True)
+              .withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id()))
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: the running offset is computed on a table of at most n rows
-    offsets = counts.select(
-        _PID,
-        (F.sum("__n").over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1))).alias("__off"),
-    ).fillna(0, subset=["__off"])
+    offsets = counts.select(_PID, _offset(Window.orderBy(_PID)))
     # position inside a partition = monotonically_increasing_id - (pid << 33)
     pos = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    return (ranged.join(F.broadcast(offsets), _PID)
-                  .withColumn(name, (F.col("__off") + pos + F.lit(start)).cast("bigint"))
-                  .drop(_PID, _MID, "__off"))
+    numbered = (ranged.join(F.broadcast(offsets), _PID)
+                .select(*names, (F.col("__off") + pos + F.lit(start)).cast("bigint").alias(name)))
+    if set(df.columns) == set(names):
+        return numbered.select(*df.columns, name)
+    numbered = numbered.toDF(*(f"__key_{c}" for c in names), name)
+    same = [df[c].eqNullSafe(numbered[f"__key_{c}"]) for c in names]
+    return df.join(numbered, same).drop(*(f"__key_{c}" for c in names))
+
+
+def _offset(order) -> Column:
+    return F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off")
+
+
+def with_scan_index(scan: DataFrame, start: int = 0, name: str = "row_index", keep: Column | None = None) -> DataFrame:
+    """Dense index of the rows of a file scan, in order of file path and place in the file.
+
+    Lazy, without shuffle or checkpoint of rows: one pass counts rows per file block, the other adds the
+    counts of the blocks before.  A scan cuts its files alike in both passes.  ``keep`` selects the rows
+    that are numbered and returned.
+    """
+    block = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")]
+    tagged = scan.select("*", *block).withColumn(_MID, F.monotonically_increasing_id())
+    if keep is not None:
+        # numbered after the filter: ids inside a block then rise without gaps
+        tagged = scan.select("*", *block).where(keep).withColumn(_MID, F.monotonically_increasing_id())
+    counts = tagged.groupBy("__path", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min(_MID).alias("__first"))
+    offsets = counts.select("__path", "__start", "__first", _offset(Window.orderBy("__path", "__start")))
+    # one row per file block
+    return (tagged.join(F.broadcast(offsets), ["__path", "__start"])
+            .withColumn(name, (F.col("__off") + F.col(_MID) - F.col("__first") + F.lit(start)).cast("bigint"))
+            .drop("__path", "__start", "__first", "__off", _MID))
 
 
 def number_bounded(df: DataFrame, order_cols, name: str, start: int = 0) -> DataFrame:
@@ -60,13 +82,3 @@ def number_bounded(df: DataFrame, order_cols, name: str, start: int = 0) -> Data
     """
     cols = _order_cols(order_cols)
     return df.withColumn(name, (F.row_number().over(Window.orderBy(*cols)) - 1 + start).cast("bigint"))
-
-
-def restore_order(df: DataFrame, col: str = "source_index") -> DataFrame:
-    """Sort a sample back into source order (B2)."""
-    return df.orderBy(col)
-
-
-def renumber(df: DataFrame, order_cols, name: str = "sample_id", start: int = 0) -> DataFrame:
-    """Dense id after sampling (B3): the sample is bounded by its requested size."""
-    return number_bounded(df, order_cols, name=name, start=start)

@@ -1,19 +1,20 @@
 """Batch inference surface.
 
 Model loading and generation are the user's: a *predictor factory* is called once per task and
-returns ``predict(list[str]) -> list[str]``.  Rows reach it through ``mapInPandas`` in batches of
+returns ``predict(list[str]) -> list[str]``.  Texts reach it through a pandas UDF in batches of
 ``batch_size``; ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds what one Arrow batch
 holds.  Outputs pass through the stop-marker cleaning.
 """
 
 from __future__ import annotations
 
-from typing import Callable
+import warnings
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paraspark.constants import DEFAULT_BATCH_SIZE, ERROR_VALUE
 from paraspark.functions.chat import result_column
@@ -26,41 +27,44 @@ PredictorFactory = Callable[[], Predictor]
 
 def predict_batches(df: DataFrame, factory: PredictorFactory, text_col: str = "source_text",
                     batch_size: int = DEFAULT_BATCH_SIZE, out_col: str = "prediction") -> DataFrame:
-    """Append ``out_col`` with the cleaned prediction for every row; input columns are kept (G1)."""
-    schema = T.StructType(df.schema.fields + [T.StructField("__raw_prediction", T.StringType(), True)])
+    """Append ``out_col`` with the cleaned prediction for every row; input columns are kept (G1).
 
-    def run(batches):
+    Only the text column goes through Python.
+    """
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = factory()
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").tolist()
-            outs = []
+        for texts in batches:
+            texts, outs = texts.fillna("").tolist(), []
             for start in range(0, len(texts), batch_size):
                 outs.extend(predict(texts[start:start + batch_size]))
-            yield pdf.assign(__raw_prediction=pd.Series(outs, index=pdf.index, dtype="object"))
+            yield pd.Series(outs, dtype="object")
 
-    return (df.mapInPandas(run, schema)
-              .withColumn(out_col, clean_prediction("__raw_prediction"))
-              .drop("__raw_prediction"))
+    return df.withColumn(out_col, clean_prediction(run(F.col(text_col))))
 
 
 def predict_models(spark: SparkSession, df: DataFrame, factories: dict, key, text_col: str) -> DataFrame:
     """One ``<label>_translation`` column per model.
 
-    Each model's predictions are materialised as a written table under the shared checkpoint
-    folder, so a model that fails is caught on the driver and becomes the constant ``ERROR``
-    column without stopping the others.  The columns are then joined back on the key.
+    The input is written once under the shared checkpoint folder, then each model's predictions.  A
+    model whose predictor fails becomes the constant ``ERROR`` column, with a warning that names the
+    cause; any other failure (source, disk, cluster) ends the run.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    path = scratch_dir(spark, "model-input")
+    df.select(*keys, text_col).write.parquet(path)
+    texts = spark.read.parquet(path)
     out = df
     for label, factory in factories.items():
         col = result_column(label)
         path = scratch_dir(spark, f"model-{col}")
         try:
-            preds = predict_batches(df.select(*keys, text_col), factory, text_col=text_col, out_col=col)
-            preds.select(*keys, col).write.parquet(path)
-            out = out.join(spark.read.parquet(path), keys, "left")
-        except Exception:  # noqa: BLE001 - any model failure maps to the ERROR column
+            predict_batches(texts, factory, text_col=text_col, out_col=col).select(*keys, col).write.parquet(path)
+        except PythonException as e:
+            warnings.warn(f"model {label} failed: {str(e).strip().splitlines()[-1]}", stacklevel=2)
             out = out.withColumn(col, F.lit(ERROR_VALUE))
+        else:
+            out = out.join(spark.read.parquet(path), keys, "left")
     return out
 
 

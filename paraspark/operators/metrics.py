@@ -1,35 +1,25 @@
-"""Text metrics as distributed aggregations (H1-H6).
+"""Text metrics (H1-H6).
 
 Exact match is a projection.  Token F1 and the character n-gram F-score need multiset
-intersections; they are computed as one aggregation job:
-
-1. cases are hash-partitioned on the case key once (the only exchange of the job);
-2. each case emits ``(key, order, item, side)`` rows - order 0 for whitespace tokens, orders
-   1..6 for character n-grams of the normalised text (spaces included);
-3. ``groupBy(key, order, item)`` counts each side (map-side combined), ``least`` of the two
-   counts is the bag overlap, and ``groupBy(key)`` folds the seven overlaps into one row.
-
-Cases with equal normalised texts, or with an empty side, emit nothing: their overlaps follow
-from the lengths.  Steps 2-3 need no further shuffle: hash partitioning on the key already satisfies the
-clustering of both aggregations and of the join back to the cases.  Bag sizes never need
-counting - they follow from the text lengths.  Per-order F-scores are averaged with the same
-operation order as the definition, so values match it to the last bit in most rows; queries
-round to 6 decimals.
+intersections of one case's two texts, which sit in the same row: one Arrow-batched function counts
+them in numpy, so scoring is a projection too, without a shuffle, a sort or a join back.  Overlaps of
+equal normalised texts, or with an empty side, follow from the lengths.  Characters are code points throughout.  Per-order F-scores are averaged with the same
+operation order as the definition; queries round to 6 decimals.
+
+``bag_items`` gives the bags themselves, a row per occurrence.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraspark.constants import CHRF_BETA, CHRF_MAX_ORDER
 from paraspark.functions.text import normalize_text
 
-_NP, _NR = "__np", "__nr"
-
-
-def _keys(key):
-    return [key] if isinstance(key, str) else list(key)
+_NP, _NR, _SCORES = "__np", "__nr", "__scores"
 
 
 def exact_match(pred, ref) -> Column:
@@ -39,27 +29,13 @@ def exact_match(pred, ref) -> Column:
     return F.when(r != "", (normalize_text(p) == normalize_text(r)).cast("int"))
 
 
-def char_ngrams(text, n: int) -> Column:
-    """Bag of n-grams of the normalised text as an array (H3): a text shorter than ``n`` is one
-    gram, an empty text is an empty bag."""
-    t = normalize_text(text)
-    length = F.length(t)
-    grams = F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: t.substr(i, F.lit(n)))
-    return (F.when(length == 0, F.array().cast("array<string>"))
-             .when(length < n, F.array(t))
-             .otherwise(grams))
-
-
 def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
-              tokens: bool = True, chars: bool = True, skip_trivial: bool = False) -> DataFrame:
-    """One row per (key, order, item, side) occurrence; ``cases`` carries ``__np``/``__nr``/``__scored``."""
-    # unscored cases emit empty texts and vanish after the generator, so this branch reads the
-    # very same exchange as the join back to the cases (exchange reuse: one shuffle)
-    # Scoring needs bags only for cases whose two non-empty texts differ (``skip_trivial``):
-    # equal texts overlap fully and an empty side overlaps nothing, both known from the lengths.
+              tokens: bool = True, chars: bool = True) -> DataFrame:
+    """One row per (key, order, item, side) occurrence (H3); ``cases`` carries ``__np``/``__nr``/``__scored``.
+
+    Order 0 are whitespace tokens; a text shorter than an order is itself that order's one gram.
+    """
     scored = F.col("__scored")
-    if skip_trivial:
-        scored = scored & (F.col(_NP) != "") & (F.col(_NR) != "") & (F.col(_NP) != F.col(_NR))
     sides = cases.select(*key_cols, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.when(scored, F.col(_NP)).otherwise(F.lit("")).alias("t")),
         F.struct(F.lit(1).alias("side"), F.when(scored, F.col(_NR)).otherwise(F.lit("")).alias("t")),
@@ -74,7 +50,8 @@ def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
     if tokens:
         parts.append(sides.select(*key_cols, "side", F.lit(0).alias("ord"), F.explode(F.split(t, " ")).alias("item")))
     if chars:
-        windows = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{1,{max_order}}}))"), F.lit(1))
+        # each match consumes one code point, so none starts inside a surrogate pair
+        windows = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{1,{max_order}}}))."), F.lit(1))
         pos = sides.select(*key_cols, "side", F.length(t).alias("len"), F.posexplode(windows).alias("i", "w"))
         grams = pos.select(*key_cols, "side", "len", "i", "w", F.inline(F.array(*[
             F.struct(F.lit(n).alias("ord"), F.left(F.col("w"), F.lit(n)).alias("item")) for n in range(1, max_order + 1)])))
@@ -86,95 +63,86 @@ def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
     return out
 
 
-def bag_overlap(items: DataFrame, key_cols: list, orders) -> DataFrame:
-    """Multiset intersection size per key and order (H5): ``sum(least(n_pred, n_ref))``."""
-    per_item = items.groupBy(*key_cols, "ord", "item").agg(
-        F.count_if(F.col("side") == 0).alias("cp"), F.count_if(F.col("side") == 1).alias("cr"))
-    # (key, order) is a fixed-width grouping key with a single sum: cheaper than folding seven
-    # conditional sums over every item row; the final fold runs on 7 rows per case
-    per_order = per_item.groupBy(*key_cols, "ord").agg(F.sum(F.least("cp", "cr")).alias("__ov"))
-    return per_order.groupBy(*key_cols).agg(
-        *[F.coalesce(F.max(F.when(F.col("ord") == o, F.col("__ov"))), F.lit(0)).alias(f"__ov{o}") for o in orders])
-
-
-def _bag_size(length: Column, n: int) -> Column:
-    return F.when(length == 0, 0).when(length < n, 1).otherwise(length - n + 1).cast("double")
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Size of the multiset intersection, and both bags as small dense numbers."""
+    names, dense = np.unique(np.concatenate((a, b)), return_inverse=True)
+    p, r = dense[:len(a)], dense[len(a):]
+    return int(np.minimum(np.bincount(p, minlength=len(names)), np.bincount(r, minlength=len(names))).sum()), p, r
+
+
+def _overlaps(pred: str, ref: str, max_order: int) -> list[int]:
+    """Overlap of the token bags, then of the character n-gram bags of every order."""
+    words: dict[str, int] = {}
+    bags = [np.array([words.setdefault(w, len(words)) for w in t.split(" ")]) for t in (pred, ref)]
+    out = [_shared(*bags)[0]]
+    first = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (pred, ref)]
+    bags = first
+    for n in range(1, max_order + 1):
+        if min(len(first[0]), len(first[1])) < n:
+            out.append(int(pred == ref))        # a short text is one gram, equal only to itself
+            continue
+        if n > 1:
+            # a gram is the one before it and a character; code points have 21 bits
+            bags = [(x[:len(c) - n + 1] << 21) | c[n - 1:] for x, c in zip(bags, first, strict=True)]
+        shared, *bags = _shared(*bags)
+        out.append(shared)
+    return out
 
 
-def _fbeta(ov: Column, tp: Column, tr: Column, beta2: float) -> Column:
-    p = ov / tp
-    r = ov / tr
-    return (F.when((tp == 0) & (tr == 0), F.lit(1.0))
-             .when((tp == 0) | (tr == 0), F.lit(0.0))
-             .when((p == 0) & (r == 0), F.lit(0.0))
-             .otherwise((F.lit(1.0 + beta2) * p * r) / (F.lit(beta2) * p + r)))
+def bag_overlap(pred, ref, max_order: int = CHRF_MAX_ORDER) -> Column:
+    """Multiset intersection sizes of two normalised, non-empty texts (H5): tokens, then orders 1 to
+    ``max_order``; null where either is null."""
+    @F.pandas_udf("array<bigint>")
+    def overlaps(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _overlaps(x, y, max_order) for x, y in zip(p, r, strict=True)],
+                         dtype=object)
+    return overlaps(pred, ref)
 
 
-def _token_f1(ov: Column, tp: Column, tr: Column) -> Column:
-    p = ov / tp
-    r = ov / tr
-    return (F.when((tp == 0) & (tr == 0), F.lit(1.0))
-             .when((tp == 0) | (tr == 0), F.lit(0.0))
-             .when(ov == 0, F.lit(0.0))
-             .otherwise((F.lit(2.0) * p * r) / (p + r)))
+def _f_score(shared: float, n_pred: int, n_ref: int, beta2: float) -> float:
+    if not n_pred or not n_ref:
+        return float(n_pred == n_ref)
+    if not shared:
+        return 0.0
+    precision, recall = shared / n_pred, shared / n_ref
+    return ((1.0 + beta2) * precision * recall) / (beta2 * precision + recall)
 
 
-def _n_tokens(norm: Column) -> Column:
-    return F.when(norm == "", 0).otherwise(F.size(F.split(norm, " "))).cast("double")
+def _scores(pred: str, ref: str, max_order: int, beta: float) -> tuple[int, float, float]:
+    """Exact match, token F1 and mean n-gram F of two normalised texts."""
+    same = pred == ref
+    tokens = [t.count(" ") + 1 if t else 0 for t in (pred, ref)]
+    lengths = [len(pred), len(ref)]
+    sizes = [tokens] + [[min(n, 1) if n < o else n - o + 1 for n in lengths] for o in range(1, max_order + 1)]
+    shared = ([p for p, _ in sizes] if same else _overlaps(pred, ref, max_order) if pred and ref else [0] * (max_order + 1))
+    fs = [_f_score(float(x), *n, 1.0 if not k else beta * beta) for k, (x, n) in enumerate(zip(shared, sizes, strict=True))]
+    return int(same), fs[0], sum(fs[1:]) / max_order if max_order else 0.0
 
 
-def score_predictions(df: DataFrame, key, pred: str = "prediction", ref: str = "reference_text",
+def score_predictions(df: DataFrame, key=None, pred: str = "prediction", ref: str = "reference_text",
                       metrics=("exact_match", "token_f1", "chrf_like"), max_order: int = CHRF_MAX_ORDER,
-                      beta: float = CHRF_BETA, num_partitions: int | None = None) -> DataFrame:
-    """All metrics, one row per case (H6); metrics are null when the reference is empty."""
-    user_keys = _keys(key)
-    # Internal join keys are declared non-null (coalesce with a typed sentinel).  Otherwise the
-    # left join infers ``isnotnull(key)`` on the aggregation side only, its input plan differs
-    # from the case side, and the case texts would be shuffled twice instead of once (exchange
-    # reuse).  Case keys must identify cases; null keys would share one bag.
-    keys, sentinel_cols = [], []
-    for i, k in enumerate(user_keys):
-        dtype = df.schema[k].dataType.simpleString()
-        sentinel = {"bigint": -(2 ** 63), "int": -(2 ** 31), "string": "\u0000"}.get(dtype)
-        if df.schema[k].nullable and sentinel is not None:
-            keys.append(f"__key{i}")
-            sentinel_cols.append(F.coalesce(F.col(k), F.lit(sentinel).cast(dtype)).alias(f"__key{i}"))
-        else:
-            keys.append(k)
-    if sentinel_cols:
-        df = df.select("*", *sentinel_cols)
-    want_tok = "token_f1" in metrics
-    want_chr = "chrf_like" in metrics
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = (df.withColumn(_NP, normalize_text(F.coalesce(F.col(pred), F.lit(""))))
-              .withColumn(_NR, normalize_text(F.coalesce(F.col(ref), F.lit(""))))
-              .withColumn("__scored", F.col(ref).isNotNull() & (F.col(ref) != "")))
-    out = base
-    if want_tok or want_chr:
-        base = base.repartition(n, *keys)
-        orders = ([0] if want_tok else []) + (list(range(1, max_order + 1)) if want_chr else [])
-        items = bag_items(base, keys, max_order, tokens=want_tok, chars=want_chr, skip_trivial=True)
-        ov = bag_overlap(items, keys, orders)
-        out = base.join(ov, keys, "left")
-    scored = F.col("__scored")
-    cols = []
-    if "exact_match" in metrics:
-        cols.append(F.when(scored, (F.col(_NP) == F.col(_NR)).cast("int")).alias("exact_match"))
-    same = F.col(_NP) == F.col(_NR)
-    if want_tok:
-        ov0 = F.when(same, _n_tokens(F.col(_NP))).otherwise(F.coalesce(F.col("__ov0"), F.lit(0)).cast("double"))
-        cols.append(F.when(scored, _token_f1(ov0, _n_tokens(F.col(_NP)), _n_tokens(F.col(_NR)))).alias("token_f1"))
-    if want_chr:
-        lp, lr = F.length(_NP), F.length(_NR)
-        beta2 = beta * beta
-        total = None
-        for o in range(1, max_order + 1):
-            ovo = F.when(same, _bag_size(lp, o)).otherwise(F.coalesce(F.col(f"__ov{o}"), F.lit(0)).cast("double"))
-            s = _fbeta(ovo, _bag_size(lp, o), _bag_size(lr, o), beta2)
-            total = s if total is None else total + s
-        cols.append(F.when(scored, total / F.lit(float(max_order))).alias("chrf_like"))
-    keep = [c for c in df.columns if c not in metrics and not c.startswith("__key")]
-    return out.select(*keep, *cols)
+                      beta: float = CHRF_BETA) -> DataFrame:
+    """All metrics, one row per case (H6); metrics are null when the reference is empty.
+
+    ``key`` names the columns that identify a case; scoring needs none of them.
+    """
+    orders = max_order if "chrf_like" in metrics else 0
+
+    @F.pandas_udf("exact_match int, token_f1 double, chrf_like double")
+    def scores(p: pd.Series, r: pd.Series) -> pd.DataFrame:
+        found = [(None, None, None) if y is None else _scores(x, y, orders, beta) for x, y in zip(p, r, strict=True)]
+        return pd.DataFrame(found, columns=["exact_match", "token_f1", "chrf_like"]).astype(
+            {"exact_match": "Int32", "token_f1": "float64", "chrf_like": "float64"})
+
+    scored = F.col(ref).isNotNull() & (F.col(ref) != "")
+    keep = [c for c in df.columns if c not in metrics]
+    if tuple(metrics) == ("exact_match",):
+        return df.select(*keep, exact_match(F.coalesce(F.col(pred), F.lit("")), ref).alias("exact_match"))
+    found = scores(normalize_text(F.coalesce(F.col(pred), F.lit(""))), F.when(scored, normalize_text(ref)))
+    out = df.withColumn(_SCORES, found)
+    # pandas has no null doubles: a case without a reference has no exact match either
+    null = F.col(_SCORES)["exact_match"].isNull()
+    return out.select(*keep, *[F.when(~null, F.col(_SCORES)[m]).alias(m) for m in metrics])
 
 
 def token_f1(df: DataFrame, key, pred: str = "prediction", ref: str = "reference_text") -> DataFrame:

@@ -99,14 +99,17 @@ def reweight_report(df: DataFrame, factors: dict, by: str = "direction", split_c
 
 
 def truncation_report(df: DataFrame, split_col: str = "split", supervised_col: str = "supervised",
-                      fail_on_empty: bool = False) -> DataFrame:
-    """Rows per split before and after dropping rows without supervised labels."""
+                      fail_on_empty: bool = False, splits=("train", "validation")) -> DataFrame:
+    """Rows per split before and after dropping rows without supervised labels.
+
+    ``fail_on_empty`` raises for every split of ``splits`` that keeps no row, also one without any.
+    """
     rep = df.groupBy(split_col).agg(
         F.count(F.lit(1)).alias("before"),
         F.count_if(F.col(supervised_col)).alias("after"),
     ).withColumn("removed", F.col("before") - F.col("after"))
     if fail_on_empty:
-        empty = rep.where(F.col("after") == 0).select(split_col).limit(1).collect()
-        if empty:
-            raise ValueError(f"No {empty[0][0]} rows contain assistant labels. Increase the sequence limit.")
+        kept = {r[0] for r in rep.where(F.col("after") > 0).select(split_col).collect()}
+        if empty := [s for s in splits if s not in kept]:
+            raise ValueError(f"no supervised labels left in: {', '.join(empty)}")
     return rep

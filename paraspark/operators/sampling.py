@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from paraspark.constants import DEFAULT_SEED, DEFAULT_VALIDATION_RATIO
 from paraspark.functions.hashing import HASH_SPACE, seeded_hash
-from paraspark.operators.identity import number_bounded, with_row_index
+from paraspark.operators.identity import with_row_index
+
+
+CELLS = 1024    # draw ranges of a group that are counted
 
 
 def _keys(key):
@@ -59,14 +62,20 @@ def sample_balanced(df: DataFrame, key, n: int, by: str = "direction", seed: int
     the group size.  When short groups leave the total below ``min(n, rows)``, the rest is filled
     from the rows not chosen, lowest draw first.
 
-    Skew: the ranking window is filtered by the literal ``rn <= n`` right away, so Spark plans a
-    partial ``WindowGroupLimit`` before the exchange - a group holding most of the data ships at
-    most ``n`` rows per map task.  Everything after that works on at most ``n x groups`` rows.
+    Skew: draws are uniform, so a histogram of ``CELLS`` draw ranges per group, counted map-side,
+    tells which ranges hold a group's first ``n`` rows.  Only rows of these ranges are ranked, each
+    range by itself: a group of any size ships about ``n`` rows, whatever ``n`` is, and never meets
+    in one task.
     """
     keys = _keys(key)
-    ranked = df.withColumn("__h", seeded_hash(seed, *keys))
-    w = Window.partitionBy(by).orderBy("__h", *keys)
-    cand = ranked.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.lit(n))
+    drawn = df.withColumn("__h", seeded_hash(seed, *keys)).withColumn("__cell", (F.col("__h") / F.lit(HASH_SPACE // CELLS)).cast("int"))
+    cells = drawn.groupBy(by, "__cell").agg(F.count(F.lit(1)).alias("__m"))
+    before = F.sum("__m").over(Window.partitionBy(by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = (cells.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < F.lit(n))
+             .select(F.col(by).alias("__by"), F.col("__cell").alias("__of"), "__before"))
+    within = F.row_number().over(Window.partitionBy(by, "__cell").orderBy("__h", *keys))
+    cand = (drawn.join(cells, drawn[by].eqNullSafe(cells["__by"]) & (drawn["__cell"] == cells["__of"])).drop("__by", "__of")
+            .withColumn("__rn", F.col("__before") + within).where(F.col("__rn") <= F.lit(n)).drop("__before", "__cell"))
 
     groups = df.groupBy(by).agg(F.count(F.lit(1)).alias("__g"))
     everything = Window.partitionBy(F.lit(0))
@@ -89,16 +98,11 @@ def sample_balanced(df: DataFrame, key, n: int, by: str = "direction", seed: int
     return out.drop("__h", "__rn", "__quota", "__needed", "__trn")
 
 
-def remaining(df: DataFrame, chosen: DataFrame, key) -> DataFrame:
-    """Rows not yet chosen (J5): anti join on the key."""
-    return df.join(chosen.select(*_keys(key)), _keys(key), "left_anti")
-
-
 def replicate(df: DataFrame, factors: dict, by: str = "direction", copy_col: str = "copy") -> DataFrame:
     """Each row repeated by its group's factor, other groups once, 0 drops the row."""
     for d, f in factors.items():
         if int(f) < 0:
-            raise ValueError("Repeat counts must be >= 0.")
+            raise ValueError(f"a repeat count is negative: {d}={f}")
     factor = F.lit(1)
     expr = None
     for d, f in factors.items():
@@ -131,7 +135,3 @@ def reweight(train: DataFrame, validation: DataFrame, key, factors: dict, seed:
         if do_shuffle:
             v = v.withColumn("position", F.lit(None).cast("bigint"))
     return t.unionByName(v.withColumn("split", F.lit("validation")), allowMissingColumns=True)
-
-
-def renumber_sample(df: DataFrame, order_cols, name: str = "sample_id") -> DataFrame:
-    return number_bounded(df, order_cols, name=name)

@@ -28,6 +28,11 @@ def encode(df: DataFrame, tokenizer=None, max_len: int = DEFAULT_MAX_SEQ_LEN,
     return out.withColumn("prompt_len", F.size("__prompt_ids")).drop("__prompt_ids")
 
 
-def supervised_only(df: DataFrame, labels: str = "labels") -> DataFrame:
-    """Keep rows with at least one supervised label."""
+def supervised_only(df: DataFrame, labels: str = "labels", prompt_len: str = "prompt_len") -> DataFrame:
+    """Keep rows with at least one supervised label (F3): the prompt ends before the labels do.
+
+    With the encoded lengths at hand the labels need no second look.
+    """
+    if prompt_len in df.columns:
+        return df.where(F.col(prompt_len) < F.size(labels))
     return df.where(has_supervised(F.col(labels)))

@@ -39,17 +39,20 @@ def error_message(source: Column, row_number: Column, missing: Column) -> Column
                     F.lit(" missing required fields: ["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def require_valid(df: DataFrame, required=REQUIRED_PAIR_FIELDS, source: str = "input",
-                  row_col: str = "row_number") -> DataFrame:
-    """Strict mode (C2): the first invalid row fails the run, before anything is written."""
-    checked = with_missing(df, required)
-    bad = checked.where(F.size("missing") > 0).agg(
-        F.min_by(F.struct(F.col(row_col).alias("row"), F.col("missing").alias("missing")), F.col(row_col)).alias("first"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if bad and bad["n"]:
+def require_valid(df: DataFrame, required=REQUIRED_PAIR_FIELDS, source: str | list = "input",
+                  row_col: str = "row_number", source_col: str | None = None) -> DataFrame:
+    """Strict mode (C2): the first invalid row fails the run, before anything is written.
+
+    With several inputs ``source`` lists their names in order and ``source_col`` holds a row's
+    name: the first invalid row of the earliest input is reported.
+    """
+    names = [source] if isinstance(source, str) else list(source)
+    place = F.lit(0) if source_col is None else F.array_position(F.array(*map(F.lit, names)), F.col(source_col)).cast("int") - 1
+    bad = with_missing(df, required).where(F.size("missing") > 0).agg(F.min(F.struct(
+        place.alias("place"), F.col(row_col).alias("row"), F.col("missing"))).alias("first")).first()
+    if bad and bad["first"] is not None:
         first = bad["first"]
-        raise ValueError(f"{source} row {first['row']} missing required fields: {list(first['missing'])}")
+        raise ValueError(f"{names[first['place']]} row {first['row']} missing required fields: {list(first['missing'])}")
     return df
 
 
@@ -80,10 +83,14 @@ def take_first(df: DataFrame, n: int | None, order_cols, by: str | None = "split
     """First ``n`` rows in key order, per split.
 
     The literal bound lets Spark plan a partial ``WindowGroupLimit`` before the shuffle, so at most
-    ``n`` rows per split leave each map task whatever the split size.
+    ``n`` rows per split leave each map task whatever the split size; the session's limit for that
+    plan is raised to ``n`` where it is lower.
     """
     if n is None:
         return df
+    conf, limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(limit)) < n:
+        conf.set(limit, str(n))
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     if by is None:
         return df.orderBy(*cols).limit(n)
@@ -94,6 +101,8 @@ def take_first(df: DataFrame, n: int | None, order_cols, by: str | None = "split
 def filter_direction(df: DataFrame, direction: str, col: str = "direction") -> DataFrame:
     """Direction filter (C6): an empty direction takes the argument, which must then not be
     ``both``; directions not asked for are dropped."""
+    if direction != "both" and direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction {direction!r}: expected both or one of {', '.join(DIRECTIONS)}")
     wanted = list(DIRECTIONS) if direction == "both" else [direction]
     raw = F.col(col)
     resolved = F.when(raw.isNotNull() & (raw != ""), raw).otherwise(F.lit(direction))
@@ -111,15 +120,10 @@ def require_columns(df: DataFrame, names, what: str = "input") -> None:
         raise ValueError(f"{what} is missing required columns: {missing}")
 
 
-def scored_only(df: DataFrame, ref: str = "reference_text") -> DataFrame:
-    """Rows with a non-empty reference."""
-    return df.where(F.col(ref).isNotNull() & (F.col(ref) != ""))
-
-
 def require_rows(df: DataFrame, what: str = "rows") -> DataFrame:
     """Guard (C9): fail on an empty frame (one-row probe, not a count)."""
     if df.isEmpty():
-        raise ValueError(f"No {what} were selected.")
+        raise ValueError(f"nothing left to work on: {what}")
     return df
 
 
@@ -139,4 +143,4 @@ def require_sample_size(df: DataFrame, n: int, what: str = "input") -> None:
     """Guard (C9): a strict sample may not ask for more rows than exist."""
     rows = df.count()
     if n > rows:
-        raise ValueError(f"Requested {n} rows, but {what} has only {rows} rows.")
+        raise ValueError(f"{what}: {n} rows wanted, {rows} available")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.constants import DEFAULT_CALIBRATION_SIZE, DEFAULT_SEED, DEFAULT_TASK_PREFIX, PROMPT_ONLY_MODE
+from paraspark.constants import DEFAULT_SEED
 from paraspark.functions import chat as C
 from paraspark.functions.hashing import seeded_hash
 from paraspark.functions.text import clean_prediction, flatten_text, normalize_text, token_count
@@ -23,6 +23,7 @@ from paraspark.operators.identity import number_bounded, with_row_index
 from paraspark.operators.inference import failing_factory, predict_batches, predict_models, upper_ascii_factory
 from paraspark.operators.metrics import bag_items, bag_overlap, score_predictions
 from paraspark.operators.tokens import encode, supervised_only
+from paraspark.plans.flows import calibration_frame
 from paraspark.plans.fixtures import fx_cases, fx_chat, fx_pairs, fx_runs
 from paraspark.session import scratch_dir
 from paraspark.sources import readers as IO
@@ -30,9 +31,11 @@ from paraspark.sources import writers as W
 
 SEED = DEFAULT_SEED
 CHAT_VALIDATION_RATIO = 0.2      # chat fixture split share (100 conversations at sf0.01)
-SMOKE_LIMIT = 1000               # the documented smoke-dataset size
-TRAIN_CAP = 500                  # optional train cap of the trainer (C5)
-VALIDATION_CAP = 512             # default validation cap of the trainer (C5)
+# sizes that bind at sf0.01 as well, so that the limited queries choose
+SMOKE_LIMIT = 400                # source rows (C4)
+TRAIN_CAP = 200                  # rows of the train split (C5)
+VALIDATION_CAP = 3               # rows of the validation split (C5)
+SAMPLE_SIZE = 32                 # sampled rows (E4, E5, E6)
 FACTORS = {"en-es": 2, "es-en": 1}
 MAX_LEN = 512
 DIGITS = 6
@@ -61,14 +64,16 @@ def q_validate_missing(spark, sf):
 
 
 def q_quarantine_rows(spark, sf):
-    pairs = with_row_index(fx_pairs(spark, sf), "pair_id", start=1, name="row_number")
-    _, rejected = V.quarantine(pairs, source="fx_pairs")
+    pairs = fx_pairs(spark, sf)
+    numbers = with_row_index(pairs.select("pair_id"), "pair_id", start=1, name="row_number")
+    _, rejected = V.quarantine(pairs.join(numbers, "pair_id"), source="fx_pairs")
     return rejected.select("row_number", "error", F.col("row.style").alias("style"), "pair_id")
 
 
 def q_limit_source(spark, sf):
-    pairs = with_row_index(fx_pairs(spark, sf), "pair_id", start=1, name="row_number")
-    limited = V.limit_source(pairs, SMOKE_LIMIT)
+    pairs = fx_pairs(spark, sf)
+    numbers = with_row_index(pairs.select("pair_id"), "pair_id", start=1, name="row_number")
+    limited = pairs.join(V.limit_source(numbers, SMOKE_LIMIT), "pair_id")
     return V.with_missing(limited).select("pair_id", "row_number", (F.size("missing") == 0).alias("valid"))
 
 
@@ -159,7 +164,7 @@ def _encoded(spark, sf):
         "pair_id", F.col("metadata.direction").alias("direction"), "split",
         F.size("input_ids").cast("bigint").alias("n_input_ids"), F.col("prompt_len").cast("bigint").alias("prompt_len"),
         F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"),
-        F.exists("labels", lambda x: x != -100).alias("supervised"), "labels")
+        (F.col("prompt_len") < F.size("labels")).alias("supervised"), "labels")
 
 
 def q_encode_truncate(spark, sf):
@@ -249,70 +254,46 @@ def q_source_text(spark, sf):
 
 
 def q_segment_flatten(spark, sf):
-    chat = fx_chat(spark, sf).withColumn("line_no", F.col("conv_id") + 1)
-    for c in ("segment_id", "accent", "youtube_id", "start_time", "duration"):
-        if c not in chat.columns:
-            chat = chat.withColumn(c, F.lit(None).cast("string"))
-    return chat.select(
-        "conv_id",
-        F.coalesce(F.col("segment_id"), F.col("line_no").cast("string")).alias("segment_id"),
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("accent", "youtube_id", "start_time", "duration")],
-        C.source_text("messages").alias("source_text"))
+    chat = fx_chat(spark, sf, segments=True).withColumn("line_no", F.col("conv_id") + 1)
+    return X.segment_columns(chat).drop("line_no")
 
 
 def q_sample_uniform(spark, sf):
-    sample = E.sample_uniform(_chat_dir(spark, sf), "conv_id", DEFAULT_CALIBRATION_SIZE, SEED)
+    sample = E.sample_uniform(_chat_dir(spark, sf), "conv_id", SAMPLE_SIZE, SEED)
     return number_bounded(sample, "conv_id", "sample_id").select("conv_id", "sample_id")
 
 
 def q_sample_balanced(spark, sf):
-    s = E.sample_balanced(_chat_dir(spark, sf), "conv_id", DEFAULT_CALIBRATION_SIZE, "direction", SEED, top_up=False)
+    s = E.sample_balanced(_chat_dir(spark, sf), "conv_id", SAMPLE_SIZE, "direction", SEED, top_up=False)
     return s.select("conv_id", "direction")
 
 
 def q_sample_balanced_topup(spark, sf):
-    s = E.sample_balanced(_chat_dir(spark, sf), "conv_id", DEFAULT_CALIBRATION_SIZE, "direction", SEED, top_up=True)
+    s = E.sample_balanced(_chat_dir(spark, sf), "conv_id", SAMPLE_SIZE, "direction", SEED, top_up=True)
     return s.select("conv_id", "direction")
 
 
 def q_anti_remaining(spark, sf):
     chat = _chat_dir(spark, sf)
-    chosen = E.sample_balanced(chat, "conv_id", DEFAULT_CALIBRATION_SIZE, "direction", SEED, top_up=False)
+    chosen = E.sample_balanced(chat, "conv_id", SAMPLE_SIZE, "direction", SEED, top_up=False)
     return J.remaining(chat, chosen, "conv_id").select("conv_id", "direction")
 
 
 def _calibration(spark, sf):
-    chat = _chat_dir(spark, sf)
-    sample = E.sample_balanced(chat, "conv_id", DEFAULT_CALIBRATION_SIZE, "direction", SEED, top_up=True)
-    sample = number_bounded(sample.withColumnRenamed("conv_id", "source_index"), "source_index", "sample_id")
-    return sample
+    chat = fx_chat(spark, sf).withColumnRenamed("conv_id", "source_index")
+    return calibration_frame(spark, chat, SAMPLE_SIZE, SEED)
 
 
 def q_calibration_records(spark, sf):
-    s = _calibration(spark, sf)
-    pm = C.prompt_messages("messages")
-    text = C.render_prompt_only(pm)
-    n = token_count(text)
-    return s.select(
-        F.concat((F.col("sample_id") + 1).cast("string"), F.lit("_prompt_only")).alias("id"),
-        text.alias("text"),
-        F.concat(F.lit(DEFAULT_TASK_PREFIX + "_"), F.replace(F.col("direction"), F.lit("-"), F.lit("_"))).alias("task"),
-        F.lit(None).cast("string").alias("dataset_version"),
-        F.lit(PROMPT_ONLY_MODE).alias("mode"),
-        C.length_bucket(n).alias("bucket"),
-        n.cast("bigint").alias("token_length"),
-        (F.col("source_index") + 1).cast("bigint").alias("source_line_no"),
-        F.lit(None).cast("string").alias("meeting_id"),
-        F.lit(None).cast("string").alias("segment_id"),
-    )
+    return _calibration(spark, sf).select(
+        "id", "text", "task", "dataset_version", "mode", "bucket", F.col("token_length").cast("bigint").alias("token_length"),
+        "source_line_no", "meeting_id", "segment_id")
 
 
 def q_calibration_prompts(spark, sf):
-    s = _calibration(spark, sf)
-    return s.select("sample_id", F.col("source_index").cast("bigint").alias("source_index"), "direction",
-                    C.format_texts("messages").alias("f"), F.col("metadata.direction").alias("metadata_direction")
-                    ).select("sample_id", "source_index", "direction", "f.prompt", "f.full_text", "f.reference",
-                             "metadata_direction")
+    return _calibration(spark, sf).select(
+        "sample_id", F.col("source_index").cast("bigint").alias("source_index"), "direction", "f.prompt", "f.full_text",
+        "f.reference", F.col("metadata.direction").alias("metadata_direction"))
 
 
 def q_direction_counts(spark, sf):
@@ -390,25 +371,28 @@ def q_chrf_like(spark, sf):
     return s.select("row_index", _r("chrf_like"))
 
 
-def _items(spark, sf):
+def _normalised(spark, sf):
     from paraspark.operators.metrics import _NP, _NR
     c = _cases(spark, sf)
     base = (c.withColumn(_NP, normalize_text("prediction")).withColumn(_NR, normalize_text("reference_text"))
              .withColumn("__scored", F.col("reference_text") != ""))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return bag_items(base.repartition(n, "row_index"), ["row_index"])
+    return base
 
 
 def q_char_ngrams(spark, sf):
-    items = _items(spark, sf).where(F.col("ord") > 0)
+    items = bag_items(_normalised(spark, sf), ["row_index"], tokens=False)
     return items.groupBy("row_index", "side", "ord").agg(
         F.count(F.lit(1)).alias("n_grams"), F.count_distinct("item").alias("n_distinct"))
 
 
 def q_bag_overlap(spark, sf):
-    ov = bag_overlap(_items(spark, sf), ["row_index"], range(0, 7))
-    return ov.select("row_index", F.stack(F.lit(7), *[x for o in range(7) for x in (F.lit(o), F.col(f"__ov{o}"))])
-                     .alias("ord", "overlap")).select("row_index", "ord", F.col("overlap").cast("bigint").alias("overlap"))
+    from paraspark.operators.metrics import _NP, _NR
+    p, r = F.col(_NP), F.col(_NR)
+    cases = _normalised(spark, sf).where(F.col("__scored") & ((p != "") | (r != "")))
+    both = (p != "") & (r != "")
+    ov = cases.select("row_index", bag_overlap(F.when(both, p), F.when(both, r)).alias("ov"))
+    ov = ov.withColumn("ov", F.coalesce("ov", F.array_repeat(F.lit(0).cast("bigint"), 7)))
+    return ov.select("row_index", F.posexplode("ov").alias("ord", "overlap"))
 
 
 def q_score_predictions(spark, sf):
@@ -428,6 +412,12 @@ def _run_scores(spark, sf):
 RUN_KEY = ["conv_id", "turn", "direction"]
 
 
+def _labelled(spark, sf, run) -> DataFrame:
+    """An earlier run that scored only the conversations with a label."""
+    labels = IO.read_table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))
+    return run.join(labels, "conv_id", "left_semi")
+
+
 def q_compare_runs(spark, sf):
     s = _run_scores(spark, sf)
     a, b = s.where("run = 0"), s.where("run = 1")
@@ -442,12 +432,12 @@ def q_regression_gate(spark, sf):
 
 def q_same_cases(spark, sf):
     s = _run_scores(spark, sf)
-    return J.same_cases(s.where("run = 0"), s.where("run = 1"), RUN_KEY).select(*RUN_KEY, _r("chrf_like"))
+    return J.same_cases(s.where("run = 0"), _labelled(spark, sf, s.where("run = 1")), RUN_KEY).select(*RUN_KEY, _r("chrf_like"))
 
 
 def q_baseline_carry(spark, sf):
     s = _run_scores(spark, sf)
-    new, old = s.where("run = 0"), s.where("run = 1")
+    new, old = s.where("run = 0"), _labelled(spark, sf, s.where("run = 1"))
     out = J.carry_baseline(new, old, RUN_KEY, (("prediction", "baseline_prediction"),
                                                 ("exact_match", "baseline_exact_match")))
     return out.select(*RUN_KEY, "prediction", "baseline_prediction", "baseline_exact_match")
@@ -463,7 +453,7 @@ def q_row_index(spark, sf):
 def q_scan_csv_roundtrip(spark, sf):
     path = scratch_dir(spark, "pairs-csv") + "/pairs.csv"
     W.write_table_csv(fx_pairs(spark, sf).orderBy("pair_id").drop("pair_id"), path)
-    return IO.read_pairs_csv(spark, path)
+    return IO.read_pairs_csv(spark, path).drop("__row")
 
 
 def q_scan_jsonl_roundtrip(spark, sf):

@@ -58,26 +58,31 @@ def fx_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select("conv_id", "turn", "role", content.alias("content"), direction.alias("direction"))
 
 
-def fx_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chat record per conversation: ordered messages plus metadata."""
+def fx_chat(spark: SparkSession, sf_dir: str, segments: bool = False) -> DataFrame:
+    """One chat record per conversation: ordered messages plus metadata; ``segments`` adds segment
+    columns, present in some rows only."""
     turns = fx_turns(spark, sf_dir)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
     return turns.groupBy("conv_id").agg(
         F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
         F.struct(F.max("direction").alias("direction")).alias("metadata"),
+        *([F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("seg-"), F.col("conv_id"))).alias("segment_id"),
+           F.when(F.col("conv_id") % 3 == 0, F.lit("north")).alias("accent")] if segments else []),
     )
 
 
 def fx_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation cases over whole documents: normalisation-equal, shifted, wrong text with a
-    stop marker and tail, and empty predictions; every tenth case has no reference."""
+    """Evaluation cases over whole documents: normalisation-equal, words changed to one outside the
+    basic plane, the next text with a stop marker and tail, and vowels changed with edge spaces;
+    every fortieth prediction is empty, every tenth case has no reference."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     joined = docs.join(_next_text(docs), "doc_id", "left")
     v4 = F.col("doc_id") % 4
     raw = (F.when(v4 == 0, F.concat(F.lit("  "), F.lower("text"), F.lit(" ")))
-            .when(v4 == 1, F.expr("substring(text, 21)"))
+            .when(v4 == 1, F.replace("text", F.lit(" the "), F.lit(" \U0001F600 ")))
             .when(v4 == 2, F.concat(F.coalesce("next_text", F.lit("")), F.lit("<|im_end|>tail")))
-            .otherwise(F.lit("")))
+            .when(F.col("doc_id") % 40 == 3, F.lit(""))
+            .otherwise(F.concat(F.lit(" "), F.replace("text", F.lit("e"), F.lit("a")), F.lit("\t "))))
     return joined.select(
         F.col("doc_id").alias("row_index"),
         F.when(F.col("doc_id") % 2 == 0, "en-es").otherwise("es-en").alias("direction"),
@@ -87,8 +92,7 @@ def fx_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two evaluation runs over every conversation turn in both directions.  Run 1 has no
-    system turns, so inner, semi and anti joins between the runs differ."""
+    """Two evaluation runs over every conversation turn in both directions."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
     base = conv.join(nxt, ["conv_id", "turn"], "left")
@@ -97,10 +101,9 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
            .withColumn("dk", F.explode(F.array(
                F.struct(F.lit("en-es").alias("direction"), F.lit(0).alias("k")),
                F.struct(F.lit("es-en").alias("direction"), F.lit(1).alias("k"))))))
-    fan = fan.where(~((F.col("run") == 1) & (F.col("role") == "system")))
     v = (F.col("conv_id") + F.col("turn") + F.col("run") + F.col("dk.k")) % 3
     raw = (F.when(v == 0, F.col("text"))
-            .when(v == 1, F.expr("substring(text, 11)"))
+            .when(v == 1, F.replace("text", F.lit("o"), F.lit("u")))
             .otherwise(F.coalesce("next_text", F.lit(""))))
     return fan.select(
         "run", "conv_id", "turn", F.col("dk.direction").alias("direction"),

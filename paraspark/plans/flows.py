@@ -16,7 +16,7 @@ from paraspark.constants import (
     DEFAULT_CALIBRATION_SIZE, DEFAULT_SEED, DEFAULT_TASK_PREFIX, DEFAULT_VALIDATION_RATIO, PROMPT_ONLY_MODE,
 )
 from paraspark.functions import chat as C
-from paraspark.functions.text import clean_prediction, token_count
+from paraspark.functions.text import token_count
 from paraspark.operators import cases as X
 from paraspark.operators import reports as R
 from paraspark.operators import sampling as E
@@ -24,6 +24,7 @@ from paraspark.operators import validate as V
 from paraspark.operators.identity import number_bounded
 from paraspark.operators.inference import predict_batches
 from paraspark.operators.metrics import score_predictions
+from paraspark.operators.tokens import encode, supervised_only
 from paraspark.sources import readers as IO
 from paraspark.sources import writers as W
 
@@ -59,20 +60,16 @@ def run_prepare(spark: SparkSession, output_dir: str, input: str | None = None,
     checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if not skip_invalid:
-            bad = checked.where(~F.col("valid")).agg(F.min_by(F.struct("__source", "row_number", "missing"),
-                                                              F.col("row_number")).alias("f")).first()
-            if bad and bad["f"] is not None:
-                f = bad["f"]
-                raise ValueError(f"{f['__source']} row {f['row_number']} missing required fields: {list(f['missing'])}")
+            V.require_valid(checked.drop("missing"), source=[train_input, validation_input] if explicit else [input],
+                            source_col="__source")
         examples = X.chat_examples(checked.where("valid"), bidirectional).select("messages", "metadata", "split")
         W.write_splits(examples, f"{output_dir}/examples")
         if skip_invalid:
             rejected = checked.where(~F.col("valid")).select(
                 F.col("__source").alias("source"), "row_number",
                 V.error_message(F.col("__source"), F.col("row_number"), F.col("missing")).alias("error"),
-                F.struct(*[F.col(c) for c in ("term", "target_length", "style", "english_scenario",
-                                              "spanish_translation")]).alias("row"))
-            W.write_quarantine(rejected, f"{output_dir}/skipped_rows")
+                "__row")
+            W.write_quarantine(rejected, f"{output_dir}/skipped_rows", raw_row="__row")
         stats = R.prepare_stats(checked, bidirectional=bidirectional).select(
             "*", _params(validation_ratio=validation_ratio, seed=seed, bidirectional=bidirectional,
                          train_all=train_all, skip_invalid=skip_invalid).alias("params"))
@@ -184,4 +181,42 @@ def run_evaluate(spark: SparkSession, output_dir: str, predictor_factory, cases_
         scored.unpersist()
 
 
-__all__ = ["run_prepare", "run_reweight", "run_calibrate", "calibration_frame", "run_evaluate", "clean_prediction"]
+def run_translate(spark: SparkSession, input: str, output_dir: str, predictor_factory, batch_size: int = 8,
+                  result_key: str = "prediction") -> DataFrame:
+    """Chat prompts -> predictions -> the same lines with the added key, and a segment table as CSV."""
+    chat = IO.read_chat(spark, input, require_messages=True)
+    V.require_rows(chat, input)
+    prompts = C.render_plain(C.prompt_messages("messages"), generation_cue=True)
+    predicted = predict_batches(chat.withColumn("__prompt", prompts), predictor_factory, text_col="__prompt",
+                                batch_size=batch_size).drop("__prompt").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ordered = predicted.orderBy("line_no")
+        W.write_chat_jsonl(ordered, f"{output_dir}/predictions", added={result_key: F.col("prediction")})
+        segments = X.segment_columns(predicted).withColumn("prediction", F.col("prediction"))
+        W.write_table_csv(segments.orderBy("line_no").drop("line_no"), f"{output_dir}/segments", bom=True)
+        return segments
+    finally:
+        predicted.unpersist()
+
+
+def training_frame(splits: DataFrame, max_train: int | None = None, max_validation: int | None = 512, max_len: int = 512,
+                   tokenizer=None) -> DataFrame:
+    """Split rows -> capped, encoded, rows without supervised labels dropped; an empty split is an error."""
+    caps = {"train": max_train, "validation": max_validation}
+    parts = [V.take_first(splits.where(F.col("split") == name), cap, "line_no", by=None) for name, cap in caps.items()]
+    encoded = encode(parts[0].unionByName(parts[1]), tokenizer, max_len)
+    flagged = encoded.withColumn("supervised", F.col("prompt_len") < F.size("labels"))
+    R.truncation_report(flagged.select("split", "supervised"), fail_on_empty=True)
+    return supervised_only(encoded)
+
+
+def run_training_data(spark: SparkSession, train_file: str, validation_file: str, output_dir: str, **kw) -> DataFrame:
+    """Training features of a chat split set as Parquet, by split."""
+    splits = IO.read_splits(spark, {"train": train_file, "validation": validation_file})
+    frame = training_frame(splits, **kw).select("split", "line_no", "input_ids", "attention_mask", "labels")
+    frame.write.partitionBy("split").parquet(f"{output_dir}/features")
+    return spark.read.schema(frame.schema).parquet(f"{output_dir}/features")
+
+
+__all__ = ["run_prepare", "run_reweight", "run_calibrate", "calibration_frame", "run_evaluate", "run_translate",
+           "training_frame", "run_training_data"]

@@ -8,14 +8,14 @@ Spark operators.  Column names and integer widths match the Spark side.
 from __future__ import annotations
 
 from paraspark.constants import (
-    BASELINE_SYSTEM_PROMPT, DEFAULT_CALIBRATION_SIZE, DEFAULT_SEED, DEFAULT_TASK_PREFIX, NO_METRICS_NOTE,
+    BASELINE_SYSTEM_PROMPT, DEFAULT_SEED, DEFAULT_TASK_PREFIX, NO_METRICS_NOTE,
     SIMPLE_SYSTEM_PROMPTS, SYSTEM_PROMPTS,
 )
 from paraspark.functions.text import WS_RE2
 from paraspark.plans import catalog as Q
 
 SEED = DEFAULT_SEED
-N_CAL = DEFAULT_CALIBRATION_SIZE
+N_CAL = Q.SAMPLE_SIZE
 REQ = ("english_scenario", "spanish_translation", "style", "target_length", "term")  # sorted
 NL = "chr(10)"
 
@@ -128,9 +128,9 @@ fx_chat2 AS (
   SELECT a.doc_id AS row_index, CASE a.doc_id % 2 WHEN 0 THEN 'en-es' ELSE 'es-en' END AS direction,
     CASE WHEN a.doc_id % 10 = 9 THEN '' ELSE a.text END AS reference_text,
     CASE a.doc_id % 4 WHEN 0 THEN concat('  ', lower(a.text), ' ')
-                      WHEN 1 THEN substring(a.text, 21)
+                      WHEN 1 THEN replace(a.text, ' the ', ' 😀 ')
                       WHEN 2 THEN concat(coalesce(b.text, ''), '<|im_end|>tail')
-                      ELSE '' END AS raw_prediction
+                      ELSE CASE WHEN a.doc_id % 40 = 3 THEN '' ELSE concat(' ', replace(a.text, 'e', 'a'), chr(9), ' ') END END AS raw_prediction
   FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1)""",
     "fx_runs": """fx_runs_base AS (
   SELECT c.conv_id, c.turn, c.role, c.text, n.text AS next_text
@@ -138,11 +138,11 @@ fx_chat2 AS (
 fx_runs_fan AS (
   SELECT 0 AS run, 'en-es' AS direction, 0 AS k, conv_id, turn, text, next_text FROM fx_runs_base
   UNION ALL SELECT 0, 'es-en', 1, conv_id, turn, text, next_text FROM fx_runs_base
-  UNION ALL SELECT 1, 'en-es', 0, conv_id, turn, text, next_text FROM fx_runs_base WHERE role <> 'system'
-  UNION ALL SELECT 1, 'es-en', 1, conv_id, turn, text, next_text FROM fx_runs_base WHERE role <> 'system'),
+  UNION ALL SELECT 1, 'en-es', 0, conv_id, turn, text, next_text FROM fx_runs_base
+  UNION ALL SELECT 1, 'es-en', 1, conv_id, turn, text, next_text FROM fx_runs_base),
 fx_runs AS (
   SELECT run, conv_id, turn, direction, text AS reference_text,
-    CASE (conv_id + turn + run + k) % 3 WHEN 0 THEN text WHEN 1 THEN substring(text, 11)
+    CASE (conv_id + turn + run + k) % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, 'o', 'u')
          ELSE coalesce(next_text, '') END AS raw_prediction
   FROM fx_runs_fan)""",
 }
@@ -243,6 +243,9 @@ sample AS (SELECT * EXCLUDE (trn) FROM topup UNION ALL SELECT * FROM chosen),
 numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS sample_id FROM sample)"""
 
 
+EMPTY = "''"
+
+
 def _score_sql(src: str, keys: str, extra: str = "") -> str:
     """Per-case exact match, token F1 and chrF-like from the definition (unrounded)."""
     return f"""sc0 AS (SELECT {keys}, {extra} {clean('raw_prediction')} AS prediction, reference_text FROM {src}),
@@ -250,9 +253,13 @@ sc1 AS (SELECT *, {norm('prediction')} AS np, {norm('reference_text')} AS nr, re
 sides AS (SELECT {keys}, 0 AS side, np AS t FROM sc1 WHERE scored AND np <> ''
           UNION ALL SELECT {keys}, 1, nr FROM sc1 WHERE scored AND nr <> ''),
 toks AS (SELECT {keys}, side, 0 AS ord, unnest(string_split(t, ' ')) AS item FROM sides),
-pos AS (SELECT {keys}, side, t, length(t) AS len, unnest(range(1, length(t) + 1)) AS i FROM sides),
-grams AS (SELECT {keys}, side, ord, substring(t, i, ord) AS item
-          FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6]) AS ord FROM pos) WHERE i + ord - 1 <= len OR i = 1),
+chars AS (SELECT {keys}, side, length(t) AS len, unnest(regexp_extract_all(t, '(?s).')) AS c,
+          unnest(range(1, length(t) + 1)) AS i FROM sides),
+win AS (SELECT {keys}, side, len, i, c AS g1, {", ".join(f"c || {' || '.join(f'coalesce(lead(c, {k}) OVER w, {EMPTY})' for k in range(1, o))} AS g{o}" for o in range(2, 7))}
+        FROM chars WINDOW w AS (PARTITION BY {keys}, side ORDER BY i)),
+grams AS (SELECT {keys}, side, ord, item
+          FROM (SELECT {keys}, side, len, i, unnest([1, 2, 3, 4, 5, 6]) AS ord, unnest([g1, g2, g3, g4, g5, g6]) AS item FROM win)
+          WHERE i + ord - 1 <= len OR i = 1),
 items AS (SELECT * FROM toks UNION ALL SELECT * FROM grams),
 per_item AS (SELECT {keys}, ord, item, count(*) FILTER (WHERE side = 0) AS cp, count(*) FILTER (WHERE side = 1) AS cr
              FROM items GROUP BY ALL),
@@ -376,8 +383,8 @@ FROM fx_pairs""", "fx_pairs"),
     "flatten_text": with_fx(f"""SELECT conv_id, {flat(render_plain('pm', cue=True))} AS flat_prompt,
   {flat(full_plain('pm', 'reference'))} AS flat_full FROM fx_chat2""", "fx_chat2"),
     "source_text": with_fx(f"SELECT conv_id, {source_text('messages')} AS source_text FROM fx_chat2", "fx_chat2"),
-    "segment_flatten": with_fx(f"""SELECT conv_id, CAST(conv_id + 1 AS VARCHAR) AS segment_id, '' AS accent, '' AS youtube_id,
-  '' AS start_time, '' AS duration, {source_text('messages')} AS source_text FROM fx_chat2""", "fx_chat2"),
+    "segment_flatten": with_fx(f"""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN concat('seg-', conv_id) ELSE CAST(conv_id + 1 AS VARCHAR) END AS segment_id,
+  CASE WHEN conv_id % 3 = 0 THEN 'north' ELSE '' END AS accent, '' AS youtube_id, '' AS start_time, '' AS duration, {source_text('messages')} AS source_text FROM fx_chat2""", "fx_chat2"),
     "sample_uniform": with_fx(f"""WITH s AS (SELECT conv_id FROM fx_chat2 ORDER BY {h(SEED, 'conv_id')}, conv_id LIMIT {N_CAL})
 SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS sample_id FROM s""", "fx_chat2"),
     "sample_balanced": with_fx(f"WITH {BALANCED} SELECT conv_id, direction FROM chosen", "fx_chat2"),
@@ -454,20 +461,21 @@ SELECT {RUN_KEY},
 FROM a JOIN b USING ({RUN_KEY})""", "fx_runs"),
     "regression_gate": with_fx(RUNS_SCORED + f""",
 j AS (SELECT {RUN_KEY}, a.chrf_like AS ma, b.chrf_like AS mb FROM (SELECT * FROM scored WHERE run = 0) a
-      JOIN (SELECT * FROM scored WHERE run = 1) b USING ({RUN_KEY})),
-d AS (SELECT direction, round(avg(ma), 6) AS mean_a, round(avg(mb), 6) AS mean_b, count(*) AS n_cases FROM j GROUP BY direction),
-v AS (SELECT max(CASE WHEN direction = 'en-es' THEN round(mean_b - mean_a, 6) END) AS improve_delta,
-  max(CASE WHEN direction = 'es-en' THEN round(mean_b - mean_a, 6) END) AS guard_delta, sum(n_cases) AS n_cases FROM d)
-SELECT improve_delta, guard_delta, CAST(n_cases AS BIGINT) AS n_cases,
-  coalesce(improve_delta > 0 AND guard_delta >= -0.01, false) AS accepted FROM v""", "fx_runs"),
+      JOIN (SELECT * FROM scored WHERE run = 1) b USING ({RUN_KEY}) WHERE a.chrf_like IS NOT NULL AND b.chrf_like IS NOT NULL),
+d AS (SELECT direction, avg(mb) - avg(ma) AS delta, count(*) AS n_cases FROM j GROUP BY direction),
+v AS (SELECT max(delta) FILTER (WHERE direction = 'en-es') AS up, max(delta) FILTER (WHERE direction = 'es-en') AS down,
+  sum(n_cases) AS n_cases FROM d)
+SELECT round(up, 6) AS improve_delta, round(down, 6) AS guard_delta, CAST(n_cases AS BIGINT) AS n_cases,
+  coalesce(up > 0 AND down >= -0.01, false) AS accepted FROM v""", "fx_runs"),
     "same_cases": with_fx(RUNS_SCORED + f"""
 SELECT {RUN_KEY}, round(chrf_like, 6) AS chrf_like FROM scored a WHERE run = 0
-  AND EXISTS (SELECT 1 FROM scored b WHERE b.run = 1 AND b.conv_id = a.conv_id AND b.turn = a.turn AND b.direction = a.direction)""",
+  AND EXISTS (SELECT 1 FROM scored b WHERE b.run = 1 AND b.conv_id = a.conv_id AND b.turn = a.turn AND b.direction = a.direction)
+  AND a.conv_id IN (SELECT doc_id FROM labels)""",
                           "fx_runs"),
     "baseline_carry": with_fx(RUNS_SCORED + f"""
 SELECT {RUN_KEY}, a.prediction, coalesce(b.prediction, '') AS baseline_prediction,
   coalesce(CAST(b.exact_match AS VARCHAR), '') AS baseline_exact_match
-FROM (SELECT * FROM scored WHERE run = 0) a LEFT JOIN (SELECT * FROM scored WHERE run = 1) b USING ({RUN_KEY})""", "fx_runs"),
+FROM (SELECT * FROM scored WHERE run = 0) a LEFT JOIN (SELECT * FROM scored WHERE run = 1 AND conv_id IN (SELECT doc_id FROM labels)) b USING ({RUN_KEY})""", "fx_runs"),
     "row_index": "SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS row_index FROM documents",
     # ---------------------------------------------------------- sources and sinks
     "scan_csv_roundtrip": with_fx("""SELECT nullif(term, '') AS term, nullif(target_length, '') AS target_length,

@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = _configured_checkpoint_dir(spark)
     if current:
         return current
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = os.environ.get("PARASPARK_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="paraspark-ckpt-")
     spark.sparkContext.setCheckpointDir(base)
     return spark.sparkContext.getCheckpointDir()

@@ -1,7 +1,7 @@
 """Readers: Parquet test tables, pair files (CSV / JSONL), chat JSONL, case files, split sets.
 
-Line identity is derived once, at ingest, with :func:`with_row_index` over
-``(input_file_name, monotonically_increasing_id)``: file order, then position inside the file.
+Line identity is derived once, at ingest, with :func:`with_scan_index`: file order, then position
+inside the file, without a sort or a copy of the lines.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paraspark.constants import REQUIRED_PAIR_FIELDS
+from paraspark.operators.identity import with_scan_index
 
 PAIR_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in REQUIRED_PAIR_FIELDS])
 MESSAGES_TYPE = T.ArrayType(T.StructType([
@@ -43,12 +44,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _with_line_numbers(spark: SparkSession, df: DataFrame, name: str, start: int) -> DataFrame:
-    from paraspark.operators.identity import with_row_index
-    tagged = df.withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
-    return with_row_index(tagged, ["__file", "__pos"], start=start, name=name).drop("__file", "__pos")
-
-
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV in the dialect Python's csv module writes: doubled quotes, quoted newlines,
     optional UTF-8 byte-order mark.  ``multiLine`` makes a file one task; convert big inputs to
@@ -66,22 +61,24 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def read_pairs_csv(spark: SparkSession, path: str, with_row_number: bool = True) -> DataFrame:
-    """Pairs from CSV (A1) with a 1-based ``row_number`` in file order."""
+    """Pairs from CSV (A1) with a 1-based ``row_number`` in file order; ``__row`` holds the whole row as
+    JSON, columns that are no required field included."""
     df = read_csv_table(spark, path)
-    for f in REQUIRED_PAIR_FIELDS:
-        if f not in df.columns:
-            df = df.withColumn(f, F.lit(None).cast("string"))
-    df = df.select(*[F.col(f).cast("string") for f in REQUIRED_PAIR_FIELDS])
+    columns = list(df.columns)
     if with_row_number:
-        df = _with_line_numbers(spark, df, "row_number", 1)
-    return df
+        df = with_scan_index(df, 1, "row_number")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    fields = [F.col(f).cast("string") if f in columns else F.lit(None).cast("string").alias(f) for f in REQUIRED_PAIR_FIELDS]
+    return df.select(*fields, whole.alias("__row"), *(["row_number"] if with_row_number else []))
+
+
+def _blank() -> F.Column:
+    return F.regexp_replace("value", r"[\s\x1c-\x1f\x85\p{Z}]", "") == ""
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with ``line_no`` (1-based, blank lines counted) and a ``blank`` flag."""
-    lines = spark.read.text(path)
-    numbered = _with_line_numbers(spark, lines, "line_no", 1)
-    return numbered.withColumn("blank", F.regexp_replace("value", r"[\s\x1c-\x1f\x85\p{Z}]", "") == "")
+    return with_scan_index(spark.read.text(path), 1, "line_no").withColumn("blank", _blank())
 
 
 def _falsy(variant, field: str) -> F.Column:
@@ -99,17 +96,17 @@ def _falsy(variant, field: str) -> F.Column:
 def read_pairs_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Pairs from JSONL (A2): blank lines skipped, a malformed line fails the job.
 
-    ``row_number`` counts non-blank lines (1-based).  Each required field is kept as text plus a
-    ``__falsy_<field>`` flag carrying JSON truthiness (0, false, [] count as missing).
+    ``row_number`` counts non-blank lines (1-based).  Each required field is kept as text, numbers as
+    written, plus a ``__falsy_<field>`` flag carrying JSON truthiness (0, false, [] count as missing);
+    ``__row`` is the line itself.
     """
-    lines = read_lines(spark, path).where(~F.col("blank"))
+    lines = with_scan_index(spark.read.text(path), 1, "row_number", keep=~_blank())
     v = F.parse_json(F.col("value"))  # raises on malformed JSON: fail fast
-    parsed = lines.select("line_no", v.alias("__v"))
-    cols = [F.try_variant_get(F.col("__v"), f"$.{f}", "string").alias(f) for f in REQUIRED_PAIR_FIELDS]
+    parsed = lines.select("row_number", F.col("value").alias("__row"), v.alias("__v"))
+    cols = [F.when(F.try_variant_get("__v", f"$.{f}", "string").isNotNull(), F.get_json_object("__row", f"$.{f}")).alias(f)
+            for f in REQUIRED_PAIR_FIELDS]
     flags = [_falsy(F.col("__v"), f).alias(f"__falsy_{f}") for f in REQUIRED_PAIR_FIELDS]
-    out = parsed.select("line_no", *cols, *flags)
-    from paraspark.operators.identity import with_row_index
-    return with_row_index(out, "line_no", start=1, name="row_number").drop("line_no")
+    return parsed.select(*cols, *flags, "__row", "row_number")
 
 
 def detect_format(path: str) -> str:
@@ -118,7 +115,7 @@ def detect_format(path: str) -> str:
         return "csv"
     if suffix in {".jsonl", ".json"}:
         return "jsonl"
-    raise ValueError(f"Cannot infer dataset format from extension: {path}")
+    raise ValueError(f"neither CSV nor JSON lines by its suffix: {path}")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +149,7 @@ def read_cases(spark: SparkSession, path: str, direction: str = "both", prompt_t
     df = read_csv_table(spark, path)
     require_columns(df, ["source_text"], what=path)
     has_row_index = "row_index" in df.columns
-    df = _with_line_numbers(spark, df, "__case_index", 0)
+    df = with_scan_index(df, 0, "__case_index")
     for c in CASE_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))

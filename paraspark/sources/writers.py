@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paraspark.functions.text import flatten_text
 
@@ -15,21 +19,24 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False, mode: str =
 
 def write_splits(df: DataFrame, path: str, splits=("train", "validation"), split_col: str = "split",
                  mode: str = "errorifexists") -> None:
-    """One JSONL folder per split in a single pass (A7); a split with no rows still gets an empty
-    folder (train-all mode writes an empty validation set)."""
-    (df.write.mode(mode).partitionBy(split_col).json(path))
-    spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """One JSONL folder per split (A7); a split with no rows still gets a folder (train-all mode writes
+    an empty validation set)."""
     for name in splits:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{split_col}={name}")
-        if not fs.exists(p):
-            fs.mkdirs(p)
+        rows = df.where(F.col(split_col) == name).drop(split_col)
+        rows.write.mode(mode).json(f"{path.rstrip('/')}/{split_col}={name}")
+
 
+def write_quarantine(rejected: DataFrame, path: str, mode: str = "errorifexists", raw_row: str | None = None) -> None:
+    """Rejected rows as T3 JSON lines; null fields are written, not dropped.
 
-def write_quarantine(rejected: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rejected rows as T3 JSON lines; null fields are written, not dropped."""
-    write_jsonl(rejected, path, keep_nulls=True, mode=mode)
+    ``raw_row`` names a column with the source row as JSON: it becomes ``row`` as it stands, unknown
+    keys and JSON types included.
+    """
+    if raw_row is None:
+        return write_jsonl(rejected, path, keep_nulls=True, mode=mode)
+    record = F.to_json(F.struct(*[c for c in rejected.columns if c != raw_row]), {"ignoreNullFields": "false"})
+    line = F.concat(F.regexp_replace(record, r"\}$", ""), F.lit(',"row":'), F.col(raw_row), F.lit("}"))
+    rejected.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def write_text_lines(df: DataFrame, col: str, path: str, mode: str = "errorifexists") -> None:
@@ -37,20 +44,33 @@ def write_text_lines(df: DataFrame, col: str, path: str, mode: str = "errorifexi
     df.select(flatten_text(col).alias("value")).write.mode(mode).text(path)
 
 
-def write_table_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header CSV that Python's csv module and :func:`read_csv_table` read back (A10)."""
-    (df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path))
+def write_table_csv(df: DataFrame, path: str, mode: str = "errorifexists", bom: bool = False) -> None:
+    """Header CSV that Python's csv module and :func:`read_csv_table` read back (A10); ``bom`` starts
+    every file with a byte-order mark."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def with_added_keys(raw: str, **added) -> F.Column:
-    """The raw JSON line with extra keys appended, other keys and their order untouched."""
-    body = F.regexp_replace(F.col(raw), r"\}\s*$", "")
-    out = body
-    for key, col in added.items():
-        member = F.regexp_replace(F.to_json(F.struct(col.alias(key))), r"^\{|\}$", "")
-        sep = F.when(F.col(raw).rlike(r"^\s*\{\s*\}\s*$"), F.lit("")).otherwise(F.lit(","))
-        out = F.concat(out, sep, member)
-    return F.concat(out, F.lit("}"))
+    """The raw JSON line with extra keys, nulls written; other keys and their order untouched.
+
+    A key that the line has already is set where it stands; such lines are rewritten in Python.
+    """
+    line = F.col(raw)
+    members = F.to_json(F.struct(*[c.alias(k) for k, c in added.items()]), {"ignoreNullFields": "false"})
+    inside = F.regexp_replace(members, r"^\{|\}$", "")
+    sep = F.when(line.rlike(r"^\s*\{\s*\}\s*$"), F.lit("")).otherwise(F.lit(","))
+    appended = F.concat(F.regexp_replace(line, r"\}\s*$", ""), sep, inside, F.lit("}"))
+    clash = F.arrays_overlap(F.json_object_keys(line), F.array(*map(F.lit, added)))
+    return F.when(clash, _merged(F.when(clash, line), members)).otherwise(appended)
+
+
+@F.pandas_udf(StringType())
+def _merged(lines: pd.Series, members: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else json.dumps(json.loads(x) | json.loads(m), ensure_ascii=False)
+                      for x, m in zip(lines, members, strict=True)], dtype="object")
 
 
 def write_chat_jsonl(df: DataFrame, path: str, raw: str = "raw", added: dict | None = None,

@@ -4,7 +4,7 @@ The source scripts read finite files and keep no state, so nothing here is state
 the keyed split draw and direction expansion are pure per-row functions, so the very same Column
 expressions run on a streaming DataFrame: each new JSONL file in ``input_dir`` becomes directed
 chat examples (valid rows) and quarantine records (invalid rows) in one micro-batch.  Row
-identity in a stream is ``(file, line)``; the checkpoint lives under the shared checkpoint folder.
+identity in a stream is the file and a hash of the line.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from paraspark.constants import DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, REQUIRED
 from paraspark.operators import cases as X
 from paraspark.operators import sampling as E
 from paraspark.operators import validate as V
-from paraspark.session import ensure_checkpoint_dir
 
 
 def stream_pairs(spark: SparkSession, input_dir: str) -> DataFrame:
@@ -25,25 +24,31 @@ def stream_pairs(spark: SparkSession, input_dir: str) -> DataFrame:
              .where(F.trim("value") != "")
              .withColumn("source", F.input_file_name())
              .withColumn("line_key", F.xxhash64("value")))
-    v = F.parse_json("value")
+    v = F.try_parse_json("value")
     return lines.select("source", "line_key",
                         *[F.try_variant_get(v, f"$.{f}", "string").alias(f) for f in REQUIRED_PAIR_FIELDS])
 
 
-def prepare_stream(spark: SparkSession, input_dir: str, output_dir: str, bidirectional: bool = True,
+def prepare_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str, bidirectional: bool = True,
                    ratio: float = DEFAULT_VALIDATION_RATIO, seed: int = DEFAULT_SEED, available_now: bool = True):
-    """Start the incremental prepare; returns the StreamingQuery."""
+    """Start the incremental prepare; returns the StreamingQuery.
+
+    ``checkpoint_dir`` is this stream's own: a restart with the same folder goes on where it stopped.
+    Each micro-batch owns the folders of its number and overwrites them, so a retried batch leaves no
+    duplicates.  A line that is no JSON has no fields, so it goes to the skipped rows.
+    """
     pairs = stream_pairs(spark, input_dir)
     checked = V.with_missing(pairs).withColumn("valid", F.size("missing") == 0)
     split = E.split_bernoulli(checked, ["source", "line_key"], ratio=ratio, seed=seed)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         examples = X.chat_examples(batch.where("valid"), bidirectional).select("messages", "metadata", "split")
-        examples.write.mode("append").partitionBy("split").json(f"{output_dir}/examples")
-        batch.where(~F.col("valid")).select("source", "line_key", "missing").write.mode("append") \
-             .json(f"{output_dir}/skipped_rows")
+        examples.write.mode("overwrite").partitionBy("split").json(f"{output_dir}/examples/batch={epoch}")
+        (batch.where(~F.col("valid")).select("source", "line_key", "missing").write.mode("overwrite")
+         .json(f"{output_dir}/skipped_rows/batch={epoch}"))
+        batch.unpersist()
 
-    ckpt = ensure_checkpoint_dir(spark).rstrip("/") + "/streams/prepare"
-    writer = split.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    writer = split.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

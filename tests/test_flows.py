@@ -70,7 +70,7 @@ def test_streaming_prepare(spark, tmp_out):
     from paraspark.streaming import prepare_stream
     os.makedirs(f"{tmp_out}/in")
     _pairs_jsonl(f"{tmp_out}/in/a.jsonl", 5)
-    q = prepare_stream(spark, f"{tmp_out}/in", f"{tmp_out}/out")
+    q = prepare_stream(spark, f"{tmp_out}/in", f"{tmp_out}/out", f"{tmp_out}/ckpt")
     q.awaitTermination(120)
     assert len(_lines(f"{tmp_out}/out/examples")) == 2 * 4
     assert len(_lines(f"{tmp_out}/out/skipped_rows")) == 1

@@ -109,3 +109,67 @@ def test_cases_reader_defaults_and_direction(spark, tmp_out):
     assert rows[0].baseline_prediction == "hola" and rows[0].term == ""
     with pytest.raises(ValueError):
         IO.read_cases(spark, path, direction="both")
+
+
+def test_csv_keeps_edge_spaces_and_writes_a_byte_order_mark(spark, tmp_out):
+    rows = [(" lead", "trail ", "a,\"b\"\nc"), ("\t", " ", "é\U0001F600")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    W.write_table_csv(df, f"{tmp_out}/t.csv", bom=True)
+    back = IO.read_csv_table(spark, f"{tmp_out}/t.csv")
+    assert back.columns == ["a", "b", "c"]
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_added_keys_keep_nulls_and_replace_existing_ones(spark):
+    lines = ['{"a":1}', '{}', '{"p":"old","z":[1,{"y":null}],"b":2}', '{"x":"}"}']
+    df = spark.createDataFrame([(x, v) for x, v in zip(lines, ("new", None, None, "é"), strict=True)], "raw string, v string")
+    got = [json.loads(r[0]) for r in df.select(W.with_added_keys("raw", p=F.col("v"))).collect()]
+    assert got == [{"a": 1, "p": "new"}, {"p": None}, {"p": None, "z": [1, {"y": None}], "b": 2}, {"x": "}", "p": "é"}]
+    assert list(got[2]) == ["p", "z", "b"]
+
+
+def test_quarantine_keeps_the_whole_row_with_its_types(spark, tmp_out):
+    from paraspark.plans.flows import run_prepare
+    rows = [{"term": "t", "target_length": 12.0, "style": "s", "english_scenario": "e", "spanish_translation": "x", "extra": {"k": [1, None]}},
+            {"term": "t", "target_length": 12.0, "style": "", "english_scenario": "e", "spanish_translation": "x", "extra": {"k": [1, None]}}]
+    with open(f"{tmp_out}/in.jsonl", "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in rows)
+    assert IO.read_pairs_jsonl(spark, f"{tmp_out}/in.jsonl").first().target_length == "12.0"
+    run_prepare(spark, f"{tmp_out}/out", input=f"{tmp_out}/in.jsonl", skip_invalid=True)
+    line = next(x for p in glob.glob(f"{tmp_out}/out/skipped_rows/part-*") for x in open(p) if x.strip())
+    record = json.loads(line)
+    assert record["row"] == rows[1] and record["row_number"] == 2
+
+
+def test_line_numbers_need_no_job_and_follow_files(spark, tmp_out):
+    import os
+    os.makedirs(f"{tmp_out}/many")
+    for k in range(4):
+        with open(f"{tmp_out}/many/part-{k}.txt", "w") as f:
+            f.writelines(f"{k}-{i}\n" if i % 3 else "\n" for i in range(40 * (4 - k)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        rows = IO.read_lines(spark, f"{tmp_out}/many").orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [f"{k}-{i}" if i % 3 else "" for k in range(4) for i in range(40 * (4 - k))]
+    assert [r.value for r in rows] == want and [r.line_no for r in rows] == list(range(1, len(want) + 1))
+
+
+def test_translate_and_training_flows(spark, tmp_out):
+    from paraspark.operators.inference import upper_ascii_factory
+    from paraspark.plans import flows
+    lines = [{"messages": [{"role": "user", "content": f"hi {i}"}, {"role": "assistant", "content": f"ho {i}"}], "note": i} for i in range(5)]
+    for name in ("train", "validation"):
+        with open(f"{tmp_out}/{name}.jsonl", "w") as f:
+            f.writelines(json.dumps(x) + "\n" for x in lines)
+    flows.run_translate(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/tr", upper_ascii_factory)
+    out = [json.loads(x) for p in sorted(glob.glob(f"{tmp_out}/tr/predictions/part-*")) for x in open(p) if x.strip()]
+    assert [x["note"] for x in out] == list(range(5)) and all("HI" in x["prediction"] for x in out)
+    assert IO.read_csv_table(spark, f"{tmp_out}/tr/segments").count() == 5
+    features = flows.run_training_data(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/validation.jsonl", f"{tmp_out}/feat", max_train=3)
+    assert sorted((r.split, r.line_no) for r in features.collect()) == [("train", k) for k in (1, 2, 3)] + [("validation", k) for k in range(1, 6)]
+    with open(f"{tmp_out}/empty.jsonl", "w") as f:
+        f.write("\n")
+    with pytest.raises(ValueError, match="validation"):
+        flows.run_training_data(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/empty.jsonl", f"{tmp_out}/feat2")
