@@ -35,7 +35,7 @@ CHAT_VALIDATION_RATIO = 0.2      # chat fixture split share (100 conversations a
 SMOKE_LIMIT = 400                # source rows (C4)
 TRAIN_CAP = 200                  # rows of the train split (C5)
 VALIDATION_CAP = 3               # rows of the validation split (C5)
-SAMPLE_SIZE = 32                 # sampled rows (E4, E5, E6)
+SAMPLE_SIZE = 60                 # sampled rows (E4, E5, E6)
 FACTORS = {"en-es": 2, "es-en": 1}
 MAX_LEN = 512
 DIGITS = 6
