@@ -6,13 +6,14 @@ Orders 2 and 3 permute the hash under the same ranks.  Two sets with Jaccard of
 ``percent`` share a token in their prefixes of every order.
 
 1. Texts with equal sets are one class; from here on one row stands for all copies.
-2. Prefix tokens under order 1 meet.  In every bucket one pivot is paired with the others, so a
-   bucket costs as many pairs as it has rows.  Pairs pass length and position filters, must share
-   prefix tokens under orders 2 and 3, and are then verified on whole sets.
-3. Links give components.  Only buckets whose rows are still in several components go on: small
-   ones give their remaining pairs, large ones are dealt out as pairs of bounded blocks,
-   where rows of different components are verified.  So no link between components is lost,
-   and a large group of near copies never becomes all its pairs.
+2. Prefix tokens under order 1 meet.  The sketch bounds how many rows share a token: rare tokens
+   are grouped by one shuffle, for the others counts are aggregated map-side before they meet.
+   Rows without a partner of fitting length, and pairs that fail the position filter, go.
+3. Every bucket is labelled with its smallest class, and buckets of one label are one group, so two
+   classes meet in a group if they share a prefix token, however many they share.  Groups are
+   verified in blocks of bounded size: pairs that also share prefix tokens under orders 2 and 3
+   are counted exactly on their whole sets.  A block gives a spanning forest of its links, so
+   a large group of near copies never becomes all its pairs, and no link between components is lost.
 
 Texts are read again for the sets of classes in some pair; a fixed-size bit map picks them out.
 """
@@ -27,18 +28,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import stored, table, text_or_empty
+from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty
 from paraspark.llm.components import components
 from paraspark.llm.shingles import mix, shingle_set, word_hashes
 
 WIDTH = 5
 PERCENT = 80
-SMALL = 64          # rows of a bucket whose remaining pairs are listed
-BLOCK = 256         # rows of a block of a large group
-PARTNERS = 512      # pairs of a pivot in one task
+BLOCK = 256         # rows of a block of a large group; two blocks meet in a task
+SLICE = 1000        # texts hashed before a batch goes on
+TOKEN_BYTES = 5     # of a shingle's hash that are compared within a block
 BITMAP_BITS = 23
+BROADCAST_ROWS = 1_000_000
+RARE_LEVEL = 39     # sketch cells of at most 1,022 shingles: so many rows share such a token at most
 _CHUNK = 4096       # sketch cells in a row
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)   # orders 2 and 3
 
@@ -109,22 +113,37 @@ def ranks(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return levels[(found >> np.uint64(64 - int(len(levels)).bit_length() + 1)).astype(np.int64)]
 
 
+def sliced(batches: Batches) -> Batches:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _classes(levels, width: int, percent: int) -> Callable[[Batches], Batches]:
     def make(batches: Batches) -> Batches:
-        for batch in batches:
-            size, node, tokens, offsets = [], [], [], [0]
+        done: set[int] = set()          # a task gives the prefix of a class once
+        for batch in sliced(batches):
+            size, node, rare, tokens, offsets = [], [], [], [], [0]
             for words in word_hashes(batch.column("text")):
                 found = shingle_set(words, width)
                 size.append(len(found))
                 node.append(node_of(found) if len(found) else None)
-                first = found[np.argsort(ranks(found, levels.value), kind="stable")[:prefix_length(len(found), percent)]]
-                tokens.append(first if len(found) else found)
-                offsets.append(offsets[-1] + len(tokens[-1]))
+                first = found[:0]
+                if node[-1] is not None and node[-1] not in done:
+                    done.add(node[-1])
+                    level = ranks(found, levels.value)
+                    order = np.argsort(level, kind="stable")[:prefix_length(len(found), percent)]
+                    first = found[order]
+                    rare.append(int(np.count_nonzero(level[order] <= RARE_LEVEL)))
+                else:
+                    rare.append(0)
+                tokens.append(first)
+                offsets.append(offsets[-1] + len(first))
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
             yield pa.record_batch(
-                [batch.column("id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                names=["id", "text_key", "n", "node", "tokens"])
+                [batch.column("id"), batch.column("row_key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
+                 pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                names=["id", "row_key", "n", "node", "rare", "tokens"])
     return make
 
 
@@ -151,26 +170,6 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _verify(levels, percent: int) -> Callable[[Batches], Batches]:
-    """Rows arrive by (pivot, part), the pivot's own set first; yields the pairs that link."""
-    def verify(batches: Batches) -> Batches:
-        at, pivot, prefixes = None, None, []
-        for batch in batches:
-            links = []
-            for a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "tokens")), strict=True):
-                found = np.frombuffer(raw, np.uint64)
-                level = ranks(found, levels.value)
-                if b is None:
-                    at, pivot = a, found
-                    prefixes = [other_prefix(found, level, k, percent) for k in range(len(_SALTS))]
-                elif at == a and all(common(p, other_prefix(found, level, k, percent)) for k, p in enumerate(prefixes)):
-                    shared = common(pivot, found)
-                    if 100 * shared >= percent * (len(pivot) + len(found) - shared):
-                        links.append((a, b))
-            yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    return verify
-
-
 def _bitmap(nodes: DataFrame, key: str) -> np.ndarray:
     """A bit for the low bits of every key: one megabyte, whatever the number of keys."""
     place = F.col(key).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
@@ -184,46 +183,89 @@ def _bitmap(nodes: DataFrame, key: str) -> np.ndarray:
 
 def _sets(bits, width: int) -> Callable[[Batches], Batches]:
     def make(batches: Batches) -> Batches:
-        done: set[int] = set()
-        for batch in batches:
-            place = batch.column("text_key").to_numpy() & ((1 << BITMAP_BITS) - 1)
+        for batch in sliced(batches):
+            place = batch.column("row_key").to_numpy() & ((1 << BITMAP_BITS) - 1)
             hit = (bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             node, raw = [], []
             for words in word_hashes(batch.column("text").filter(pa.array(hit.astype(bool)))):
                 found = shingle_set(words, width)
-                if len(found) and (k := node_of(found)) not in done:
-                    done.add(k)
-                    node.append(k)
-                    raw.append(found.tobytes())
+                if len(found):
+                    node.append(node_of(found))
+                    raw.append(found.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES:].tobytes())
             yield pa.record_batch([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "tokens"])
     return make
 
 
-def _block_links(percent: int):
-    """Links between rows of different components in one pair of blocks."""
-    def links(group: pa.Table) -> pa.Table:
-        raw, block = group["tokens"].to_pylist(), group["block"].to_numpy()
-        node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
-        across, sets = block.min() != block.max(), [np.frombuffer(x, np.uint64) for x in raw]
-        size = np.array([len(x) for x in sets])
-        flat, start = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1]))
-        names, counts = np.unique(comp, return_counts=True)
-        minority = np.flatnonzero(comp != names[counts.argmax()])
-        out = []
-        for x in minority:
-            other = (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
-            if across:
-                other &= block != block[x]
-            if not other.any():
-                continue
-            at = np.searchsorted(sets[x], flat)
-            at[at == size[x]] = 0
-            shared = np.add.reduceat((sets[x][at] == flat).astype(np.int64), start)
-            hit = other & (100 * shared >= percent * (size + size[x] - shared))
-            out += [(node[x], node[y]) for y in np.flatnonzero(hit)]
-        # a link within the block pair is enough once: rows already joined need no second one
-        return pa.table([pa.array([p[k] for p in _forest(out)], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    return links
+def _unpacked(raw: bytes) -> np.ndarray:
+    """The leading bytes of a set's hashes, still in order."""
+    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    out[:, 8 - TOKEN_BYTES:] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.reshape(-1).view(np.uint64)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, by products of the rows' incidence with shared tokens."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    times = np.diff(np.concatenate((starts, [len(flat)])))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)     # numbers of the tokens that several rows have
+    several = np.repeat(times > 1, times)
+    owner, column = owner[several], column[several]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        counts += part @ part.T
+    return counts.astype(np.int64)
+
+
+def block_links(nodes: list[int], sets: list[np.ndarray], levels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links within a block."""
+    size = np.array([len(x) for x in sets])
+    fit = 100 * np.minimum(size, size[:, None]) >= percent * np.maximum(size, size[:, None])
+    for order in range(len(_SALTS)):
+        prefixes = [other_prefix(x, ranks(x, levels), order, percent) for x in sets]
+        fit &= shared_counts(prefixes) > 0
+    fit = np.triu(fit, 1)
+    if not fit.any():
+        return []
+    some = np.flatnonzero(fit.any(axis=0) | fit.any(axis=1))
+    shared = shared_counts([sets[k] for k in some])
+    fit, size = fit[np.ix_(some, some)], size[some]
+    linked = fit & (100 * shared >= percent * (size + size[:, None] - shared))
+    return _forest([(nodes[some[x]], nodes[some[y]]) for x, y in zip(*np.nonzero(linked), strict=True)])
+
+
+def _verify(levels, percent: int) -> Callable[[Batches], Batches]:
+    """Rows arrive by block; yields each block's links."""
+    def verify(batches: Batches) -> Batches:
+        at, nodes, sets = None, [], []
+
+        def close() -> list[tuple[int, int]]:
+            found = block_links(nodes, sets, levels.value, percent) if len(nodes) > 1 else []
+            nodes.clear()
+            sets.clear()
+            return found
+
+        def linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("pivot", "cls", "one", "two")), strict=True)
+            for k, key in enumerate(keys):
+                if key != at:
+                    out += close()
+                    at = key
+                nodes.append(batch.column("node")[k].as_py())
+                sets.append(_unpacked(batch.column("tokens")[k].as_py()))
+            yield linked(out)
+        yield linked(close())
+    return verify
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,73 +295,58 @@ class _Join:
         self.texts, self.width, self.percent = texts, width, percent
         spark = texts.sparkSession
         self.levels = spark.sparkContext.broadcast(commonness(texts, texts.count(), width))
-        self.members = stored(texts.mapInArrow(_classes(self.levels, width, percent),
-                                               "id long, text_key long, n long, node long, tokens array<long>"), "ngram-classes")
-        self.classes = (self.members.where("n > 0").groupBy("node")
-                        .agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+        self.members = stored(texts.mapInArrow(_classes(self.levels, width, percent), "id long, row_key long, n long, "
+                                               "node long, rare int, tokens array<long>"), "ngram-classes")
+        # of the prefixes that several tasks gave for one class, the smallest row's stays
+        given = self.members.where(F.size("tokens") > 0)
+        again = stored(given.groupBy("node").agg(F.count("*").alias("times"), F.min("row_key").alias("chosen"))
+                       .where("times > 1").select("node", "chosen"), "ngram-again")
+        self.classes = (given.join(sized_broadcast(again, again.count(), BROADCAST_ROWS), "node", "left")
+                        .where("chosen IS NULL OR chosen = row_key"))
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """``(node, tokens)`` for at least the given nodes, one row each."""
-        keys = self.members.select("node", "text_key").join(nodes.select("node").distinct(), "node").groupBy("node").agg(
-            F.min("text_key").alias("text_key"))
-        bits = self.texts.sparkSession.sparkContext.broadcast(_bitmap(keys, "text_key"))
-        found = self.texts.select("text_key", "text").mapInArrow(_sets(bits, self.width), "node long, tokens binary")
-        return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` that link; a pivot with many partners is dealt out in parts."""
-        pairs = stored(pairs.select("a", "b").distinct(), "ngram-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-        sets = stored(self.sets_of(nodes), "ngram-sets")
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-        partner = (pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), "parts").alias("part"), "b")
-                   .join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "tokens"))
-        pivots = (parts.join(sets.withColumnRenamed("node", "a"), "a")
-                  .select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                          F.lit(None).cast("long").alias("b"), "tokens"))
-        met = (partner.unionByName(pivots).repartition("a", "part")
-               .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()))
-        return stored(met.mapInArrow(_verify(self.levels, self.percent), "a long, b long"), "ngram-links")
+        """``(node, tokens)`` of at least the given nodes, from one row each."""
+        keys = self.classes.select("node", "row_key").join(nodes.select("node").distinct(), "node")
+        bits = self.texts.sparkSession.sparkContext.broadcast(_bitmap(keys, "row_key"))
+        return self.texts.select("row_key", "text").mapInArrow(_sets(bits, self.width), "node long, tokens binary")
+
+    def groups(self) -> DataFrame:
+        """``(pivot, node, n)``: classes that share a prefix token with one that may link are in one group."""
+        rows = self.classes.select("node", "n", "rare", F.posexplode("tokens").alias("pos", "token"))
+        by_size = W.partitionBy("token").orderBy("n", "node")
+        whole = by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        few = (rows.where("pos < rare").select("token", "node", "n", "pos")
+               .withColumn("rows", F.count("*").over(whole)).withColumn("pivot", F.min("node").over(whole)))
+        for name, shift in (("m", "n"), ("at", "pos")):
+            few = few.withColumn(name, F.lag(shift).over(by_size)).withColumn(f"{name}2", F.lead(shift).over(by_size))
+        n, pos = F.col("n"), F.col("pos")
+        pair = _may_link(n, pos, F.coalesce("m", "m2"), F.coalesce("at", "at2"), self.percent)
+        near = (F.coalesce(100 * F.col("m") >= self.percent * n, F.lit(False))
+                | F.coalesce(100 * n >= self.percent * F.col("m2"), F.lit(False)))
+        few = few.where("rows > 1").where(F.when(F.col("rows") == 2, pair).otherwise(near)).select("pivot", "node", "n")
+        common = rows.where("pos >= rare").select("token", "node", "n")
+        met = common.groupBy("token").agg(F.count("*").alias("rows"), F.min("node").alias("pivot")).where("rows > 1")
+        many = common.join(met.select("token", "pivot"), "token").select("pivot", "node", "n")
+        return stored(few.unionByName(many).distinct(), "ngram-groups")
 
     def run(self) -> DataFrame:
-        rows = self.classes.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-        met = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("node").alias("pivot")).where("rows > 1")
-        hits = stored(rows.join(met, "token").select("token", "node", "n", "pos", "rows", "pivot"), "ngram-hits")
-        pivot = hits.where("node = pivot").select("token", F.col("n").alias("m"), F.col("pos").alias("at"))
-        star = (hits.where("node <> pivot").join(pivot, "token")
-                .where(_may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), self.percent)))
-        links = self.links(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-
-        comps = components(links)
-        rest = (hits.where("node <> pivot AND rows > 2").join(comps, "node", "left")
-                .withColumn("comp", F.coalesce("component", "node")))
-        mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        rest = stored(rest.join(mixed.select("token"), "token").select("token", "node", "n", "pos", "rows", "comp"), "ngram-rest")
-        few = rest.where(F.col("rows") <= SMALL)
-        other = few.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "comp")])
-        listed = (few.join(other, "token").where("node < node2 AND comp <> comp2")
-                  .where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), self.percent)))
-        more = self.links(listed.select(F.col("node").alias("a"), F.col("node2").alias("b")))
-        many = rest.where(F.col("rows") > SMALL)
-        found = links.union(more)
-        if not many.isEmpty():
-            found = found.union(self.block_links(many))
-        return components(found)
-
-    def block_links(self, many: DataFrame) -> DataFrame:
-        """Large buckets: those that share rows form a family; its blocks meet pair by pair."""
-        bucket = F.xxhash64("token", F.lit("bucket"))
-        family = components(many.select(F.col("node").alias("a"), bucket.alias("b")))
-        nodes = many.groupBy("node").agg(F.first("comp").alias("comp")).join(family, "node", "left").select(
-            "node", "comp", F.coalesce("component", "node").alias("family"))
-        nodes = stored(nodes, "ngram-family")
-        blocks = nodes.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        placed = (nodes.join(blocks, "family").withColumn("block", F.pmod(F.hash("node"), "blocks"))
-                  .join(self.sets_of(nodes), "node")
-                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                  .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")))
-        met = placed.select("family", "one", "two", "block", "node", "comp", "tokens").groupBy("family", "one", "two")
-        return stored(met.applyInArrow(_block_links(self.percent), "a long, b long"), "ngram-block-links")
+        groups = self.groups()
+        sizes = groups.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
+        sized = groups.join(sizes, "pivot")
+        small = sized.where(F.col("size") <= 2 * BLOCK).select("pivot", F.lit(-1).alias("cls"), "node", F.lit(1).alias("blocks"))
+        # rows of large groups meet those of the same and the neighbouring class of lengths
+        cls = F.floor(F.log("n") / math.log(100 / self.percent)).cast("int")
+        large = sized.where(F.col("size") > 2 * BLOCK).select("pivot", "node", F.explode(F.array(cls, cls + 1)).alias("cls"))
+        blocks = large.groupBy("pivot", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        placed = small.unionByName(large.join(blocks, ["pivot", "cls"]).select("pivot", "cls", "node", "blocks"))
+        block = F.pmod(F.hash("node"), "blocks")
+        placed = stored(placed.select("pivot", "cls", "node", block.alias("block"),
+                                      F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+                        .select("pivot", "cls", "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")),
+                        "ngram-blocks")
+        met = placed.join(self.sets_of(placed), "node").select("pivot", "cls", "one", "two", "node", "tokens")
+        met = met.repartition("pivot", "cls", "one", "two").sortWithinPartitions("pivot", "cls", "one", "two")
+        return components(stored(met.mapInArrow(_verify(self.levels, self.percent), "a long, b long"), "ngram-links"))
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -333,7 +360,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     are one class.  An empty table gives no rows; other columns are ignored, whatever their names.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    texts = texts.select("id", F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.select("id", F.xxhash64("id", "text").alias("row_key"), "text")
     join = _Join(texts, width, percent)
     comps = join.run()
     members = join.members.select("id", "n", "node")
