@@ -353,3 +353,15 @@ def archive_pages(df: DataFrame, id_col: str = "page_id", uri_col: str = "url",
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# base32 of a SHA-1: 40 hex digits are eight groups of five, each 20 bits, four digits
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+ d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h FROM p),
+ t AS (SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1) FOR i IN range(32)], '') AS payload_digest,
+              min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM t
+"""
