@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks: runs of inline content between block-level tags, each with its
-root-to-leaf path of block-level tags.  Per path, text length and punctuation are averaged over
-its blocks; the two ratios are fused into a score, smoothed over neighbouring blocks in page
-order, and paths whose blocks reach a share of the page's best score are content.  Paths through
+root-to-leaf path of block-level tags.  Per path, text length (linked text counts little) and
+punctuation are averaged over its blocks; the two ratios are fused into a score, smoothed over
+neighbouring blocks in page order to at most twice itself, and paths whose blocks reach a share of the page's best score are content.  Paths through
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by tag, role,
 class or id, score zero.  Content blocks name the region: their article or main elements, or
 without such the smallest element around them.  All of the region but zero-score paths is
@@ -160,10 +160,10 @@ def blocks_of(html: str) -> list[tuple[str, str, tuple[int, ...], int, bool, flo
 def path_scores(blocks: list[tuple]) -> list[float]:
     """The smoothed, fused score of each block's path."""
     totals: dict[tuple, list[float]] = {}
-    for text, path, _, region, dropped, _ in blocks:
-        sums = totals.setdefault((path, region > 0, dropped), [0, 0, 0])
+    for text, path, _, region, dropped, linked in blocks:
+        sums = totals.setdefault((path, region > 0, dropped), [0, 0.0, 0])
         sums[0] += 1
-        sums[1] += len(text)
+        sums[1] += len(text) * (1.05 - linked)
         sums[2] += len(_PUNCTUATION.findall(text))
     fused = {}
     for key, (n, chars, marks) in totals.items():
@@ -171,7 +171,7 @@ def path_scores(blocks: list[tuple]) -> list[float]:
     raw = [fused[path, region > 0, dropped] for _, path, _, region, dropped, _ in blocks]
     padded = [raw[0], *raw, raw[-1]] if raw else []
     smooth = [(padded[k] + 2 * padded[k + 1] + padded[k + 2]) / 4 for k in range(len(raw))]
-    return [s if r else 0.0 for s, r in zip(smooth, raw, strict=True)]
+    return [min(s, 2 * r) for s, r in zip(smooth, raw, strict=True)]
 
 
 def main_text(html: str) -> list[str]:
