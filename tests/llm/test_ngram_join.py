@@ -35,12 +35,10 @@ def expected(texts):
     return {i: (len(sets[i]), comps[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("small", "rare"), [(64, 39), (2, 39), (2, 0)])
-def test_matches_brute_force(spark, monkeypatch, small, rare):
-    # small buckets and no rare tokens: large groups go through blocks, all tokens through the salted way
-    monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "BLOCK", 16)
-    monkeypatch.setattr(N, "PARTNERS", 8)
+@pytest.mark.parametrize(("block", "rare"), [(256, 39), (4, 39), (4, 0)])
+def test_matches_brute_force(spark, monkeypatch, block, rare):
+    # small blocks: groups are split by length and block; no rare tokens: all are aggregated first
+    monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N, "RARE_LEVEL", rare)
     texts = corpus(40)
     want = expected(texts)

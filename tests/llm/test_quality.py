@@ -40,13 +40,13 @@ def test_counts_match_brute_force(spark):
 def test_bands_reject_odd_texts_per_language_and_keep_clean_ones(spark):
     rng = random.Random(8)
     common = sentence(rng, 300)
-    clean = [" ".join(rng.choice(common) for _ in range(120)) for _ in range(200)]
-    odd = [" ".join("Ω漢ж"[k % 3] * rng.randint(3, 9) for k in range(80)) for _ in range(5)]
-    shout = [" ".join(w.upper() + "!!" for w in t.split()) for t in clean[:5]]
-    both = docs(spark, clean + odd + shout).union(docs(spark, [(1000 + k, t) for k, t in enumerate(odd)], lang=None))
+    clean = [" ".join(rng.choice(common) for _ in range(rng.randint(80, 160))) for _ in range(400)]
+    odd = [" ".join("Ω漢ж"[k % 3] * rng.randint(1, 3) for k in range(50)) for _ in range(5)]
+    rare = [" ".join(chr(0x1F701 + rng.randint(0, 60)) for _ in range(70)) for _ in range(5)]   # byte fallback
+    both = docs(spark, clean + odd + rare).union(docs(spark, [(1000 + k, t) for k, t in enumerate(odd)], lang=None))
     got = rows_by(quality_rules(both), "doc_id")
-    assert all(got[i]["kept"] for i in range(200))
-    assert not any(got[i]["kept"] for i in range(200, 210))
+    assert all(got[i]["kept"] for i in range(400))
+    assert not any(got[i]["kept"] for i in range(400, 410))
     # too few texts of the null language for a band
     assert all(got[1000 + k]["kept"] == (not got[1000 + k]["base_failed"]) for k in range(5))
 
