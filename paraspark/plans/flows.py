@@ -29,6 +29,11 @@ from paraspark.sources import readers as IO
 from paraspark.sources import writers as W
 
 
+PREDICTION_COLUMNS = ("direction", "row_index", "term", "target_length", "style", "source_text", "reference_text",
+                      "baseline_prediction", "baseline_gpt_score", "baseline_chrf_like", "prompt_template",
+                      "prediction", "exact_match", "token_f1", "chrf_like")
+
+
 def _params(**kw):
     return F.struct(*[F.lit(v).alias(k) for k, v in kw.items()])
 
@@ -156,6 +161,12 @@ def run_calibrate(spark: SparkSession, input: str, output_dir: str, **kw) -> Dat
         frame.unpersist()
 
 
+def prediction_table(scored: DataFrame) -> DataFrame:
+    """The 15 columns of the predictions file, in order; cases from a test file have no baseline."""
+    absent = [c for c in PREDICTION_COLUMNS if c.startswith("baseline_") and c not in scored.columns]
+    return scored.withColumns({c: F.lit("") for c in absent}).select(*PREDICTION_COLUMNS)
+
+
 def run_evaluate(spark: SparkSession, output_dir: str, predictor_factory, cases_file: str | None = None,
                  test_file: str | None = None, sample_size: int = 500, seed: int = DEFAULT_SEED,
                  direction: str = "both", prompt_template: str = "structured", batch_size: int = 8) -> DataFrame:
@@ -173,7 +184,7 @@ def run_evaluate(spark: SparkSession, output_dir: str, predictor_factory, cases_
     scored = score_predictions(predicted.withColumn("prompt_template", F.lit(prompt_template)),
                                ["row_index", "direction"]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        W.write_table_csv(scored.drop("messages"), f"{output_dir}/predictions")
+        W.write_table_csv(prediction_table(scored), f"{output_dir}/predictions")
         summary = R.eval_summary(scored)
         W.write_stats(summary, f"{output_dir}/summary")
         return summary

@@ -62,7 +62,8 @@ def test_evaluate_from_test_file(spark, tmp_out):
     summary = {r.level + str(r.direction): r for r in
                flows.run_evaluate(spark, f"{tmp_out}/ev", upper_ascii_factory, test_file=path, sample_size=4).collect()}
     assert summary["overallNone"].num_examples == 8
-    assert len(glob.glob(f"{tmp_out}/ev/predictions/part-*.csv")) >= 1
+    files = sorted(glob.glob(f"{tmp_out}/ev/predictions/part-*.csv"))
+    assert files and all(open(p).readline().strip().split(",") == list(flows.PREDICTION_COLUMNS) for p in files)
 
 
 def test_streaming_prepare(spark, tmp_out):
