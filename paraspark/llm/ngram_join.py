@@ -344,7 +344,9 @@ class _Join:
                                       F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
                         .select("pivot", "cls", "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")),
                         "ngram-blocks")
-        met = placed.join(self.sets_of(placed), "node").select("pivot", "cls", "one", "two", "node", "tokens")
+        # with the places at hand in every task the sets are shuffled once, to their blocks
+        places = sized_broadcast(placed, placed.count(), BROADCAST_ROWS)
+        met = self.sets_of(placed).join(places, "node").select("pivot", "cls", "one", "two", "node", "tokens")
         met = met.repartition("pivot", "cls", "one", "two").sortWithinPartitions("pivot", "cls", "one", "two")
         return components(stored(met.mapInArrow(_verify(self.levels, self.percent), "a long, b long"), "ngram-links"))
 
