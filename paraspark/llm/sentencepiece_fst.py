@@ -74,6 +74,7 @@ class Transducer:
     def __init__(self, raw: bytes) -> None:
         self.kind, self.prefix, self.fold, self.byte_fallback = UNIGRAM, True, True, False
         self.spell: list[str] = []
+        self.known: dict[int, bool] = {}        # whether pairs of ids are compatible
         scores, kinds = [], []
         for number, value in _fields(raw):
             if number == 1:
@@ -122,11 +123,17 @@ class Transducer:
         seen = set()
         self.ties = {s for s in tied if s in seen or seen.add(s)}
         self.tied = [p for p in self.vocabulary if len(p) > 1 and self.score[self.vocabulary[p]] in self.ties]
-        self.pairs: dict[tuple[str, str], bool] = {}
         starts: dict[str, set[int]] = {}
         for p in self.arcs:
             starts.setdefault(p[:2], {1}).add(len(p))
-        self.lengths = {two: tuple(sorted(found, reverse=True)) for two, found in starts.items()}
+            if len(p) > 2:
+                starts.setdefault(p[:3], {1}).add(len(p))
+        for head, found in starts.items():
+            if len(head) == 3 and head[:2] in self.arcs:
+                found.add(2)
+        ordered = {head: tuple(sorted(found, reverse=True)) for head, found in starts.items()}
+        self.lengths = {head: found for head, found in ordered.items() if len(head) < 3}
+        self.lengths3 = {head: found for head, found in ordered.items() if len(head) == 3}
 
     def merged(self, text: str) -> list[str]:
         """The merges in order: best score first, then leftmost."""
@@ -169,9 +176,6 @@ class Transducer:
                 limit, y = (rank[y], 1), right[0]
             else:
                 break
-        if len(self.pairs) >= 1_000_000:
-            self.pairs.clear()
-        self.pairs[a, b] = ok
         return ok
 
     # ---- composition and shortest path
@@ -187,31 +191,39 @@ class Transducer:
     def _finite(self, text: str) -> list[int]:
         """The one path of finite weight (zero) of a BPE model, depth first, long arcs first.
 
-        A position is reached by the encoding of what precedes it or not at all, so one that leads
-        nowhere is never tried again.
+        A place is reached by the encoding of what precedes it or not at all, so none is tried twice.
         """
-        n, vocabulary, lengths, pairs = len(text), self.arcs, self.lengths, self.pairs
-        steps: list[str] = []           # pieces so far; a character outside the vocabulary stands for its bytes
-        dead, i, most = set(), 0, self.longest
+        arcs, three, two, pairs, one = self.arcs, self.lengths3, self.lengths, self.known, (1,)
+        i, n, before, ids, frames = 0, len(text), -1, [], []
+        sizes = iter(three.get(text[:3]) or two.get(text[:2]) or one)
         while i < n:
-            before = steps[-1] if steps else None
-            for size in lengths.get(text[i:i + 2], (1,)):
-                if size <= most and i + size not in dead:
-                    piece = text[i:i + size]
-                    if len(piece) == size and (piece in vocabulary or size == 1):
-                        if before is None:
-                            break
-                        known = pairs.get((before, piece))
-                        if known or known is None and self.compatible(before, piece):
-                            break
+            for size in sizes:
+                piece = text[i:i + size]
+                k = arcs.get(piece)
+                if k is None or len(piece) < size:
+                    continue
+                if before >= 0:
+                    known = pairs.get(before << 20 | k)
+                    if known is None:
+                        known = pairs[before << 20 | k] = self.compatible(self.spell[before], piece)
+                    if not known:
+                        continue
+                frames.append((i, before, sizes))
+                ids.append(k)
+                i, before = i + size, k
+                break
             else:
-                dead.add(i)
-                last = steps.pop()
-                i, most = i - len(last), len(last) - 1
-                continue
-            steps.append(piece)
-            i, most = i + size, self.longest
-        return [k for s in steps for k in ((vocabulary[s],) if s in vocabulary else self._ids(s))]
+                if text[i] in arcs:             # leads nowhere
+                    i, before, sizes = frames.pop()
+                    ids.pop()
+                    continue
+                frames.append((i, before, iter(())))
+                ids.append(-1 - ord(text[i]))   # a character outside the vocabulary: bytes, or unknown
+                i, before = i + 1, -1
+            sizes = iter(three.get(text[i:i + 3]) or two.get(text[i:i + 2]) or one)
+        if min(ids, default=0) >= 0:
+            return ids
+        return [x for k in ids for x in ((k,) if k >= 0 else self._ids(chr(-1 - k)))]
 
     def _cheapest(self, text: str) -> list[int]:
         """Shortest path of a unigram model, position by position."""
@@ -278,6 +290,8 @@ class _Cache(dict):
         if path is None:
             path = array('i', self.model.path(segment)).tobytes()
         if len(segment) <= CACHE_CHARS:
+            if len(self.model.known) > 2_000_000:
+                self.model.known.clear()
             if len(self) >= CACHE_SEGMENTS // 2:
                 self.older = dict(self)
                 self.clear()
