@@ -7,8 +7,9 @@ share of byte-fallback tokens, and entropy of the text's tokens over the most it
 Bands are taken from the whole corpus: per language and size class (power of two of tokens), the
 quartiles over distinct measurements of texts that pass the plain rules, so that a large group of
 copies weighs as one text.  A text is rejected where a measure lies further than ``REACH``
-interquartile ranges from the median; ranges have lower limits, and classes of fewer than
-``LEAST_TEXTS`` measurements or ``LEAST_TOKENS`` tokens reject nothing.
+interquartile ranges from the median; ranges have lower limits.  In classes of fewer than
+``LEAST_TEXTS`` measurements the language's own band, twice as wide, stands in; languages of fewer
+texts, and texts of fewer than ``LEAST_TOKENS`` tokens, reject nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import stored, table, text_or_empty
+from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty
 from paraspark.llm.sentencepiece_fst import MODEL_PATH, SLICE, cache_of, share_model
 from paraspark.llm.shingles import grams, word_hashes
 
@@ -29,9 +30,10 @@ MOST_REPEATED = 30      # percent of words in repeated windows
 WINDOW = 8              # words
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-REACH = 5.0
+REACH = 4.0
 LEAST_TEXTS = 50
 LEAST_TOKENS = 32
+BROADCAST_ROWS = 100_000
 #: Lower limits of the interquartile ranges: of characters per token as a share of the median.
 FLOOR = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.02}
 
@@ -41,10 +43,11 @@ def repeated_words(words: np.ndarray, window: int = WINDOW) -> int:
     found = grams(words, window)
     if len(found) < 2:
         return 0
+    ordered = np.sort(found)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     order = np.argsort(found, kind="stable")
     again = found[order][1:] == found[order][:-1]
-    if not again.any():
-        return 0
     twice = np.zeros(len(found), bool)
     twice[order[1:][again]] = True
     twice[order[:-1][again]] = True
@@ -102,22 +105,30 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                 "n_words long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double")
 
 
-def _bands(measured: DataFrame) -> DataFrame:
-    """Per language and size class the accepted interval of every measure."""
+def _bands(measured: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """Per group the accepted interval of every measure."""
     distinct = (measured.where(~F.col("base_failed") & F.col("size_class").isNotNull())
                 .select("lang_key", "size_class", *FLOOR).distinct())
     quartiles = [F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 2000).alias(c) for c in FLOOR]
-    found = distinct.groupBy("lang_key", "size_class").agg(F.count("*").alias("texts"), *quartiles)
+    found = distinct.groupBy(*by).agg(F.count("*").alias("texts"), *quartiles)
 
-    def reach(c: str) -> Column:
+    def far(c: str) -> Column:
         least = F.lit(FLOOR[c]) * (F.col(c)[1] if c == "chars_per_token" else F.lit(1.0))
-        return F.lit(REACH) * F.greatest(F.col(c)[2] - F.col(c)[0], least)
+        return F.lit(reach) * F.greatest(F.col(c)[2] - F.col(c)[0], least)
+
+    bands = found.where(F.col("texts") >= LEAST_TEXTS).select(
+        *by, (F.col("chars_per_token")[1] - far("chars_per_token")).alias("chars_lo"),
+        (F.col("chars_per_token")[1] + far("chars_per_token")).alias("chars_hi"),
+        (F.col("byte_share")[1] + far("byte_share")).alias("byte_hi"), (F.col("entropy")[1] - far("entropy")).alias("entropy_lo"))
+    return stored(bands, "bands")
+
 
-    return found.where(F.col("texts") >= LEAST_TEXTS).select(
-        "lang_key", "size_class", (F.col("chars_per_token")[1] - reach("chars_per_token")).alias("chars_lo"),
-        (F.col("chars_per_token")[1] + reach("chars_per_token")).alias("chars_hi"),
-        (F.col("byte_share")[1] + reach("byte_share")).alias("byte_hi"),
-        (F.col("entropy")[1] - reach("entropy")).alias("entropy_lo"))
+def _inside(prefix: str = "") -> Column:
+    """Whether a text lies in its band; null without a band."""
+    lo, hi, byte_hi, entropy_lo = (F.col(prefix + c) for c in ("chars_lo", "chars_hi", "byte_hi", "entropy_lo"))
+    inside = F.col("chars_per_token").between(lo, hi) & (F.col("byte_share") <= byte_hi)
+    # entropy falls with length, so it is compared within a size class only
+    return inside & (F.col("entropy") >= entropy_lo) if not prefix else inside
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -137,10 +148,12 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("n_byte_tokens") / tokens).alias("byte_share"),
         F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("lang_key"),
         F.when(F.col("n_tokens") >= LEAST_TOKENS, F.floor(F.log2("n_tokens")).cast("int")).alias("size_class")), "quality")
-    judged = measured.join(_bands(measured), ["lang_key", "size_class"], "left")
-    inside = (F.col("chars_lo").isNull()
-              | (F.col("chars_per_token").between(F.col("chars_lo"), F.col("chars_hi"))
-                 & (F.col("byte_share") <= F.col("byte_hi")) & (F.col("entropy") >= F.col("entropy_lo"))))
+    classes = _bands(measured, ["lang_key", "size_class"], REACH)
+    languages = _bands(measured, ["lang_key"], 2 * REACH)
+    languages = languages.toDF("lang_key", *(f"lang_{c}" for c in languages.columns[1:]))
+    judged = (measured.join(sized_broadcast(classes, classes.count(), BROADCAST_ROWS), ["lang_key", "size_class"], "left")
+              .join(sized_broadcast(languages, languages.count(), BROADCAST_ROWS), "lang_key", "left"))
+    inside = F.col("size_class").isNull() | F.coalesce(_inside(), _inside("lang_"), F.lit(True))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
                          F.col("lang").alias(lang_col), "n_tokens", "chars_per_token", "byte_share", "entropy")
