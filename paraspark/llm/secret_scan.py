@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import table, text_or_empty
+from paraspark.llm.common import stored, table, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -213,7 +213,7 @@ def _sampled(rows: DataFrame, sample: int) -> dict[str, list[str]]:
         out = [(k, v) for k, kept in least.items() for v, _ in sorted(kept.items(), key=lambda x: x[1])[:sample]]
         yield pa.record_batch([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["kind", "value"])
 
-    values = rows.select("text").mapInArrow(collect, "kind string, value string").distinct()
+    values = stored(rows.select("text").mapInArrow(collect, "kind string, value string").distinct(), "secret-values")
     chosen: dict[str, list[str]] = {}
     for kind in (*KINDS, "word"):
         # each is a top-k: tasks keep their own first k
