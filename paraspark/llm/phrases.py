@@ -5,7 +5,8 @@ that start with the same words are dealt to one task each and sorted there by mu
 quicksort down to the longest phrase: the weight of an equal partition is the count of a phrase, and a
 partition below the least count is abandoned.  Two global counts come first, so that little has to be
 dealt: words, then pairs of frequent words.  A phrase cannot be more frequent than its parts, so a suffix ends
-at the first pair that is rare, and equal suffixes of a batch travel as one row with their number.
+at the first pair that is rare, equal suffixes of a batch travel once with their number, and all that a batch has
+for a task is one block.
 
 A word is known by 63 bits of a hash.  The vocabulary is counted by the words themselves, and
 another seed is taken if two words of a language ever share a hash, so the counts are exact.
@@ -252,16 +253,40 @@ def count_pairs(docs: DataFrame, seed: int, cutter) -> DataFrame:
     return docs.mapInArrow(run, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def suffixes(docs: DataFrame, seed: int, cutter) -> DataFrame:
-    """``lang, w1..w5, n``: the words from each word on as far as pairs are frequent, two at least; 0 after the end."""
+def _spread_key(words: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(words), _U)
+    for column in words.T:
+        key = mix(key * _U(31) + column.astype(_U))
+    return key
+
+
+def suffixes(docs: DataFrame, seed: int, cutter, tasks: int, hot: dict[str, np.ndarray]) -> DataFrame:
+    """``route, lang, spread, words, n``: blocks of equal suffixes' words and numbers for the tasks that sort them.
+
+    A suffix has the words from one word on as far as pairs are frequent, three at least; 0 after the end.
+    It goes where its first two words lead, and by all its words (``spread``) if these two are hot.
+    """
+
+    def blocks(lang: str, rows: np.ndarray) -> Iterator[dict]:
+        order, starts = _equal_runs(*rows.T)
+        words, n = rows[order[starts]], np.diff(np.append(starts, len(order)))
+        lead = _spread_key(words[:, :2])
+        spread = np.isin(lead, hot.get(lang, np.empty(0, _U)))
+        route = (np.where(spread, _spread_key(words), lead) % _U(tasks)).astype(np.int64)
+        order, starts = _equal_runs(route, spread)
+        for mine in np.split(order, starts[1:]) if len(order) else []:
+            mine = np.sort(mine)        # words in order compress better
+            yield {"route": int(route[mine[0]]), "lang": lang, "spread": bool(spread[mine[0]]),
+                   "words": words[mine].tobytes(), "n": n[mine].tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter.value
+        schema = pa.schema([("route", pa.int32()), ("lang", pa.string()), ("spread", pa.bool_()), ("words", pa.binary()), ("n", pa.binary())])
         for batch in batches:
             held: dict[str, list] = {}
             for lang, ids, goes_on in _by_language(batch, seed):
                 link = cut.linked(lang, ids, goes_on)
-                at = np.flatnonzero(link)
+                at = np.flatnonzero(link[:-1] & link[1:])
                 rows = np.zeros((len(at), LONGEST), np.int64)
                 alive = np.ones(len(at), bool)
                 for d in range(LONGEST):
@@ -269,14 +294,9 @@ def suffixes(docs: DataFrame, seed: int, cutter) -> DataFrame:
                     rows[alive, d] = ids[at[alive] + d]
                 held.setdefault(lang, []).append(rows)
             for lang, parts in held.items():
-                rows = np.concatenate(parts)
-                order, starts = _equal_runs(*rows.T)
-                head = rows[order[starts]]
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([lang]).take(pa.array(np.zeros(len(head), np.int64))), **dict(zip(_W, head.T)),
-                    "n": np.diff(np.append(starts, len(order)))})
+                yield pa.RecordBatch.from_pylist(list(blocks(lang, np.concatenate(parts))), schema=schema)
 
-    return docs.mapInArrow(run, f"lang string, {WORDS_TYPE}, n long")
+    return docs.mapInArrow(run, "route int, lang string, spread boolean, words binary, n binary")
 
 
 def multikey_counts(words: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -307,27 +327,24 @@ def multikey_counts(words: np.ndarray, weight: np.ndarray, least: int) -> Iterat
                     todo.append((lo + n_less, lo + n_less + len(equal), depth + 1))
 
 
-def count_phrases(rows: DataFrame, least: int, partial: bool) -> DataFrame:
-    """``lang, w1..w5, n`` of the phrases of two words and more in every task's rows."""
+def count_phrases(blocks: DataFrame, least: int) -> DataFrame:
+    """``lang, w1..w5, n, part`` of the phrases of three words and more in every task's suffixes; ``part``: not all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        coded = whole.column("lang").combine_chunks().dictionary_encode()
-        codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        words = np.column_stack([whole.column(c).to_numpy() for c in _W])
-        weight = whole.column("n").to_numpy()
-        for code, lang in enumerate(names):
-            mine = np.flatnonzero(codes == code)
-            found = [(d, mine[row], n) for d, row, n in multikey_counts(words[mine], weight[mine], 1 if partial else least) if d > 1]
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for block in batch.to_pylist():
+                held.setdefault((block["lang"], block["spread"]), []).append(
+                    (np.frombuffer(block["words"], np.int64).reshape(-1, LONGEST), np.frombuffer(block["n"], np.int64)))
+        for (lang, spread), parts in held.items():
+            words, weight = (np.concatenate(x) for x in zip(*parts))
+            found = [f for f in multikey_counts(words, weight, 1 if spread else least) if f[0] > 2]
             if found:
                 depth, row, n = (np.array(x, np.int64) for x in zip(*found))
                 kept = np.where(np.arange(LONGEST) < depth[:, None], words[row], 0)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), **dict(zip(_W, kept.T)), "n": n})
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), **dict(zip(_W, kept.T)), "n": n, "part": [spread] * len(n)})
 
-    return rows.select("lang", *_W, "n").mapInArrow(run, f"lang string, {WORDS_TYPE}, n long")
+    return blocks.select("lang", "spread", "words", "n").mapInArrow(run, f"lang string, {WORDS_TYPE}, n long, part boolean")
 
 
 def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int = LEAST_COUNT, shared: int = SHARED_ENTRIES,
@@ -336,16 +353,16 @@ def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int = LEA
     context = docs.sparkSession.sparkContext
     known = _shared(words.where(F.col("n") >= least), ["id"], shared)
     pairs = stored(count_pairs(docs, seed, context.broadcast(Cutter(known, None))).where(F.col("n") >= least), "phrase-pairs")
-    total = pairs.agg(F.sum("n")).first()[0] or 0
+    total = pairs.agg(F.sum("n")).first()[0] or 0       # suffixes are as many at most
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_suffixes))
+    # pairs that would fill half a task by themselves: fewer than two a task
+    hot = {lang: _spread_key(v) for lang, v in _shared(pairs.where(F.col("n") > total // (2 * tasks)), ["a", "b"], 2 * tasks).items()}
     cut = context.broadcast(Cutter(known, _shared(pairs, ["a", "b"], shared)))
-    # pairs that would fill half a task by themselves are dealt by all their words
-    hot = stored(pairs.where(F.col("n") > total // (2 * tasks)).select("lang", F.col("a").alias("w1"), F.col("b").alias("w2"), F.lit(True).alias("hot")), "phrase-hot")
-    rows = stored(suffixes(docs, seed, cut).join(F.broadcast(hot), ["lang", "w1", "w2"], "left"), "phrase-suffixes")    # < 2 * tasks rows
-    cold = rows.where("hot IS NULL").repartition(tasks, "lang", "w1", "w2")
-    spread = rows.where("hot").repartition(tasks, "lang", *_W)
-    added = count_phrases(spread, least, True).groupBy("lang", *_W).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return count_phrases(cold, least, False).unionByName(added)
+    dealt = suffixes(docs, seed, cut, tasks, hot).repartitionById(tasks, F.col("route"))
+    found = stored(count_phrases(dealt, least), "phrase-counts")
+    added = (found.where("part").groupBy("lang", *_W).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    two = pairs.select("lang", F.col("a").alias("w1"), F.col("b").alias("w2"), *[F.lit(0).cast("long").alias(w) for w in _W[2:]], "n")
+    return two.unionByName(found.where("NOT part").drop("part")).unionByName(added)
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, shared: int = SHARED_ENTRIES,
