@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from paraspark.constants import REQUIRED_PAIR_FIELDS
 from paraspark.operators.identity import with_scan_index
+from paraspark.sources.csv_split import read_csv_split
 
 PAIR_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in REQUIRED_PAIR_FIELDS])
 MESSAGES_TYPE = T.ArrayType(T.StructType([
@@ -44,32 +45,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header CSV in the dialect Python's csv module writes: doubled quotes, quoted newlines,
-    optional UTF-8 byte-order mark.  ``multiLine`` makes a file one task; convert big inputs to
-    Parquet once and read that."""
-    reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-              .option("encoding", "UTF-8"))
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
-    # a byte-order mark left on the first header name
-    renames = {c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")}
-    for old, new in renames.items():
-        df = df.withColumnRenamed(old, new)
-    return df
-
-
 def read_pairs_csv(spark: SparkSession, path: str, with_row_number: bool = True) -> DataFrame:
     """Pairs from CSV (A1) with a 1-based ``row_number`` in file order; ``__row`` holds the whole row as
     JSON, columns that are no required field included."""
-    df = read_csv_table(spark, path)
-    columns = list(df.columns)
-    if with_row_number:
-        df = with_scan_index(df, 1, "row_number")
+    df = read_csv_split(spark, path, index="__number" if with_row_number else None, start=1)
+    columns = [c for c in df.columns if c != "__number"]
     whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
     fields = [F.col(f).cast("string") if f in columns else F.lit(None).cast("string").alias(f) for f in REQUIRED_PAIR_FIELDS]
-    return df.select(*fields, whole.alias("__row"), *(["row_number"] if with_row_number else []))
+    return df.select(*fields, whole.alias("__row"), *([F.col("__number").alias("row_number")] if with_row_number else []))
 
 
 def _blank() -> F.Column:
@@ -146,10 +129,9 @@ def read_cases(spark: SparkSession, path: str, direction: str = "both", prompt_t
     0-based record position, counted before the direction filter.
     """
     from paraspark.operators.validate import filter_direction, require_columns
-    df = read_csv_table(spark, path)
+    df = read_csv_split(spark, path, index="__case_index")
     require_columns(df, ["source_text"], what=path)
     has_row_index = "row_index" in df.columns
-    df = with_scan_index(df, 0, "__case_index")
     for c in CASE_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))

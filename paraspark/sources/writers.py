@@ -45,7 +45,7 @@ def write_text_lines(df: DataFrame, col: str, path: str, mode: str = "errorifexi
 
 
 def write_table_csv(df: DataFrame, path: str, mode: str = "errorifexists", bom: bool = False) -> None:
-    """Header CSV that Python's csv module and :func:`read_csv_table` read back (A10); ``bom`` starts
+    """Header CSV that Python's csv module and :func:`read_csv_split` read back (A10); ``bom`` starts
     every file with a byte-order mark."""
     if bom and df.columns:
         df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])

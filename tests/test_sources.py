@@ -115,7 +115,7 @@ def test_csv_keeps_edge_spaces_and_writes_a_byte_order_mark(spark, tmp_out):
     rows = [(" lead", "trail ", "a,\"b\"\nc"), ("\t", " ", "é\U0001F600")]
     df = spark.createDataFrame(rows, "a string, b string, c string")
     W.write_table_csv(df, f"{tmp_out}/t.csv", bom=True)
-    back = IO.read_csv_table(spark, f"{tmp_out}/t.csv")
+    back = IO.read_csv_split(spark, f"{tmp_out}/t.csv")
     assert back.columns == ["a", "b", "c"]
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
@@ -166,7 +166,7 @@ def test_translate_and_training_flows(spark, tmp_out):
     flows.run_translate(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/tr", upper_ascii_factory)
     out = [json.loads(x) for p in sorted(glob.glob(f"{tmp_out}/tr/predictions/part-*")) for x in open(p) if x.strip()]
     assert [x["note"] for x in out] == list(range(5)) and all("HI" in x["prediction"] for x in out)
-    assert IO.read_csv_table(spark, f"{tmp_out}/tr/segments").count() == 5
+    assert IO.read_csv_split(spark, f"{tmp_out}/tr/segments").count() == 5
     features = flows.run_training_data(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/validation.jsonl", f"{tmp_out}/feat", max_train=3)
     assert sorted((r.split, r.line_no) for r in features.collect()) == [("train", k) for k in (1, 2, 3)] + [("validation", k) for k in range(1, 6)]
     with open(f"{tmp_out}/empty.jsonl", "w") as f:
