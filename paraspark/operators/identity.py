@@ -2,9 +2,8 @@
 
 ``row_number() OVER (ORDER BY ..)`` with no partition puts every row into one task.  Rows of files
 need no sort: a scan's rows are numbered by their place in a file block plus the rows of the blocks
-before it.  Rows of tables are numbered by their keys alone: the narrow key frame is
-range-partitioned, sorted and numbered with per-partition offsets, and joined back.
-Offsets have one row per block or partition.
+before it.  Rows of tables are dealt to cells by cuts of their keys, counted by cell and numbered within;
+the cuts are literals of the plan, so both passes deal alike.  Offsets have one row per block or cell.
 """
 
 from __future__ import annotations
@@ -12,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paraspark.session import ensure_checkpoint_dir
-
-_PID = "__pid"
 _MID = "__mid"
+SKETCH_PER_CELL = 64    # keys drawn for each cut
 
 
 def _order_cols(order_cols):
@@ -24,31 +21,58 @@ def _order_cols(order_cols):
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
-def with_row_index(df: DataFrame, order_cols, start: int = 0, name: str = "row_index",
-                   num_partitions: int | None = None) -> DataFrame:
-    """Dense index ``start, start+1, ..`` following ``order_cols`` (B1), a unique key of column names.
+def key_cuts(df: DataFrame, names: list[str], cells: int) -> list:
+    """Up to ``cells - 1`` keys that cut the rows' distinct keys into parts of about one size.
 
-    Only the key columns are sorted.  They are checkpointed to the shared checkpoint folder: the
-    counting pass and the numbering pass then read identical partitions (a recomputed range exchange
-    could sample different bounds), and a lost executor cannot renumber rows.
+    The sketch is the keys with the smallest hashes: a uniform draw of the distinct keys whose parts
+    merge by keeping the smallest again, so a task sends ``cells * SKETCH_PER_CELL`` keys at most.
+    Only the cuts come to the driver.
+    """
+    size = cells * SKETCH_PER_CELL
+    drawn = (df.select(*names).distinct().withColumn("__h", F.xxhash64(*names)).orderBy("__h", *names).limit(size)
+             .withColumn("__rn", F.row_number().over(Window.orderBy(*names)) - 1)
+             .withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))
+    # the rows at every cells-th part of the sorted draw
+    part = F.floor(F.col("__rn") * cells / F.col("__all"))
+    before = F.floor((F.col("__rn") - 1) * cells / F.col("__all"))
+    return drawn.where((F.col("__rn") > 0) & (part > before)).orderBy(*names).select(*names).collect()
+
+
+def _cell(df: DataFrame, names: list[str], cuts: list) -> Column:
+    """How many cuts are at or below the row's key: a binary search in a literal array."""
+    if not cuts:
+        return F.lit(0)
+    types = {f.name: f.dataType for f in df.schema}
+    literal = F.array(*[F.struct(*[F.lit(row[n]).cast(types[n]).alias(f"k{i}") for i, n in enumerate(names)]) for row in cuts])
+    key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= len(cuts)) & (F.get(literal, at + by - 1) <= key), at + by).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_row_index(df: DataFrame, order_cols, start: int = 0, name: str = "row_index", num_partitions: int | None = None,
+                   total: str | None = None) -> DataFrame:
+    """Dense index ``start, start+1, ..`` following ``order_cols`` (B1), column names; nulls come first.
+
+    Every row keeps its place in the result: rows of one key are numbered one after the other, in no defined
+    order among themselves.  Building the plan runs one job, which finds the cuts; nothing is written or
+    checkpointed, and rows are shuffled once, to their cells.  A rerun, or a lost executor, numbers rows alike
+    (but for rows of one key).  ``total`` adds the number of rows under that name.
     """
     names = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    keys = df.select(*names)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (keys.repartitionByRange(n, *names).sortWithinPartitions(*names).checkpoint(eager=True)
-              .withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id()))
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(_PID, _offset(Window.orderBy(_PID)))
-    # position inside a partition = monotonically_increasing_id - (pid << 33)
-    pos = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    numbered = (ranged.join(F.broadcast(offsets), _PID)
-                .select(*names, (F.col("__off") + pos + F.lit(start)).cast("bigint").alias(name)))
-    if set(df.columns) == set(names):
-        return numbered.select(*df.columns, name)
-    numbered = numbered.toDF(*(f"__key_{c}" for c in names), name)
-    same = [df[c].eqNullSafe(numbered[f"__key_{c}"]) for c in names]
-    return df.join(numbered, same).drop(*(f"__key_{c}" for c in names))
+    cells = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = _cell(df, names, key_cuts(df, names, cells))
+    counts = df.select(*names).groupBy(cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(F.col("__cell"), _offset(Window.orderBy("__cell")),
+                            F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__total"))
+    dealt = df.withColumn("__cell", cell)
+    within = F.row_number().over(Window.partitionBy("__cell").orderBy(*names)) - 1
+    # one row per cell
+    out = dealt.withColumn("__within", within).join(F.broadcast(offsets), "__cell")
+    return out.select(*df.columns, (F.col("__off") + F.col("__within") + F.lit(start)).cast("bigint").alias(name),
+                      *([F.col("__total").alias(total)] if total else []))
 
 
 def _offset(order) -> Column:

@@ -8,17 +8,16 @@ multiplicity) are kept exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paraspark.constants import DEFAULT_SEED, DEFAULT_VALIDATION_RATIO
 from paraspark.functions.hashing import HASH_SPACE, seeded_hash
+from paraspark.functions.permutation import permuted
+from paraspark.operators.bottomk import balanced_bottom
 from paraspark.operators.identity import with_row_index
 
 
-CELLS = 1024    # draw ranges of a group that are counted
-
-
 def _keys(key):
     return [key] if isinstance(key, str) else list(key)
 
@@ -62,40 +61,10 @@ def sample_balanced(df: DataFrame, key, n: int, by: str = "direction", seed: int
     the group size.  When short groups leave the total below ``min(n, rows)``, the rest is filled
     from the rows not chosen, lowest draw first.
 
-    Skew: draws are uniform, so a histogram of ``CELLS`` draw ranges per group, counted map-side,
-    tells which ranges hold a group's first ``n`` rows.  Only rows of these ranges are ranked, each
-    range by itself: a group of any size ships about ``n`` rows, whatever ``n`` is, and never meets
-    in one task.
+    One scan: every task keeps each group's ``n`` smallest draws and its size, and these summaries are merged.
     """
     keys = _keys(key)
-    drawn = df.withColumn("__h", seeded_hash(seed, *keys)).withColumn("__cell", (F.col("__h") / F.lit(HASH_SPACE // CELLS)).cast("int"))
-    cells = drawn.groupBy(by, "__cell").agg(F.count(F.lit(1)).alias("__m"))
-    before = F.sum("__m").over(Window.partitionBy(by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = (cells.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < F.lit(n))
-             .select(F.col(by).alias("__by"), F.col("__cell").alias("__of"), "__before"))
-    within = F.row_number().over(Window.partitionBy(by, "__cell").orderBy("__h", *keys))
-    cand = (drawn.join(cells, drawn[by].eqNullSafe(cells["__by"]) & (drawn["__cell"] == cells["__of"])).drop("__by", "__of")
-            .withColumn("__rn", F.col("__before") + within).where(F.col("__rn") <= F.lit(n)).drop("__before", "__cell"))
-
-    groups = df.groupBy(by).agg(F.count(F.lit(1)).alias("__g"))
-    everything = Window.partitionBy(F.lit(0))
-    groups = (groups
-              .withColumn("__off", F.row_number().over(Window.orderBy(by)) - 1)
-              .withColumn("__k", F.count(F.lit(1)).over(everything))
-              .withColumn("__total", F.sum("__g").over(everything)))
-    target = (F.lit(n) / F.col("__k")).cast("bigint") + F.when(F.col("__off") < F.lit(n) % F.col("__k"), 1).otherwise(0)
-    groups = groups.withColumn("__quota", F.least(F.col("__g"), target))
-    groups = groups.withColumn("__needed", F.least(F.lit(n).cast("bigint"), F.col("__total")) - F.sum("__quota").over(everything))
-
-    cand = cand.join(groups.select(by, "__quota", "__needed"), by)
-    chosen = F.col("__rn") <= F.col("__quota")
-    if not top_up:
-        return cand.where(chosen).drop("__h", "__rn", "__quota", "__needed")
-    # one window over the bounded candidates ranks the not-chosen rows by draw; chosen rows and
-    # the first ``needed`` of the rest are kept in the same pass
-    rest_rank = F.row_number().over(Window.partitionBy(chosen.alias("__c")).orderBy("__h", *keys))
-    out = cand.withColumn("__trn", rest_rank).where(chosen | (F.col("__trn") <= F.col("__needed")))
-    return out.drop("__h", "__rn", "__quota", "__needed", "__trn")
+    return balanced_bottom(df, seeded_hash(seed, *keys), keys, by, n, top_up)
 
 
 def replicate(df: DataFrame, factors: dict, by: str = "direction", copy_col: str = "copy") -> DataFrame:
@@ -111,13 +80,21 @@ def replicate(df: DataFrame, factors: dict, by: str = "direction", copy_col: str
     return df.select("*", F.posexplode(F.array_repeat(F.lit(0), factor)).alias(copy_col, "__zero")).drop("__zero")
 
 
-def shuffle(df: DataFrame, key, seed: int = DEFAULT_SEED, copy_col: str = "copy",
-            name: str = "position") -> DataFrame:
-    """Seeded global permutation (E8): dense positions ordered by a per-(key, copy) draw."""
+def shuffle(df: DataFrame, key, seed: int = DEFAULT_SEED, copy_col: str = "copy", name: str = "position",
+            number: str | None = None, rows: int | None = None) -> DataFrame:
+    """Seeded global permutation (E8): every row's dense position as a projection of its dense number.
+
+    ``number`` names a column of dense numbers from 0 and ``rows`` how many there are: then nothing moves.  Without
+    them the rows are numbered by key and copy first; rows of one key and copy are permuted as well.
+    """
+    if number is not None:
+        if rows is None:
+            raise ValueError("the permutation of given numbers needs the number of rows")
+        return df.withColumn(name, permuted(seed, number, F.lit(rows)))
     keys = _keys(key)
     ident = keys + ([copy_col] if copy_col in df.columns else [])
-    drawn = df.withColumn("__h", seeded_hash(seed, *ident))
-    return with_row_index(drawn, ["__h", *ident], name=name).drop("__h")
+    numbered = with_row_index(df, ident, name="__number", total="__rows")
+    return numbered.withColumn(name, permuted(seed, "__number", "__rows")).drop("__number", "__rows")
 
 
 def reweight(train: DataFrame, validation: DataFrame, key, factors: dict, seed: int = DEFAULT_SEED,

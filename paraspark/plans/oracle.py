@@ -24,6 +24,22 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def permutation_sql(rows: str, keys: str, seed: int) -> str:
+    """CTEs that end in ``permuted``: ``rows`` with the place of their number, in order of ``keys``, as ``position``."""
+    def draw(k, side):
+        return h(seed, f"'{k}:' || CAST({side} AS VARCHAR)")
+    net = "SELECT *, x % a AS l0, x // a AS r0 FROM walk WHERE step = 0 OR x >= n"
+    for k in range(4):
+        moved = (f"(l{k} + {draw(k, f'r{k}')}) % a AS l{k + 1}, r{k} AS r{k + 1}" if k % 2 == 0
+                 else f"l{k} AS l{k + 1}, (r{k} + {draw(k, f'l{k}')}) % b AS r{k + 1}")
+        net = f"SELECT *, {moved} FROM ({net})"
+    return f"""numbered AS (SELECT {keys}, row_number() OVER (ORDER BY {keys}) - 1 AS x, count(*) OVER () AS n FROM {rows}),
+sides AS (SELECT *, greatest(CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT), 1) AS a FROM numbered),
+walk AS (SELECT {keys}, x, n, a, (n + a - 1) // a AS b, 0 AS step FROM sides
+         UNION ALL SELECT {keys}, r4 * a + l4, n, a, b, step + 1 FROM ({net})),
+permuted AS (SELECT {keys}, CAST(x AS BIGINT) AS position FROM walk WHERE step > 0 AND x < n)"""
+
+
 def h(seed: int, key_sql: str) -> str:
     return f"CAST('0x' || substr(md5('{int(seed)}:' || CAST({key_sql} AS VARCHAR)), 1, 8) AS BIGINT)"
 
@@ -409,9 +425,8 @@ FROM (SELECT direction, count(*) AS n FROM fx_chat2 GROUP BY direction)""", "fx_
 SELECT conv_id, direction, CAST(unnest(range(0, factor)) AS BIGINT) AS copy FROM f""", "fx_chat2"),
     "shuffle_order": with_fx(f"""WITH f AS (SELECT conv_id, direction,
   CASE direction WHEN 'en-es' THEN 2 WHEN 'es-en' THEN 1 ELSE 1 END AS factor FROM fx_chat2),
-r AS (SELECT conv_id, CAST(unnest(range(0, factor)) AS BIGINT) AS copy FROM f)
-SELECT conv_id, copy, row_number() OVER (ORDER BY {h(SEED, "CAST(conv_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR)")}, conv_id, copy) - 1 AS position
-FROM r""", "fx_chat2"),
+r AS (SELECT conv_id, CAST(unnest(range(0, factor)) AS BIGINT) AS copy FROM f),
+{permutation_sql("r", "conv_id, copy", SEED)} SELECT conv_id, copy, position FROM permuted""", "fx_chat2").replace("WITH ", "WITH RECURSIVE ", 1),
     "weight_validation": with_fx(f"""WITH s AS (SELECT conv_id, direction,
   CASE WHEN {h(SEED, 'conv_id')} < {Q.CHAT_VALIDATION_RATIO} * 4294967296 THEN 'validation' ELSE 'train' END AS split,
   CASE direction WHEN 'en-es' THEN 2 WHEN 'es-en' THEN 1 ELSE 1 END AS factor FROM fx_chat2)
