@@ -22,20 +22,19 @@ def _order_cols(order_cols):
 
 
 def key_cuts(df: DataFrame, names: list[str], cells: int) -> list:
-    """Up to ``cells - 1`` keys that cut the rows' distinct keys into parts of about one size.
+    """Up to ``cells - 1`` keys that cut the rows into parts of about one size.
 
-    The sketch is the keys with the smallest hashes: a uniform draw of the distinct keys whose parts
+    The sketch is the rows whose keys have the smallest hashes: a uniform draw of keys whose parts
     merge by keeping the smallest again, so a task sends ``cells * SKETCH_PER_CELL`` keys at most.
-    Only the cuts come to the driver.
+    Only the cuts come to the driver; any cuts give the right numbers, even ones give even tasks.
     """
     size = cells * SKETCH_PER_CELL
-    drawn = (df.select(*names).distinct().withColumn("__h", F.xxhash64(*names)).orderBy("__h", *names).limit(size)
-             .withColumn("__rn", F.row_number().over(Window.orderBy(*names)) - 1)
-             .withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))
-    # the rows at every cells-th part of the sorted draw
-    part = F.floor(F.col("__rn") * cells / F.col("__all"))
-    before = F.floor((F.col("__rn") - 1) * cells / F.col("__all"))
-    return drawn.where((F.col("__rn") > 0) & (part > before)).orderBy(*names).select(*names).collect()
+    drawn = df.select(*names, F.xxhash64(*names).alias("__h")).orderBy("__h").limit(size)
+    # the bounded draw is one array; its elements at every cells-th part are the cuts
+    sorted_ = F.array_sort(F.collect_set(F.struct(*names)))
+    cuts = drawn.agg(sorted_.alias("s")).select(F.filter("s", lambda _, i: (i > 0) & (
+        F.floor(i * cells / F.size("s")) > F.floor((i - 1) * cells / F.size("s")))).alias("cuts"))
+    return cuts.first()["cuts"]
 
 
 def _cell(df: DataFrame, names: list[str], cuts: list) -> Column:

@@ -1,9 +1,9 @@
 """Text metrics (H1-H6).
 
 Exact match is a projection.  Token F1 and the character n-gram F-score need multiset
-intersections of one case's two texts, which sit in the same row: one Arrow-batched function counts
-them in numpy, so scoring is a projection too, without a shuffle, a sort or a join back.  Overlaps of
-equal normalised texts, or with an empty side, follow from the lengths.  Characters are code points throughout.  Per-order F-scores are averaged with the same
+intersections of one case's two texts, which sit in the same row: an Arrow function counts those of a whole
+batch by sorting its grams once an order (:mod:`paraspark.functions.bags`), so scoring is a projection too, without a
+shuffle or a join back.  Characters are code points throughout.  Per-order F-scores are averaged with the same
 operation order as the definition; queries round to 6 decimals.
 
 ``bag_items`` gives the bags themselves, a row per occurrence.
@@ -12,11 +12,13 @@ operation order as the definition; queries round to 6 decimals.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paraspark.constants import CHRF_BETA, CHRF_MAX_ORDER
+from paraspark.functions import bags
 from paraspark.functions.text import normalize_text
 
 _NP, _NR, _SCORES = "__np", "__nr", "__scores"
@@ -63,60 +65,16 @@ def bag_items(cases: DataFrame, key_cols: list, max_order: int = CHRF_MAX_ORDER,
     return out
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Size of the multiset intersection, and both bags as small dense numbers."""
-    names, dense = np.unique(np.concatenate((a, b)), return_inverse=True)
-    p, r = dense[:len(a)], dense[len(a):]
-    return int(np.minimum(np.bincount(p, minlength=len(names)), np.bincount(r, minlength=len(names))).sum()), p, r
-
-
-def _overlaps(pred: str, ref: str, max_order: int) -> list[int]:
-    """Overlap of the token bags, then of the character n-gram bags of every order."""
-    words: dict[str, int] = {}
-    bags = [np.array([words.setdefault(w, len(words)) for w in t.split(" ")]) for t in (pred, ref)]
-    out = [_shared(*bags)[0]]
-    first = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (pred, ref)]
-    bags = first
-    for n in range(1, max_order + 1):
-        if min(len(first[0]), len(first[1])) < n:
-            out.append(int(pred == ref))        # a short text is one gram, equal only to itself
-            continue
-        if n > 1:
-            # a gram is the one before it and a character; code points have 21 bits
-            bags = [(x[:len(c) - n + 1] << 21) | c[n - 1:] for x, c in zip(bags, first, strict=True)]
-        shared, *bags = _shared(*bags)
-        out.append(shared)
-    return out
-
-
 def bag_overlap(pred, ref, max_order: int = CHRF_MAX_ORDER) -> Column:
     """Multiset intersection sizes of two normalised, non-empty texts (H5): tokens, then orders 1 to
     ``max_order``; null where either is null."""
-    @F.pandas_udf("array<bigint>")
-    def overlaps(p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _overlaps(x, y, max_order) for x, y in zip(p, r, strict=True)],
-                         dtype=object)
-    return overlaps(pred, ref)
-
-
-def _f_score(shared: float, n_pred: int, n_ref: int, beta2: float) -> float:
-    if not n_pred or not n_ref:
-        return float(n_pred == n_ref)
-    if not shared:
-        return 0.0
-    precision, recall = shared / n_pred, shared / n_ref
-    return ((1.0 + beta2) * precision * recall) / (beta2 * precision + recall)
-
-
-def _scores(pred: str, ref: str, max_order: int, beta: float) -> tuple[int, float, float]:
-    """Exact match, token F1 and mean n-gram F of two normalised texts."""
-    same = pred == ref
-    tokens = [t.count(" ") + 1 if t else 0 for t in (pred, ref)]
-    lengths = [len(pred), len(ref)]
-    sizes = [tokens] + [[min(n, 1) if n < o else n - o + 1 for n in lengths] for o in range(1, max_order + 1)]
-    shared = ([p for p, _ in sizes] if same else _overlaps(pred, ref, max_order) if pred and ref else [0] * (max_order + 1))
-    fs = [_f_score(float(x), *n, 1.0 if not k else beta * beta) for k, (x, n) in enumerate(zip(shared, sizes, strict=True))]
-    return int(same), fs[0], sum(fs[1:]) / max_order if max_order else 0.0
+    @F.arrow_udf("array<bigint>")
+    def shared(p: pa.Array, r: pa.Array) -> pa.Array:
+        known = pc.and_(pc.is_valid(p), pc.is_valid(r))
+        found, _ = bags.overlaps(pc.fill_null(p, ""), pc.fill_null(r, ""), max_order)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, 1 + max_order), pa.int32()), pa.array(found.T.reshape(-1)))
+        return pc.if_else(known, lists, pa.scalar(None, lists.type))
+    return shared(pred, ref)
 
 
 def score_predictions(df: DataFrame, key=None, pred: str = "prediction", ref: str = "reference_text",
@@ -128,21 +86,22 @@ def score_predictions(df: DataFrame, key=None, pred: str = "prediction", ref: st
     """
     orders = max_order if "chrf_like" in metrics else 0
 
-    @F.pandas_udf("exact_match int, token_f1 double, chrf_like double")
-    def scores(p: pd.Series, r: pd.Series) -> pd.DataFrame:
-        found = [(None, None, None) if y is None else _scores(x, y, orders, beta) for x, y in zip(p, r, strict=True)]
-        return pd.DataFrame(found, columns=["exact_match", "token_f1", "chrf_like"]).astype(
-            {"exact_match": "Int32", "token_f1": "float64", "chrf_like": "float64"})
+    @F.arrow_udf("exact_match int, token_f1 double, chrf_like double")
+    def scores(p: pa.Array, r: pa.Array) -> pa.Array:
+        found, sizes = bags.overlaps(pc.fill_null(p, ""), pc.fill_null(r, ""), orders)
+        by_order = [bags.f_scores(found[k], sizes[k], beta if k else 1.0) for k in range(orders + 1)]
+        mean = sum(by_order[1:]) / orders if orders else np.zeros(len(p))
+        unscored = pc.is_null(r)
+        return pa.StructArray.from_arrays(
+            [pc.fill_null(pc.equal(p, r), False).cast(pa.int32()), pa.array(by_order[0]), pa.array(mean)],
+            ["exact_match", "token_f1", "chrf_like"], mask=unscored)
 
     scored = F.col(ref).isNotNull() & (F.col(ref) != "")
     keep = [c for c in df.columns if c not in metrics]
     if tuple(metrics) == ("exact_match",):
         return df.select(*keep, exact_match(F.coalesce(F.col(pred), F.lit("")), ref).alias("exact_match"))
     found = scores(normalize_text(F.coalesce(F.col(pred), F.lit(""))), F.when(scored, normalize_text(ref)))
-    out = df.withColumn(_SCORES, found)
-    # pandas has no null doubles: a case without a reference has no exact match either
-    null = F.col(_SCORES)["exact_match"].isNull()
-    return out.select(*keep, *[F.when(~null, F.col(_SCORES)[m]).alias(m) for m in metrics])
+    return df.withColumn(_SCORES, found).select(*keep, *[F.col(_SCORES)[m].alias(m) for m in metrics])
 
 
 def token_f1(df: DataFrame, key, pred: str = "prediction", ref: str = "reference_text") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.sources.readers import read_table
+from paraspark.sources.readers import read_table, spread_small
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def fx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _docs(spark, sf_dir).select("doc_id", "source", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    joined = docs.join(_next_text(docs), "doc_id", "left").join(labels, "doc_id", "left")
+    joined = spread_small(docs, "doc_id").join(_next_text(docs), "doc_id", "left").join(labels, "doc_id", "left")
     n_words = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1
     return joined.select(
         F.col("doc_id").alias("pair_id"),
@@ -76,7 +76,7 @@ def fx_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     basic plane, the next text with a stop marker and tail, and vowels changed with edge spaces;
     every fortieth prediction is empty, every tenth case has no reference."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    joined = docs.join(_next_text(docs), "doc_id", "left")
+    joined = spread_small(docs, "doc_id").join(_next_text(docs), "doc_id", "left")
     v4 = F.col("doc_id") % 4
     raw = (F.when(v4 == 0, F.concat(F.lit("  "), F.lower("text"), F.lit(" ")))
             .when(v4 == 1, F.replace("text", F.lit(" the "), F.lit(" \U0001F600 ")))
@@ -95,7 +95,7 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two evaluation runs over every conversation turn in both directions."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
-    base = conv.join(nxt, ["conv_id", "turn"], "left")
+    base = spread_small(conv, "conv_id", "turn").join(nxt, ["conv_id", "turn"], "left")
     fan = (base
            .withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
            .withColumn("dk", F.explode(F.array(

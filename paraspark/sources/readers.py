@@ -45,6 +45,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """A scanned table dealt to all cores by ``keys``, if it is too small for its splits to fill them.
+
+    A file with one row group is one task, however many cores there are.  From a split for every core on
+    (``spark.sql.files.maxPartitionBytes`` each) the table is left as it is read: nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * split else df
+
+
 def read_pairs_csv(spark: SparkSession, path: str, with_row_number: bool = True) -> DataFrame:
     """Pairs from CSV (A1) with a 1-based ``row_number`` in file order; ``__row`` holds the whole row as
     JSON, columns that are no required field included."""
