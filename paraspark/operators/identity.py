@@ -8,8 +8,11 @@ the cuts are literals of the plan, so both passes deal alike.  Offsets have one
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MID = "__mid"
 SKETCH_PER_CELL = 64    # keys drawn for each cut
@@ -21,12 +24,12 @@ def _order_cols(order_cols):
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
-def key_cuts(df: DataFrame, names: list[str], cells: int) -> list:
+def key_cuts(df: DataFrame, names: list[str], cells: int) -> str:
     """Up to ``cells - 1`` keys that cut the rows into parts of about one size.
 
     The sketch is the rows whose keys have the smallest hashes: a uniform draw of keys whose parts
     merge by keeping the smallest again, so a task sends ``cells * SKETCH_PER_CELL`` keys at most.
-    Only the cuts come to the driver; any cuts give the right numbers, even ones give even tasks.
+    Only the cuts come to the driver, as JSON; any cuts give the right numbers, even ones give even tasks.
     """
     size = cells * SKETCH_PER_CELL
     drawn = df.select(*names, F.xxhash64(*names).alias("__h")).orderBy("__h").limit(size)
@@ -34,20 +37,21 @@ def key_cuts(df: DataFrame, names: list[str], cells: int) -> list:
     sorted_ = F.array_sort(F.collect_set(F.struct(*names)))
     cuts = drawn.agg(sorted_.alias("s")).select(F.filter("s", lambda _, i: (i > 0) & (
         F.floor(i * cells / F.size("s")) > F.floor((i - 1) * cells / F.size("s")))).alias("cuts"))
-    return cuts.first()["cuts"]
+    return cuts.select(F.to_json("cuts")).first()[0]
 
 
-def _cell(df: DataFrame, names: list[str], cuts: list) -> Column:
-    """How many cuts are at or below the row's key: a binary search in a literal array."""
-    if not cuts:
+def _cell(df: DataFrame, names: list[str], cuts: str) -> Column:
+    """How many cuts are at or below the row's key: a binary search in an array that is a literal of the plan."""
+    n = len(json.loads(cuts))
+    if not n:
         return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema}
-    literal = F.array(*[F.struct(*[F.lit(row[n]).cast(types[n]).alias(f"k{i}") for i, n in enumerate(names)]) for row in cuts])
-    key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    kind = T.ArrayType(df.select(*names).schema)
+    literal = F.array_sort(F.from_json(F.lit(cuts), kind))
+    key = F.struct(*names)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
 
     def step(at: Column, by: Column) -> Column:
-        return F.when((at + by <= len(cuts)) & (F.get(literal, at + by - 1) <= key), at + by).otherwise(at)
+        return F.when((at + by <= n) & (F.get(literal, at + by - 1) <= key), at + by).otherwise(at)
     return F.aggregate(steps, F.lit(0), step)
 
 
