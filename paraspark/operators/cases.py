@@ -71,10 +71,16 @@ def with_case_messages(df: DataFrame, prompt_template: str = "structured") -> Da
 
 def segment_columns(chat: DataFrame) -> DataFrame:
     """Segment table of chat rows (D16): the optional columns or '', ``segment_id`` falling back to the
-    line number, the source text, and whatever else ``chat`` holds but its messages and raw line."""
+    line number, the source text, and whatever else ``chat`` holds but its messages and raw line.
+
+    With the raw line at hand, a ``segment_id`` that is there but null stays null.
+    """
     names = ("segment_id", "accent", "youtube_id", "start_time", "duration")
     there = {c: F.col(c) if c in chat.columns else F.lit(None).cast("string") for c in names}
     other = [c for c in chat.columns if c not in (*names, "messages", "metadata", "raw")]
+    segment = F.coalesce(there["segment_id"], F.col("line_no").cast("string"))
+    if "raw" in chat.columns:
+        segment = F.when(F.array_contains(F.json_object_keys("raw"), "segment_id"), there["segment_id"]).otherwise(segment)
     return chat.select(
-        F.coalesce(there["segment_id"], F.col("line_no").cast("string")).alias("segment_id"),
+        segment.alias("segment_id"),
         *[F.coalesce(there[c], F.lit("")).alias(c) for c in names[1:]], source_text("messages").alias("source_text"), *other)

@@ -49,10 +49,17 @@ def regression_gate(a: DataFrame, b: DataFrame, key, metric: str = "chrf_like",
         F.coalesce((F.col("up") > 0) & (F.col("down") >= -F.lit(tol)), F.lit(False)).alias("accepted"))
 
 
-def same_cases(df: DataFrame, cases: DataFrame, key) -> DataFrame:
-    """Restrict a run to the cases of an earlier run (J3): left semi join."""
+def same_cases(df: DataFrame, cases: DataFrame, key, index: str | None = None) -> DataFrame:
+    """Restrict a run to the cases of an earlier run (J3): left semi join.
+
+    ``index`` names the cases' position (``case_index`` of ``read_cases``): the rows then carry it and come in its
+    order, a key that the cases repeat at its first place.  Rows of ``df`` keep their number either way.
+    """
     keys = _keys(key)
-    return df.join(cases.select(*keys), keys, "left_semi")
+    if index is None:
+        return df.join(cases.select(*keys), keys, "left_semi")
+    places = cases.groupBy(*keys).agg(F.min(index).alias(index))
+    return df.drop(index).join(places, keys).orderBy(index, *keys)
 
 
 def carry_baseline(df: DataFrame, baseline: DataFrame, key,

@@ -6,7 +6,7 @@ split) so the ratio windows run over a handful of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraspark.constants import NO_METRICS_NOTE
@@ -57,19 +57,58 @@ def eval_summary(scored: DataFrame, ref: str = "reference_text", digits: int | N
     )
 
 
+def prepare_metrics(bidirectional: bool = False, valid_col: str = "valid", split_col: str = "split") -> list[Column]:
+    """Row accounting of a prepare run as aggregates: of a frame, or observed while its rows pass to a sink."""
+    per_row = 2 if bidirectional else 1
+    valid = F.col(valid_col)
+    return [F.count(F.lit(1)).alias("source_rows"), F.count_if(~valid).alias("skipped"),
+            (F.count_if(valid & (F.col(split_col) == "train")) * per_row).alias("train"),
+            (F.count_if(valid & (F.col(split_col) == "validation")) * per_row).alias("validation")]
+
+
 def prepare_stats(df: DataFrame, bidirectional: bool = False, valid_col: str = "valid",
                   split_col: str = "split") -> DataFrame:
     """Row accounting of a prepare run in one conditional aggregate."""
-    per_row = 2 if bidirectional else 1
-    valid = F.col(valid_col)
-    train = F.count_if(valid & (F.col(split_col) == "train")) * per_row
-    validation = F.count_if(valid & (F.col(split_col) == "validation")) * per_row
-    return df.agg(
-        F.count(F.lit(1)).alias("source_rows"),
-        F.count_if(~valid).alias("skipped"),
-        train.alias("train"),
-        validation.alias("validation"),
-    ).withColumn("total", F.col("train") + F.col("validation"))
+    counts = df.agg(*prepare_metrics(bidirectional, valid_col, split_col))
+    return counts.withColumn("total", F.col("train") + F.col("validation"))
+
+
+def prepare_document(counts: dict, sources: list[str], output_dir: str, **options) -> dict:
+    """The report of a prepare run (A12): sources, outputs, counts and options."""
+    skipped = f"{output_dir}/skipped_rows" if options["skip_invalid"] else None
+    return {"sources": sources, "train_path": f"{output_dir}/examples/split=train",
+            "validation_path": f"{output_dir}/examples/split=validation", "total": counts["train"] + counts["validation"],
+            **{k: counts[k] for k in ("source_rows", "train", "validation", "skipped")}, **options, "skipped_rows_path": skipped}
+
+
+def reweight_document(rows: list[dict], sources: dict, output_dir: str, seed: int, shuffled: bool, factors: dict,
+                      weight_validation: bool) -> dict:
+    """The report of a re-weighting run (A12): options, and for each split totals, counts and shares by direction."""
+    def split(name: str) -> dict:
+        mine = sorted((r for r in rows if r["split"] == name), key=lambda r: r["direction"])
+        out: dict = {}
+        for side in ("input", "output"):
+            kept = [r for r in mine if r[f"{side}_count"]]
+            out[f"{side}_total"] = sum(r[f"{side}_count"] for r in kept)
+            out[f"{side}_direction_counts"] = {r["direction"]: r[f"{side}_count"] for r in kept}
+            out[f"{side}_direction_ratio"] = {r["direction"]: r[f"{side}_ratio"] for r in kept}
+        return out
+
+    return {"sources": sources, "outputs": {s: f"{output_dir}/{s}" for s in ("train", "validation")}, "seed": seed,
+            "shuffled": shuffled, "repeats": factors, "weight_validation": weight_validation,
+            "train": split("train"), "validation": split("validation")}
+
+
+def eval_document(rows: list[dict]) -> dict:
+    """The summary of an evaluation run (A12): counts and means over all rows, then for each direction."""
+    def part(row: dict) -> dict:
+        counts = {k: row[k] for k in ("num_examples", "num_scored_examples")}
+        return counts | ({k: row[k] for k in ("exact_match", "token_f1", "chrf_like")} if row["num_scored_examples"] else {})
+
+    (whole,) = [r for r in rows if r["level"] == "overall"]
+    note = {"metrics_note": whole["metrics_note"]} if whole["metrics_note"] else {}
+    return part(whole) | note | {r["direction"]: part(r) for r in sorted(
+        (r for r in rows if r["level"] == "direction"), key=lambda r: r["direction"])}
 
 
 def reweight_report(df: DataFrame, factors: dict, by: str = "direction", split_col: str = "split",

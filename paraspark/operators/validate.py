@@ -56,6 +56,18 @@ def require_valid(df: DataFrame, required=REQUIRED_PAIR_FIELDS, source: str | li
     return df
 
 
+INVALID = "row of an input lacks required fields"
+
+
+def failing_on_invalid(df: DataFrame, source_col: str, row_col: str = "row_number") -> DataFrame:
+    """Strict mode while rows pass: the ``valid`` column fails the job that meets an invalid row.
+
+    A sink that commits all its tasks together then leaves nothing, and no pass of its own is needed.
+    """
+    message = F.concat(F.lit(INVALID + ": "), error_message(F.col(source_col), F.col(row_col), F.col("missing")))
+    return df.withColumn("valid", F.when(F.col("valid"), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def quarantine(df: DataFrame, required=REQUIRED_PAIR_FIELDS, source: str = "input",
                row_col: str = "row_number"):
     """Skip-invalid mode (C3): ``(valid rows, rejected rows as T3 records)``."""
@@ -79,25 +91,72 @@ def limit_source(df: DataFrame, n: int | None, row_col: str = "row_number", firs
     return df.where(F.col(row_col) < F.lit(first + n))
 
 
+RANGES = 1024       # counted parts of a key range
+
+
 def take_first(df: DataFrame, n: int | None, order_cols, by: str | None = "split") -> DataFrame:
     """First ``n`` rows in key order, per split.
 
-    The literal bound lets Spark plan a partial ``WindowGroupLimit`` before the shuffle, so at most
-    ``n`` rows per split leave each map task whatever the split size; the session's limit for that
-    plan is raised to ``n`` where it is lower.
+    A key that is one integer column is cut by order statistics: rounds of counts over ``RANGES`` parts of the range
+    in which the n-th key lies find it exactly, and the cap is a filter, ``key <= cut`` for each split, with no window
+    or sort for any ``n``.  Each split needs unique keys there; other keys, and a null one, are ranked by a window.
     """
     if n is None:
         return df
-    conf, limit = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(conf.get(limit)) < n:
-        conf.set(limit, str(n))
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    numeric = len(cols) == 1 and dict(df.dtypes)[cols[0]] in ("bigint", "int", "smallint", "tinyint")
+    if numeric and (cuts := key_at_rank(df, cols[0], n, by)) is not None:
+        if by is None:
+            return df if not cuts else df.where(F.col(cols[0]) <= cuts[None])
+        keep = F.lit(True)
+        for split, cut in cuts.items():
+            keep = F.when(F.col(by).eqNullSafe(F.lit(split)), F.col(cols[0]) <= cut).otherwise(keep)
+        return df.where(keep)
     if by is None:
         return df.orderBy(*cols).limit(n)
     w = Window.partitionBy(by).orderBy(*cols)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
+def key_at_rank(df: DataFrame, key: str, n: int, by: str | None = None) -> dict | None:
+    """The ``n``-th smallest key of every split with more than ``n`` rows; None if a key is null or shared around the cut.
+
+    Every round counts the rows of each split's open range in at most ``RANGES`` parts, so the driver sees
+    that many numbers a split; a range of 64-bit keys is closed after seven rounds at most.
+    """
+    split = F.col(by) if by else F.lit(None).cast("string")
+    bounds = (df.groupBy(split.alias("s")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("m"),
+                                               F.count_if(F.col(key).isNull()).alias("nulls")).collect())
+    if any(r["nulls"] for r in bounds):
+        return None
+    if n <= 0:
+        return {r["s"]: r["lo"] - 1 for r in bounds}
+    open_, cuts = {r["s"]: (r["lo"], r["hi"], n) for r in bounds if r["m"] > n}, {}
+    while open_:
+        part, inside = F.lit(None).cast("bigint"), F.lit(False)
+        for s, (lo, hi, _) in open_.items():
+            mine = split.eqNullSafe(F.lit(s)) & F.col(key).between(lo, hi)
+            width = (hi - lo) // RANGES + 1
+            part = F.when(mine, F.call_function("div", F.col(key).cast("decimal(20,0)") - lo, F.lit(width).cast("decimal(20,0)"))).otherwise(part)
+            inside = inside | mine
+        counts = df.where(inside).groupBy(split.alias("s"), part.alias("part")).agg(F.count(F.lit(1)).alias("m")).collect()
+        for s, (lo, hi, rank) in list(open_.items()):
+            width = (hi - lo) // RANGES + 1
+            for r in sorted((r for r in counts if r["s"] == s), key=lambda r: r["part"]):
+                if rank <= r["m"]:
+                    break
+                rank -= r["m"]
+            lo, hi = lo + r["part"] * width, min(hi, lo + (r["part"] + 1) * width - 1)
+            if lo < hi:
+                open_[s] = (lo, hi, rank)
+            else:
+                del open_[s]
+                if r["m"] != rank:
+                    return None     # the rows of the n-th key do not end with the n-th row
+                cuts[s] = lo
+    return cuts
+
+
 def filter_direction(df: DataFrame, direction: str, col: str = "direction") -> DataFrame:
     """Direction filter (C6): an empty direction takes the argument, which must then not be
     ``both``; directions not asked for are dropped."""

@@ -8,14 +8,17 @@ JSON.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paraspark.constants import (
     DEFAULT_CALIBRATION_SIZE, DEFAULT_SEED, DEFAULT_TASK_PREFIX, DEFAULT_VALIDATION_RATIO, PROMPT_ONLY_MODE,
 )
 from paraspark.functions import chat as C
+from paraspark.functions.hashing import seeded_hash
 from paraspark.functions.text import token_count
 from paraspark.operators import cases as X
 from paraspark.operators import reports as R
@@ -27,15 +30,13 @@ from paraspark.operators.metrics import score_predictions
 from paraspark.operators.tokens import encode, supervised_only
 from paraspark.sources import readers as IO
 from paraspark.sources import writers as W
+from paraspark.sources.routed import write_routed
 
 
 PREDICTION_COLUMNS = ("direction", "row_index", "term", "target_length", "style", "source_text", "reference_text",
                       "baseline_prediction", "baseline_gpt_score", "baseline_chrf_like", "prompt_template",
                       "prediction", "exact_match", "token_f1", "chrf_like")
-
-
-def _params(**kw):
-    return F.struct(*[F.lit(v).alias(k) for k, v in kw.items()])
+SEGMENT_COLUMNS = ("segment_id", "accent", "youtube_id", "start_time", "duration", "source_text")
 
 
 def run_prepare(spark: SparkSession, output_dir: str, input: str | None = None, train_input: str | None = None,
@@ -44,10 +45,10 @@ def run_prepare(spark: SparkSession, output_dir: str, input: str | None = None,
                 skip_invalid: bool = False, bidirectional: bool = False) -> DataFrame:
     """Pairs -> validated, split, directed chat examples, quarantine and stats."""
     if train_all and (train_input or validation_input):
-        raise ValueError("train-all cannot be combined with explicit train/validation inputs.")
+        raise ValueError("with train_all there is one input, and it is not split")
     explicit = bool(train_input or validation_input)
     if explicit and not (train_input and validation_input):
-        raise ValueError("train and validation inputs must be provided together.")
+        raise ValueError("of train_input and validation_input, one is missing")
 
     def load(path, split=None):
         df = V.limit_source(IO.read_pairs(spark, path), limit)
@@ -61,27 +62,31 @@ def run_prepare(spark: SparkSession, output_dir: str, input: str | None = None,
     else:
         # the draw is keyed on the source row number: both directions of a row share a split
         frame = E.split_bernoulli(load(input), "row_number", ratio=validation_ratio, seed=seed)
+    sources = [train_input, validation_input] if explicit else [input]
     checked = V.with_missing(frame).withColumn("valid", F.size("missing") == 0)
-    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
+    if not skip_invalid:
+        checked = V.failing_on_invalid(checked, "__source")
+    # counts are taken while the rows pass to the sink: one scan of the input in all
+    seen = Observation(f"prepare-{uuid.uuid4().hex}")
+    checked = checked.observe(seen, *R.prepare_metrics(bidirectional))
+    examples = X.chat_examples(checked, bidirectional)
+    valid, routes = F.col("valid"), ["examples/split=train", "examples/split=validation"] + (["skipped_rows"] if skip_invalid else [])
+    # a rejected row is one line, whatever the number of directions
+    lines = examples.where(valid | (F.col("direction") == X.directions_for(bidirectional)[0])).select(
+        F.when(valid, F.concat(F.lit("examples/split="), F.col("split"))).otherwise("skipped_rows").alias("route"),
+        F.when(valid, F.to_json(F.struct("messages", "metadata"))).otherwise(W.quarantine_line(
+            [F.col("__source").alias("source"), F.col("row_number"),
+             V.error_message(F.col("__source"), F.col("row_number"), F.col("missing")).alias("error")], "__row")).alias("line"))
     try:
-        if not skip_invalid:
-            V.require_valid(checked.drop("missing"), source=[train_input, validation_input] if explicit else [input],
-                            source_col="__source")
-        examples = X.chat_examples(checked.where("valid"), bidirectional).select("messages", "metadata", "split")
-        W.write_splits(examples, f"{output_dir}/examples")
-        if skip_invalid:
-            rejected = checked.where(~F.col("valid")).select(
-                F.col("__source").alias("source"), "row_number",
-                V.error_message(F.col("__source"), F.col("row_number"), F.col("missing")).alias("error"),
-                "__row")
-            W.write_quarantine(rejected, f"{output_dir}/skipped_rows", raw_row="__row")
-        stats = R.prepare_stats(checked, bidirectional=bidirectional).select(
-            "*", _params(validation_ratio=validation_ratio, seed=seed, bidirectional=bidirectional,
-                         train_all=train_all, skip_invalid=skip_invalid).alias("params"))
-        W.write_stats(stats, f"{output_dir}/stats")
-        return stats
-    finally:
-        checked.unpersist()
+        write_routed(lines, output_dir, routes)
+    except Exception as e:
+        # the first bad row in file order, as a reader of the message would look for it
+        if not skip_invalid and V.INVALID in str(e):
+            V.require_valid(V.with_missing(frame).drop("missing"), source=sources, source_col="__source")
+        raise
+    stats = R.prepare_document(seen.get, sources, output_dir, validation_ratio=validation_ratio, seed=seed,
+                               bidirectional=bidirectional, train_all=train_all, skip_invalid=skip_invalid)
+    return W.write_document(spark, stats, f"{output_dir}/stats")
 
 
 def run_reweight(spark: SparkSession, train_file: str, validation_file: str, output_dir: str,
@@ -104,8 +109,11 @@ def run_reweight(spark: SparkSession, train_file: str, validation_file: str, out
         W.write_chat_jsonl(part.orderBy(*order_cols), f"{output_dir}/{split}")
     weighted_splits = ("train", "validation") if weight_validation else ("train",)
     report = R.reweight_report(train.unionByName(val), factors, weighted_splits=weighted_splits)
-    W.write_stats(report, f"{output_dir}/stats")
-    return report
+    rows = [r.asDict() for r in report.collect()]       # a row per split and direction
+    W.write_document(spark, R.reweight_document(
+        rows, {"train": train_file, "validation": validation_file}, output_dir, seed, shuffle, factors, weight_validation),
+        f"{output_dir}/stats")
+    return spark.createDataFrame(rows, report.schema)
 
 
 def calibration_frame(spark: SparkSession, chat: DataFrame, sample_size: int = DEFAULT_CALIBRATION_SIZE,
@@ -173,58 +181,69 @@ def run_evaluate(spark: SparkSession, output_dir: str, predictor_factory, cases_
     """Cases -> batched predictions -> scores -> predictions CSV and summary JSON."""
     if cases_file:
         cases = IO.read_cases(spark, cases_file, direction, prompt_template)
+        order = [F.col("case_index")]
     else:
         rows = IO.read_pairs_csv(spark, test_file).withColumn("row_index", F.col("row_number") - 1)
         V.require_sample_size(rows, sample_size, test_file)
         sampled = E.sample_uniform(rows, "row_index", sample_size, seed)
         cases = X.evaluation_cases(sampled, direction, prompt_template)
+        order = [seeded_hash(seed, "row_index"), F.col("row_index"), F.col("direction")]     # as drawn
     V.require_rows(cases, "evaluation examples")
     prompts = cases.withColumn("__prompt", C.render_plain("messages", generation_cue=True))
     predicted = predict_batches(prompts, predictor_factory, text_col="__prompt", batch_size=batch_size).drop("__prompt")
     scored = score_predictions(predicted.withColumn("prompt_template", F.lit(prompt_template)),
                                ["row_index", "direction"]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        W.write_table_csv(prediction_table(scored), f"{output_dir}/predictions")
-        summary = R.eval_summary(scored)
-        W.write_stats(summary, f"{output_dir}/summary")
-        return summary
+        W.write_table_csv(prediction_table(scored.orderBy(*order)), f"{output_dir}/predictions")
+        summary = R.eval_summary(scored, digits=None)
+        rows = [r.asDict() for r in summary.collect()]      # one row, and one per direction
+        W.write_document(spark, R.eval_document(rows), f"{output_dir}/summary")
+        return spark.createDataFrame(rows, summary.schema)
     finally:
         scored.unpersist()
 
 
 def run_translate(spark: SparkSession, input: str, output_dir: str, predictor_factory, batch_size: int = 8,
-                  result_key: str = "prediction") -> DataFrame:
-    """Chat prompts -> predictions -> the same lines with the added key, and a segment table as CSV."""
+                  result_key: str = "translation") -> DataFrame:
+    """Chat prompts -> the same lines with the translation as a key, and a segment table as CSV with a byte-order mark.
+
+    All messages of a row are the prompt.  A ``segment_id`` that is there stays, a null one too.
+    """
     chat = IO.read_chat(spark, input, require_messages=True)
     V.require_rows(chat, input)
-    prompts = C.render_plain(C.prompt_messages("messages"), generation_cue=True)
+    prompts = C.render_plain("messages", generation_cue=True)
     predicted = predict_batches(chat.withColumn("__prompt", prompts), predictor_factory, text_col="__prompt",
                                 batch_size=batch_size).drop("__prompt").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ordered = predicted.orderBy("line_no")
-        W.write_chat_jsonl(ordered, f"{output_dir}/predictions", added={result_key: F.col("prediction")})
-        segments = X.segment_columns(predicted).withColumn("prediction", F.col("prediction"))
-        W.write_table_csv(segments.orderBy("line_no").drop("line_no"), f"{output_dir}/segments", bom=True)
-        return segments
+        W.write_chat_jsonl(ordered, f"{output_dir}/translations", added={result_key: F.col("prediction")})
+        segments = X.segment_columns(predicted)
+        table = segments.select("line_no", *SEGMENT_COLUMNS, F.col("prediction").alias(result_key))
+        W.write_table_csv(table.orderBy("line_no").drop("line_no"), f"{output_dir}/segments", bom=True)
+        return table
     finally:
         predicted.unpersist()
 
 
 def training_frame(splits: DataFrame, max_train: int | None = None, max_validation: int | None = 512, max_len: int = 512,
-                   tokenizer=None) -> DataFrame:
-    """Split rows -> capped, encoded, rows without supervised labels dropped; an empty split is an error."""
-    caps = {"train": max_train, "validation": max_validation}
+                   tokenizer=None, evaluate: bool = True) -> DataFrame:
+    """Split rows -> capped, encoded, rows without supervised labels dropped; an empty split is an error.
+
+    ``evaluate=False``: there is no validation split, and none is asked for.
+    """
+    caps = {"train": max_train} | ({"validation": max_validation} if evaluate else {})
     parts = [V.take_first(splits.where(F.col("split") == name), cap, "line_no", by=None) for name, cap in caps.items()]
-    encoded = encode(parts[0].unionByName(parts[1]), tokenizer, max_len)
+    encoded = encode(parts[0].unionByName(parts[1]) if evaluate else parts[0], tokenizer, max_len)
     flagged = encoded.withColumn("supervised", F.col("prompt_len") < F.size("labels"))
-    R.truncation_report(flagged.select("split", "supervised"), fail_on_empty=True)
+    R.truncation_report(flagged.select("split", "supervised"), fail_on_empty=True, splits=tuple(caps))
     return supervised_only(encoded)
 
 
-def run_training_data(spark: SparkSession, train_file: str, validation_file: str, output_dir: str, **kw) -> DataFrame:
-    """Training features of a chat split set as Parquet, by split."""
-    splits = IO.read_splits(spark, {"train": train_file, "validation": validation_file})
-    frame = training_frame(splits, **kw).select("split", "line_no", "input_ids", "attention_mask", "labels")
+def run_training_data(spark: SparkSession, train_file: str, validation_file: str | None, output_dir: str, **kw) -> DataFrame:
+    """Training features of a chat split set as Parquet, by split; without a validation file evaluation is off."""
+    files = {"train": train_file} | ({"validation": validation_file} if validation_file else {})
+    splits = IO.read_splits(spark, files)
+    frame = training_frame(splits, evaluate=bool(validation_file), **kw).select("split", "line_no", "input_ids", "attention_mask", "labels")
     frame.write.partitionBy("split").parquet(f"{output_dir}/features")
     return spark.read.schema(frame.schema).parquet(f"{output_dir}/features")
 

@@ -140,7 +140,7 @@ def read_cases(spark: SparkSession, path: str, direction: str = "both", prompt_t
 
     ``source_text`` is required; other columns default to ''.  ``prediction`` and ``chrf_like``
     become ``baseline_prediction`` and ``baseline_chrf_like``.  ``row_index`` defaults to the
-    0-based record position, counted before the direction filter.
+    0-based record position, counted before the direction filter; ``case_index`` is that position always.
     """
     from paraspark.operators.validate import filter_direction, require_columns
     df = read_csv_split(spark, path, index="__case_index")
@@ -154,6 +154,7 @@ def read_cases(spark: SparkSession, path: str, direction: str = "both", prompt_t
                  else F.col("__case_index").cast("string"))
     cases = df.select(
         F.col("direction").alias("__raw_direction"),
+        F.col("__case_index").alias("case_index"),
         row_index.alias("row_index"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("term", "target_length", "style", "source_text", "reference_text")],
         F.coalesce(F.col("prediction"), F.lit("")).alias("baseline_prediction"),

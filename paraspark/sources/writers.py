@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,11 +34,16 @@ def write_quarantine(rejected: DataFrame, path: str, mode: str = "errorifexists"
     """
     if raw_row is None:
         return write_jsonl(rejected, path, keep_nulls=True, mode=mode)
-    record = F.to_json(F.struct(*[c for c in rejected.columns if c != raw_row]), {"ignoreNullFields": "false"})
-    line = F.concat(F.regexp_replace(record, r"\}$", ""), F.lit(',"row":'), F.col(raw_row), F.lit("}"))
+    line = quarantine_line([F.col(c) for c in rejected.columns if c != raw_row], raw_row)
     rejected.select(line.alias("value")).write.mode(mode).text(path)
 
 
+def quarantine_line(columns: list[F.Column], raw_row: str) -> F.Column:
+    """A T3 record as JSON, its ``row`` the source row as it stands."""
+    record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.concat(F.regexp_replace(record, r"\}$", ""), F.lit(',"row":'), F.col(raw_row), F.lit("}"))
+
+
 def write_text_lines(df: DataFrame, col: str, path: str, mode: str = "errorifexists") -> None:
     """One whitespace-flattened text per line."""
     df.select(flatten_text(col).alias("value")).write.mode(mode).text(path)
@@ -83,3 +88,10 @@ def write_chat_jsonl(df: DataFrame, path: str, raw: str = "raw", added: dict | N
 def write_stats(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A one-row report as JSON with nulls kept."""
     write_jsonl(df.coalesce(1), path, keep_nulls=True, mode=mode)
+
+
+def write_document(spark: SparkSession, document: dict, path: str, mode: str = "errorifexists") -> DataFrame:
+    """A report document as one line of JSON (A12), and the frame that reads it back."""
+    line = spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string")
+    line.coalesce(1).write.mode(mode).text(path)
+    return spark.read.json(path)

@@ -164,8 +164,8 @@ def test_translate_and_training_flows(spark, tmp_out):
         with open(f"{tmp_out}/{name}.jsonl", "w") as f:
             f.writelines(json.dumps(x) + "\n" for x in lines)
     flows.run_translate(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/tr", upper_ascii_factory)
-    out = [json.loads(x) for p in sorted(glob.glob(f"{tmp_out}/tr/predictions/part-*")) for x in open(p) if x.strip()]
-    assert [x["note"] for x in out] == list(range(5)) and all("HI" in x["prediction"] for x in out)
+    out = [json.loads(x) for p in sorted(glob.glob(f"{tmp_out}/tr/translations/part-*")) for x in open(p) if x.strip()]
+    assert [x["note"] for x in out] == list(range(5)) and all("HI" in x["translation"] for x in out)
     assert IO.read_csv_split(spark, f"{tmp_out}/tr/segments").count() == 5
     features = flows.run_training_data(spark, f"{tmp_out}/train.jsonl", f"{tmp_out}/validation.jsonl", f"{tmp_out}/feat", max_train=3)
     assert sorted((r.split, r.line_no) for r in features.collect()) == [("train", k) for k in (1, 2, 3)] + [("validation", k) for k in range(1, 6)]
