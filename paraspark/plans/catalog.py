@@ -28,6 +28,7 @@ from paraspark.plans.fixtures import fx_cases, fx_chat, fx_pairs, fx_runs
 from paraspark.session import scratch_dir
 from paraspark.sources import readers as IO
 from paraspark.sources import writers as W
+from paraspark.sources.routed import write_routed
 
 SEED = DEFAULT_SEED
 CHAT_VALIDATION_RATIO = 0.2      # chat fixture split share (100 conversations at sf0.01)
@@ -481,6 +482,35 @@ def q_chat_scan_messages(spark, sf):
         F.col("metadata.direction").alias("metadata_direction"))
 
 
+def q_routed_splits(spark, sf):
+    """Train, validation and rejected rows dealt to three folders by one job, and read back."""
+    rows = E.split_bernoulli(_pairs_checked(spark, sf), "pair_id", seed=SEED)
+    path, routes = scratch_dir(spark, "routed"), ["train", "validation", "rejected"]
+    write_routed(rows.select(F.when(F.col("valid"), F.col("split")).otherwise("rejected").alias("route"),
+                             F.to_json(F.struct("pair_id", "term", "spanish_translation")).alias("line")), path, routes)
+    back = [spark.read.schema("pair_id long, term string, spanish_translation string").json(f"{path}/{r}")
+            .withColumn("route", F.lit(r)) for r in routes]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+def q_text_lines(spark, sf):
+    """Documents as one flattened line each, written and read back."""
+    path = scratch_dir(spark, "text-lines")
+    W.write_text_lines(IO.read_table(spark, sf, "documents").select("text"), "text", path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_chat_rewrite(spark, sf):
+    """Chat lines rewritten with one more key, unknown keys kept."""
+    chat = IO.read_chat(spark, _chat_jsonl(spark, sf))
+    path = scratch_dir(spark, "chat-rewritten")
+    W.write_chat_jsonl(chat, path, added={"translation": F.concat(F.lit("t-"), F.col("line_no").cast("string"))})
+    back = IO.read_chat(spark, path)
+    return back.select(F.get_json_object("raw", "$.conv_id").cast("bigint").alias("conv_id"),
+                       F.size("messages").cast("bigint").alias("n_messages"),
+                       F.get_json_object("raw", "$.translation").alias("translation"))
+
+
 def q_split_union(spark, sf):
     splits = _chat_splits(spark, sf).select("conv_id", "split")
     chat = fx_chat(spark, sf).join(splits, "conv_id")
@@ -510,6 +540,9 @@ QUERIES = {
     "scan_jsonl_roundtrip": q_scan_jsonl_roundtrip,
     "chat_scan_messages": q_chat_scan_messages,
     "cases_reuse": q_cases_reuse,
+    "routed_splits": q_routed_splits,
+    "text_lines": q_text_lines,
+    "chat_rewrite": q_chat_rewrite,
     "split_union": q_split_union,
     # identity
     "row_index": q_row_index,

@@ -503,6 +503,11 @@ SELECT term, target_length, style, english_scenario, spanish_translation,
     "chat_scan_messages": with_fx("""SELECT row_number() OVER (ORDER BY conv_id) AS line_no, conv_id,
   CAST(len(messages) AS BIGINT) AS n_messages, messages[1].role AS first_role, messages[-1].role AS last_role,
   md_direction AS metadata_direction FROM fx_chat2""", "fx_chat2"),
+    "routed_splits": with_fx(f"""WITH {PAIRS_CHECKED}
+SELECT pair_id, CASE WHEN valid THEN split ELSE 'rejected' END AS route, term, spanish_translation FROM checked""", "fx_pairs"),
+    "text_lines": f"SELECT {flat('text')} AS line, count(*) AS n FROM documents GROUP BY 1",
+    "chat_rewrite": with_fx("""SELECT conv_id, CAST(len(messages) AS BIGINT) AS n_messages,
+  't-' || row_number() OVER (ORDER BY conv_id) AS translation FROM fx_chat2""", "fx_chat2"),
     "split_union": with_fx(f"""SELECT CASE WHEN {h(SEED, 'conv_id')} < {Q.CHAT_VALIDATION_RATIO} * 4294967296
   THEN 'validation' ELSE 'train' END AS split, conv_id, CAST(len(messages) AS BIGINT) AS n_messages FROM fx_chat2""",
                            "fx_chat2"),
