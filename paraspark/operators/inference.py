@@ -8,12 +8,12 @@ holds.  Outputs pass through the stop-marker cleaning.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import PythonException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paraspark.constants import DEFAULT_BATCH_SIZE, ERROR_VALUE
@@ -43,28 +43,58 @@ def predict_batches(df: DataFrame, factory: PredictorFactory, text_col: str = "s
     return df.withColumn(out_col, clean_prediction(run(F.col(text_col))))
 
 
-def predict_models(spark: SparkSession, df: DataFrame, factories: dict, key, text_col: str) -> DataFrame:
-    """One ``<label>_translation`` column per model.
+def predict_models(spark: SparkSession, df: DataFrame, factories: dict, key=None, text_col: str = "source_text",
+                   batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+    """One ``<label>_translation`` column per model (G2), all models in one pass over the texts.
 
-    The input is written once under the shared checkpoint folder, then each model's predictions.  A
-    model whose predictor fails becomes the constant ``ERROR`` column, with a warning that names the
-    cause; any other failure (source, disk, cluster) ends the run.
+    A task holds all predictors and hands every batch to each.  One that fails, when it is made or when it predicts, is
+    left out from there on and named in the row; a metric of the write brings the names to the driver, and such a
+    model's column is the constant ``ERROR`` in every row, with a warning that names the cause.  Any other failure ends the run.
+    The rows are written once under the shared folder, input columns kept, and nothing is joined.  ``key`` is not needed.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    path = scratch_dir(spark, "model-input")
-    df.select(*keys, text_col).write.parquet(path)
-    texts = spark.read.parquet(path)
-    out = df
-    for label, factory in factories.items():
-        col = result_column(label)
-        path = scratch_dir(spark, f"model-{col}")
-        try:
-            predict_batches(texts, factory, text_col=text_col, out_col=col).select(*keys, col).write.parquet(path)
-        except PythonException as e:
-            warnings.warn(f"model {label} failed: {str(e).strip().splitlines()[-1]}", stacklevel=2)
-            out = out.withColumn(col, F.lit(ERROR_VALUE))
-        else:
-            out = out.join(spark.read.parquet(path), keys, "left")
+    columns = {label: result_column(label) for label in factories}
+    if len(set(columns.values())) < len(columns):
+        raise ValueError(f"two models share a result column: {sorted(columns.values())}")
+    failed = {label: f"__failed_{k}" for k, label in enumerate(factories)}
+    fields = ", ".join(f"`{columns[x]}` string, `{failed[x]}` string" for x in factories)
+
+    @F.pandas_udf(fields)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predictors, errors = {}, {}
+
+        def attempt(label, work):
+            try:
+                return work()
+            except Exception as e:  # noqa: BLE001 - whatever a user's model raises
+                errors[label] = f"{type(e).__name__}: {e}"
+                return None
+
+        for label, factory in factories.items():
+            predictors[label] = attempt(label, factory)
+        for texts in batches:
+            given, out = texts.fillna("").tolist(), {}
+            for label, predict in predictors.items():
+                def whole(predict=predict):
+                    said = [x for start in range(0, len(given), batch_size) for x in predict(given[start:start + batch_size])]
+                    if len(said) != len(given):
+                        raise ValueError(f"{len(said)} predictions for {len(given)} texts")
+                    return said
+                said = None if label in errors else attempt(label, whole)
+                out[columns[label]] = pd.Series(said or [None] * len(given), dtype="object")
+                out[failed[label]] = pd.Series([errors.get(label)] * len(given), dtype="object")
+            yield pd.DataFrame(out)
+
+    seen = Observation(f"models-{uuid.uuid4().hex}")
+    said = df.withColumn("__said", run(F.col(text_col)))
+    rows = said.select(*df.columns, *[clean_prediction(F.col("__said")[c]).alias(c) for c in columns.values()],
+                       *[F.col("__said")[c].alias(c) for c in failed.values()])
+    path = scratch_dir(spark, "models")
+    rows.observe(seen, *[F.max(c).alias(c) for c in failed.values()]).drop(*failed.values()).write.parquet(path)
+    out = spark.read.schema(rows.drop(*failed.values()).schema).parquet(path)
+    for label, column in columns.items():
+        if cause := seen.get[failed[label]]:
+            warnings.warn(f"model {label} failed: {cause}", stacklevel=2)
+            out = out.withColumn(column, F.lit(ERROR_VALUE))
     return out
 
 

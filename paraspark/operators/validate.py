@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraspark.constants import DIRECTIONS, REQUIRED_PAIR_FIELDS
+from paraspark.operators.identity import with_row_index
 
 
 def is_missing(df: DataFrame, field: str) -> Column:
@@ -99,7 +100,7 @@ def take_first(df: DataFrame, n: int | None, order_cols, by: str | None = "split
 
     A key that is one integer column is cut by order statistics: rounds of counts over ``RANGES`` parts of the range
     in which the n-th key lies find it exactly, and the cap is a filter, ``key <= cut`` for each split, with no window
-    or sort for any ``n``.  Each split needs unique keys there; other keys, and a null one, are ranked by a window.
+    or sort for any ``n``.  Other keys, null ones and keys that are shared around the cut are numbered densely instead.
     """
     if n is None:
         return df
@@ -114,8 +115,11 @@ def take_first(df: DataFrame, n: int | None, order_cols, by: str | None = "split
         return df.where(keep)
     if by is None:
         return df.orderBy(*cols).limit(n)
-    w = Window.partitionBy(by).orderBy(*cols)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    numbered = with_row_index(df, [by, *cols], name="__rn")
+    starts = (df.groupBy(F.col(by).alias("__split")).agg(F.count(F.lit(1)).alias("__m"))     # a row per split
+              .select("__split", (F.sum("__m").over(Window.orderBy("__split")) - F.col("__m")).alias("__start")))
+    return (numbered.join(F.broadcast(starts), F.col(by).eqNullSafe(F.col("__split")))
+            .where(F.col("__rn") - F.col("__start") < n).select(*df.columns))
 
 
 def key_at_rank(df: DataFrame, key: str, n: int, by: str | None = None) -> dict | None:
