@@ -46,7 +46,8 @@ def permuted(seed: int, number: str | Column, n: str | Column) -> Column:
     start = F.struct(x.alias("at"), F.lit(False).alias("done"))
 
     def walk(state: Column, _: Column) -> Column:
-        moved = _network(seed, state["at"], a, b)
-        return F.when(state["done"], state).otherwise(F.struct(moved.alias("at"), (moved < n).alias("done")))
+        # through an array of one, so that the network is evaluated once
+        moved = F.transform(F.array(_network(seed, state["at"], a, b)), lambda m: F.struct(m.alias("at"), (m < n).alias("done")))
+        return F.when(state["done"], state).otherwise(F.get(moved, F.lit(0)))
     steps = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk, lambda s: F.when(s["done"], s["at"]))
     return F.coalesce(steps, F.when(x.isNotNull() & n.isNotNull(), F.raise_error(F.lit("a walk along a cycle did not end")).cast("bigint")))
