@@ -54,6 +54,7 @@ class _Powers:
 
 
 _POWERS = _Powers()
+powers = _POWERS.upto
 
 
 def _words(raw: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
