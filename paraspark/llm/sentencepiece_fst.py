@@ -22,6 +22,7 @@ so their paths are found once and kept in a bounded cache per task process.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import struct
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from paraspark.llm.common import table, text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_SEGMENTS = 800_000     # kept in a task process, about 200 bytes each
+CACHE_SEGMENTS = 200_000     # kept in a task process, about 200 bytes each
+CACHE_PAIRS = 400_000        # pairs of pieces, about 100 bytes each
 CACHE_CHARS = 64             # longer segments are not kept
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -137,17 +139,30 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The merges in order: best score first, then leftmost."""
-        symbols, score, vocabulary = list(text), self.score, self.vocabulary
-        while len(symbols) > 1:
-            best, at = -math.inf, -1
-            for k in range(len(symbols) - 1):
-                i = vocabulary.get(symbols[k] + symbols[k + 1])
-                if i is not None and score[i] > best:
-                    best, at = score[i], k
-            if at < 0:
-                break
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+        symbols, score, vocabulary, n = list(text), self.score, self.vocabulary, len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []     # entries whose symbols have changed are passed over
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                piece = symbols[k] + symbols[after[k]]
+                i = vocabulary.get(piece)
+                if i is not None:
+                    heapq.heappush(heap, (-score[i], k, piece))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, piece = heapq.heappop(heap)
+            j = after[k]
+            if not symbols[k] or j >= n or symbols[k] + symbols[j] != piece:
+                continue
+            symbols[k], symbols[j], after[k] = piece, "", after[j]
+            if after[j] < n:
+                before[after[j]] = k
+            offer(before[k])
+            offer(k)
+        return [x for x in symbols if x]
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         symbols, rank = list(piece), self.rank
@@ -290,7 +305,7 @@ class _Cache(dict):
         if path is None:
             path = array('i', self.model.path(segment)).tobytes()
         if len(segment) <= CACHE_CHARS:
-            if len(self.model.known) > 2_000_000:
+            if len(self.model.known) > CACHE_PAIRS:
                 self.model.known.clear()
             if len(self) >= CACHE_SEGMENTS // 2:
                 self.older = dict(self)
