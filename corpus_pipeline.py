@@ -22,11 +22,11 @@ ORACLE_SQL = None               # the tokeniser is not SQL; tests/llm holds a br
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a hash of their columns, under a name that no column has."""
+    """The rows with a hash of their columns and of which are null, under a name that no column has."""
     name = "row_hash"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, F.xxhash64(*docs.columns)), name
+    return docs.withColumn(name, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))), name
 
 
 def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
