@@ -70,3 +70,9 @@ def test_stages_on_repeated_rows_null_ids_extra_columns_and_empty_tables(spark):
     assert mixed.columns == clash.columns and {r.doc_id for r in mixed.collect()} <= {1}
     for name, stage in C.STAGES:
         assert stage(spark, docs(spark, []), "").count() == 0, name
+
+
+def test_rows_that_differ_in_the_place_of_a_null_are_told_apart(spark):
+    import corpus_pipeline
+    rows, name = corpus_pipeline._numbered(spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "x string, y string"))
+    assert rows.select(name).distinct().count() == 2

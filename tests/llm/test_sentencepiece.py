@@ -67,3 +67,15 @@ def test_empty_table_repeated_rows_and_extra_columns(spark):
     clash = docs(spark, [(1, "a b"), (1, "a b"), (None, None)]).withColumn("ids", F.lit("x")).withColumn("id", F.lit(3))
     got = encode_texts(clash).collect()
     assert sorted(len(r.ids) for r in got) == [0, 2, 2] and {r.doc_id for r in got} == {1, None}
+
+
+def test_long_runs_of_tied_pieces_are_merged_like_the_library(spark):
+    import sentencepiece
+
+    from paraspark.llm import sentencepiece_fst as S
+    with open(S.MODEL_PATH, "rb") as f:
+        model = S.Transducer(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=S.MODEL_PATH)
+    for text in (" " * 5000 + "a", "a" + " " * 777 + "b" + " " * 17, " \n" * 300):
+        assert model.encode(text).tolist() == library.encode(text)
+    assert len(model.encode(" " * 100_000)) < 10_000
