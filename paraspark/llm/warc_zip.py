@@ -7,8 +7,10 @@ folder through ``pyarrow.fs`` under names that no other attempt uses, closed onc
 ``PACKAGE_BYTES``; a manifest that Spark commits lists the packages of the attempts that count.
 
 The reader never extracts a package: it reads the end record (ZIP64 as well), the central
-directory and the index by ranges, deals runs of neighbouring records out to tasks, and each task
-reads its runs by range.  Packages without an index are read through, record by record.
+directory and the indexes by ranges, deals runs of neighbouring records out to tasks, and each task
+reads its runs by range.  Every stored WARC member is read whole, gzipped or plain: index lines (JSON, with or
+without a file name) only tell where records start, so records that no line names are read too, and members without
+an index are one run, read through record by record.  A WARC member that the package compresses is an error.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -37,6 +41,7 @@ PACKAGE_BYTES = 64 << 20    # a package closes after the record that exceeds thi
 RUN_BYTES = 1 << 20         # neighbouring records that a task reads at once
 INDEX_BYTES = 4 << 20       # index and directory bytes read at once
 BROADCAST_ROWS = 1_000_000
+_WARC, _INDEX = re.compile(r"\.warc(\.gz)?$", re.IGNORECASE), re.compile(r"^indexes/.*\.cdxj?$", re.IGNORECASE)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -124,7 +129,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str, uri_col: str, payload_co
                     package = _Package(folder, f"{name}-{len(done):04d}.wacz")
                 digest = payload_digest(payload or b"")
                 package.add(warc_record(record_id, uri, payload or b"", digest, refers_to),
-                            {"id": record_id, "digest": digest, "mime": "text/html", "status": "200"})
+                            {"id": record_id, "digest": digest, "mime": "text/html", "status": "200", "filename": DATA.rpartition("/")[2]})
                 if package.size >= package_bytes:
                     done.append(package.close())
                     package = None
@@ -140,11 +145,15 @@ def write_warc(df: DataFrame, folder: str, id_col: str, uri_col: str, payload_co
 # ---- reading -----------------------------------------------------------------------------------
 
 class RangeZip:
-    """The directory of a ZIP file, read by ranges: ``members`` is name -> (offset of the data, size)."""
+    """The directory of a ZIP file, read by ranges: ``members`` is name -> (offset of the data, size).
+
+    It lists what is stored; the names of compressed members are in ``compressed``.
+    """
 
     def __init__(self, uri: str) -> None:
         filesystem, path = _open_fs(uri)
         self.file = filesystem.open_input_file(path)
+        self.compressed: list[str] = []
         self.members = dict(self._stored_members(*self._directory(self.file.size())))
 
     def read(self, offset: int, size: int) -> bytes:
@@ -196,6 +205,8 @@ class RangeZip:
             if method == 0:
                 local = self.read(header, 30)
                 yield name, (header + 30 + sum(struct.unpack_from("<HH", local, 26)), size)
+            else:
+                self.compressed.append(name)
 
     @staticmethod
     def _zip64(extra: bytes, wanted: int) -> tuple[int, ...]:
@@ -222,42 +233,91 @@ class RangeZip:
             yield rest
 
 
+def _record_starts(package: RangeZip, warcs: list[str]) -> dict[str, array]:
+    """Per WARC member the offsets that the package's indexes list."""
+    starts = {name: array("q") for name in warcs}
+    for index in filter(_INDEX.search, package.members):
+        for line in package.lines(index):
+            if (at := line.find(b"{")) < 0:
+                continue        # a heading, or a line of another format
+            entry = json.loads(line[at:])
+            if "offset" not in entry:
+                continue
+            file = entry.get("filename")
+            names = [n for n in warcs if file is None or n == file or n.endswith("/" + file)]
+            if len(names) != 1:
+                raise ValueError(f"an index line of {file or 'no file'} does not tell its archive member")
+            if not 0 <= int(entry["offset"]) < package.members[names[0]][1]:
+                raise ValueError(f"an index line lies outside {names[0]}")
+            starts[names[0]].append(int(entry["offset"]))
+    return starts
+
+
 def _runs(batches: Batches) -> Batches:
-    """From packages to runs of neighbouring records: ``(package, offset, length)``."""
+    """From packages to runs of neighbouring records, which cover all WARC members: ``(package, offset, length)``."""
     for batch in batches:
         for uri in batch.column("package").to_pylist():
             package = RangeZip(uri)
-            out, run = [], None
-            if DATA in package.members and INDEX in package.members:
-                base = package.members[DATA][0]
-                for line in package.lines(INDEX):
-                    entry = json.loads(line[line.index(b"{"):])
-                    offset, length = base + int(entry["offset"]), int(entry["length"])
-                    if run and run[0] + run[1] == offset and run[1] + length <= RUN_BYTES:
-                        run[1] += length
-                    else:
-                        run = [offset, length]
-                        out.append(run)
-            else:
-                out = [list(place) for name, place in package.members.items() if re.search(r"\.warc(\.gz)?$", name)]
+            if packed := [name for name in package.compressed if _WARC.search(name)]:
+                raise ValueError(f"{packed[0]} is compressed in its package, so it cannot be read by ranges")
+            out: list[tuple[int, int]] = []
+            for name, listed in _record_starts(package, [n for n in package.members if _WARC.search(n)]).items():
+                base, size = package.members[name]
+                cuts = np.unique(np.append(np.frombuffer(listed, np.int64), [0, size]))
+                at = 0
+                while at < len(cuts) - 1:       # to the last record start within reach, a larger record by itself
+                    to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + RUN_BYTES, "right")) - 1)
+                    out.append((base + int(cuts[at]), int(cuts[to] - cuts[at])))
+                    at = to
             yield pa.record_batch([pa.array([uri] * len(out), pa.string()), pa.array([x[0] for x in out], pa.int64()),
                                    pa.array([x[1] for x in out], pa.int64())], names=["package", "offset", "length"])
 
 
-def _members(package: RangeZip, offset: int, length: int) -> Iterator[bytes]:
-    """The unpacked gzip members of a range, holding one record at a time."""
-    end, pending = offset + length, b""
-    unpacker, parts = zlib.decompressobj(31), []
-    while offset < end or pending:
-        if not pending:
+def _unpacked(package: RangeZip, offset: int, length: int) -> Iterator[bytes]:
+    """The bytes of a range piece by piece, unpacked if it holds gzip members."""
+    end, pending, gzipped, unpacker = offset + length, b"", None, None
+    while offset < end or pending or unpacker is not None:
+        if not pending and offset < end:
             pending = package.read(offset, min(RUN_BYTES, end - offset))
             offset += len(pending)
-        parts.append(unpacker.decompress(pending))
-        pending = unpacker.unused_data if unpacker.eof else b""
+        if gzipped is None:
+            gzipped = pending[:2] == b"\x1f\x8b"
+        if not gzipped:
+            yield pending
+            pending = b""
+            continue
+        unpacker = unpacker or zlib.decompressobj(31)
+        given, piece = len(pending), unpacker.decompress(pending, RUN_BYTES)
+        yield piece
         if unpacker.eof:
-            yield b"".join(parts)
-            unpacker, parts = zlib.decompressobj(31), []
-    if parts:
+            pending, unpacker = unpacker.unused_data, None
+        else:
+            pending = unpacker.unconsumed_tail
+            if not given and not piece:
+                raise ValueError("the archive ends inside a record")
+
+
+def _members(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The records of a stream of bytes, one held at a time."""
+    buffer, size = bytearray(), 0
+    for piece in pieces:
+        buffer += piece
+        while True:
+            if not size:
+                while buffer[:1] in (b"\r", b"\n"):
+                    del buffer[:1]
+                if buffer[:5] != b"WARC/"[:len(buffer)]:
+                    raise ValueError("not a WARC record")
+                head = buffer.find(b"\r\n\r\n")
+                if head < 0:
+                    break
+                size = head + 4 + int(_headers(bytes(buffer[:head]))["content-length"])
+            if len(buffer) < size:
+                break
+            yield bytes(buffer[:size])
+            del buffer[:size]
+            size = 0
+    if buffer:
         raise ValueError("the archive ends inside a record")
 
 
@@ -271,13 +331,15 @@ def parse_record(raw: bytes) -> tuple:
     head, _, rest = raw.partition(b"\r\n\r\n")
     warc = _headers(head)
     block = rest[:int(warc["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, listed = warc["warc-type"], warc.get("warc-payload-digest", "").removeprefix("sha1:")
+    # only HTTP messages have a head before the payload
+    http, _, payload = block.partition(b"\r\n\r\n") if warc.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    algorithm, _, listed = warc.get("warc-payload-digest", "").partition(":")
+    kind = warc["warc-type"]
     if kind == "revisit":
         size, payload, digest = int(_headers(http).get("content-length", 0)), None, listed
     else:
         size, digest = len(payload), payload_digest(payload)
-        if listed and digest != listed:
+        if algorithm.lower() == "sha1" and digest != listed.upper():
             raise ValueError(f"payload of {warc['warc-record-id']} does not have its digest")
     name = lambda k: warc[k].strip("<>") if k in warc else None
     return name("warc-record-id"), kind, warc.get("warc-target-uri"), name("warc-refers-to"), payload, size, digest
@@ -299,7 +361,7 @@ def _records(batches: Batches) -> Batches:
             if uri != at:
                 at, package = uri, RangeZip(uri)
             rows, held = [], 0
-            for raw in _members(package, offset, length):
+            for raw in _members(_unpacked(package, offset, length)):
                 rows.append(parse_record(raw))
                 held += len(raw)
                 if held > 16 * RUN_BYTES:

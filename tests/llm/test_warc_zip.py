@@ -82,6 +82,54 @@ def test_packages_of_other_writers_and_zip64(spark, tmp_path):
     assert wide.read(offset, size) == data
 
 
+def _package(path, members, deflated=()):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in members.items():
+            z.writestr(zipfile.ZipInfo(name), data, compress_type=zipfile.ZIP_DEFLATED if name in deflated else zipfile.ZIP_STORED)
+
+
+def _sizes(spark, path):
+    return sorted(r.payload_bytes for r in Z.read_warc(spark.createDataFrame([(str(path),)], "package string")).collect())
+
+
+@pytest.mark.parametrize("run_bytes", [1 << 20, 150])
+def test_every_stored_member_is_read_whole(spark, tmp_path, monkeypatch, run_bytes):
+    monkeypatch.setattr(Z, "RUN_BYTES", run_bytes)
+    records = _records(9)
+    packed = [gzip.compress(r) for r in records]
+    starts = [sum(map(len, packed[:k])) for k in range(4)]
+    lines = [f'com,a)/ 2020 {{"offset": "{starts[k]}", "length": "1", "filename": "data.warc.gz"}}' for k in (3, 1, 1)]
+    plain_at = len(records[6])
+    lines.append(f'com,b)/ 2020 {{"offset": {plain_at}, "filename": "archive/plain.warc"}}')
+    _package(tmp_path / "all.wacz", {
+        "archive/data.warc.gz": b"".join(packed[:4]),               # two of four records listed, one of them twice
+        "archive/more.warc.gz": gzip.compress(b"".join(records[4:6])),     # no index, both records in one gzip member
+        "archive/plain.warc": b"".join(records[6:9]), Z.INDEX: "!meta\n" + "\n".join(lines), "indexes/x.cdx": "old format 1 2"})
+    assert _sizes(spark, tmp_path / "all.wacz") == list(range(9))
+
+
+def test_indexes_and_members_that_cannot_be_read_are_errors(spark, tmp_path):
+    data = b"".join(gzip.compress(r) for r in _records(3))
+    name = "archive/data.warc.gz"
+    _package(tmp_path / "a", {name: data}, deflated=[name])
+    _package(tmp_path / "b", {name: data, Z.INDEX: '{"offset": "0", "filename": "gone.warc.gz"}'})
+    _package(tmp_path / "c", {name: data, Z.INDEX: '{"offset": "99999"}'})
+    _package(tmp_path / "e", {name: data[:-9]})
+    _package(tmp_path / "f", {"x.warc": b"".join(_records(3))[:-6]})
+    _package(tmp_path / "g", {"x.warc": b"nothing"})
+    for path, words in zip("abcefg", ("is compressed", "does not tell", "outside", "ends inside", "ends inside", "not a WARC"), strict=True):
+        with pytest.raises(Exception, match=words):
+            _sizes(spark, tmp_path / path)
+
+
+def test_records_that_are_no_http_messages():
+    block = b"software: x\r\n\r\nmore"
+    raw = (f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Type: application/warc-fields\r\n"
+           f"WARC-Payload-Digest: sha256:00\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    assert Z.parse_record(raw)[4:6] == (block, len(block))
+    assert list(Z._members([raw[:7], raw[7:-2], raw[-2:] + raw])) == [raw[:-4]] * 2
+
+
 def test_packages_are_zip_files_and_damage_is_an_error(spark, tmp_path):
     frame = spark.createDataFrame([("urn:a", "u", b"abc", None)], "id string, uri string, payload binary, refers string").coalesce(1)
     manifest = Z.write_warc(frame, str(tmp_path / "w"), "id", "uri", "payload", "refers").collect()
