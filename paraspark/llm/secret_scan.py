@@ -3,11 +3,14 @@
 The plain patterns label credentials.  From a bounded sample of them, one probabilistic automaton
 per kind is inferred by state merging: a prefix tree of the values, whose states are merged as long
 as their stopping and next-symbol frequencies agree within the Hoeffding bound, children included.
-Another automaton is inferred from ordinary runs, those without both a digit and a letter.  Every
-candidate (a long run of credential characters outside the plain spans) of every text is then
-scored: the log-likelihood ratio per character of its best kind against ordinary runs, for kinds
-under which its likelihood is typical, within ``DEVIATIONS`` of what the labelled values have.
-Candidates above ``threshold`` are added.
+Two more are inferred from ordinary runs: those without digits, and others without letters.  Every kind that has
+a labelled value has an automaton, in a table of any size.
+
+Candidates are the runs of ``LEAST_VALUE`` and more credential characters that the plain spans leave, of every text,
+and, where such a run is no secret as a whole, its pieces between ``/``, ``=`` and ``.``.  A candidate's score is the
+log-likelihood ratio of its best kind against ordinary runs, for kinds under which its likelihood is typical,
+within ``DEVIATIONS`` of what the labelled values have.  Candidates of ``threshold`` per character and
+``EVIDENCE`` in all are added.
 
 The sample takes the values with the smallest hashes, ``SAMPLE`` of each kind, so it does not
 depend on partitioning; only it and the automata go through the driver.
@@ -28,19 +31,23 @@ from pyspark.sql import functions as F
 from paraspark.llm.common import stored, table, text_or_empty
 
 KINDS = ("assign", "access", "hex")
+ORDINARY = ("word", "number")       # runs without digits, runs without letters
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
 # runs of one character class match whole, so a least length and dropping short matches are the same
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_PIECE = re.compile(r"[^/=.]{6,}")
 SAMPLE = 2000       # labelled values, and ordinary words, that an automaton is fitted on
 LITERAL = 4         # leading characters that the automata read as such
 ALPHA = 0.05        # of the Hoeffding bound
 THRESHOLD = 1.0     # nats per character
 DEVIATIONS = 3.0    # standard deviations of the likelihood per character, for the value's length
-LEAST_FITTED = 20   # values of a kind below which it gets no automaton
+EVIDENCE = 16.0     # nats of a whole candidate
+PRIOR = 2.0         # values that smooth the deviation of a kind
+LONGEST = 256       # symbols of a value that an automaton is fitted on; a longer one teaches no end
 
 
 def plain_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,8 +65,11 @@ def labelled_values(text: str) -> list[tuple[str, str]]:
     return found + [("hex", m[0]) for m in _HEX.finditer(text)]
 
 
-def ordinary(run: str) -> bool:
-    return not (any(map(str.isdigit, run)) and any(map(str.isalpha, run)))
+def ordinary(run: str) -> str:
+    """The kind of an ordinary run, empty for others."""
+    if not any(map(str.isdigit, run)):
+        return "word"
+    return "" if any(map(str.isalpha, run)) else "number"
 
 
 # ---- grammar inference -------------------------------------------------------------------------
@@ -95,16 +105,19 @@ class Automaton:
         self.mean, self.spread = 0.0, math.inf
 
     def calibrate(self, values: list[str]) -> None:
-        """Mean log-likelihood per character of the values, and its deviation at one character."""
-        each = [(self.log_likelihood(v) / len(v), len(v)) for v in values]
+        """Mean log-likelihood per character of the values, and its deviation at one character.
+
+        The deviation is smoothed by ``PRIOR`` values that are one nat off, so few values judge loosely.
+        """
+        each = [(self.log_likelihood(v[:LONGEST], len(v) <= LONGEST) / min(len(v), LONGEST), min(len(v), LONGEST)) for v in values]
         self.mean = sum(x for x, _ in each) / len(each)
-        self.spread = math.sqrt(sum((x - self.mean) ** 2 * n for x, n in each) / len(each))
+        self.spread = math.sqrt((sum((x - self.mean) ** 2 * n for x, n in each) + PRIOR) / (len(each) + PRIOR))
 
     def typical(self, score: float, length: int) -> bool:
-        return abs(score / length - self.mean) <= DEVIATIONS * (self.spread + 0.05) / math.sqrt(length)
+        return abs(score / length - self.mean) <= DEVIATIONS * (self.spread + 0.05) / math.sqrt(min(length, LONGEST))
 
-    def log_likelihood(self, value: str) -> float:
-        """Of the value's symbols and its end; unseen steps cost ``unseen`` and stay in the state."""
+    def log_likelihood(self, value: str, ends: bool = True) -> float:
+        """Of the value's symbols and, if asked, its end; unseen steps cost ``unseen`` and stay in the state."""
         at, total, states = 0, 0.0, self.states
         for c in symbols(value):
             step = states[at][1].get(c)
@@ -113,7 +126,7 @@ class Automaton:
             else:
                 total += step[0]
                 at = step[1]
-        return total + states[at][0]
+        return total + states[at][0] if ends else total
 
 
 def _agree(f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
@@ -159,12 +172,15 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
     for value in sorted(values):
         at = root
         at.count += 1
-        for c in symbols(value):
+        for c in symbols(value[:LONGEST]):
             step = at.next.setdefault(c, [0, _State()])
             step[0] += 1
             at = step[1]
             at.count += 1
-        at.ends += 1
+        if len(value) > LONGEST:
+            at.count -= 1       # nothing is known of what follows
+        else:
+            at.ends += 1
     red, queue = [root], [(root, s) for s in sorted(root.next)]
     known = {id(root)}
     while queue:
@@ -172,7 +188,8 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
         blue = parent.next[s][1]
         if id(blue) in known:
             continue
-        for candidate in red:
+        # a state that only cut values reach goes on like the state that is visited most
+        for candidate in red if blue.count else [max(red, key=lambda x: x.count)]:
             if _compatible(candidate, blue, alpha):
                 parent.next[s][1] = candidate
                 _fold(candidate, blue)
@@ -197,16 +214,18 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
 # ---- the scan ----------------------------------------------------------------------------------
 
 def _sampled(rows: DataFrame, sample: int) -> dict[str, list[str]]:
-    """Per kind the ``sample`` distinct values of smallest hash: at most four times ``sample`` rows."""
+    """Per kind the ``sample`` distinct values of smallest hash: at most five times ``sample`` rows."""
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # each task keeps as many as could be chosen at last
-        least: dict[str, dict[str, bytes]] = {k: {} for k in (*KINDS, "word")}
+        least: dict[str, dict[str, bytes]] = {k: {} for k in KINDS + ORDINARY}
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 found = labelled_values(text)
-                found += [("word", m[0]) for m in CANDIDATE.finditer(text) if ordinary(m[0])]
+                found += [(kind, m[0]) for m in CANDIDATE.finditer(text) if (kind := ordinary(m[0]))]
                 for kind, value in found:
-                    least[kind].setdefault(value[:256], hashlib.md5(value[:256].encode()).digest())
+                    value = value[:LONGEST + 1]     # one more tells that the value goes on
+                    if value not in least[kind]:
+                        least[kind][value] = hashlib.md5(value.encode()).digest()
             for kind, kept in least.items():
                 if len(kept) > 4 * sample:
                     least[kind] = dict(sorted(kept.items(), key=lambda x: x[1])[:sample])
@@ -215,7 +234,7 @@ def _sampled(rows: DataFrame, sample: int) -> dict[str, list[str]]:
 
     values = stored(rows.select("text").mapInArrow(collect, "kind string, value string").distinct(), "secret-values")
     chosen: dict[str, list[str]] = {}
-    for kind in (*KINDS, "word"):
+    for kind in KINDS + ORDINARY:
         # each is a top-k: tasks keep their own first k
         first = values.where(F.col("kind") == kind).orderBy(F.md5("value"), "value").limit(sample)
         chosen[kind] = [r["value"] for r in first.collect()]
@@ -223,32 +242,68 @@ def _sampled(rows: DataFrame, sample: int) -> dict[str, list[str]]:
 
 
 def fit_formats(df: DataFrame, text_col: str = "text", sample: int = SAMPLE, alpha: float = ALPHA) -> dict[str, Automaton]:
-    """Automata of the kinds with enough labelled values, and of ordinary words (``word``)."""
+    """Automata of the kinds that have labelled values, and of ordinary runs."""
     chosen = _sampled(df.select(text_or_empty(text_col).alias("text")), sample)
-    return {k: infer(v, alpha) for k, v in chosen.items() if len(v) >= LEAST_FITTED}
+    return {k: infer(v, alpha) for k, v in chosen.items() if v}
 
 
 def best_kind(value: str, formats: dict[str, Automaton]) -> tuple[float, str]:
-    """(log-likelihood ratio per character against ordinary words, kind) of the likeliest format."""
-    words = formats.get("word")
-    plain = words.log_likelihood(value) if words else -math.log(64) * len(value)
+    """(log-likelihood ratio per character against ordinary runs, kind) of the likeliest format."""
+    plain = max((formats[k].log_likelihood(value) for k in ORDINARY if k in formats), default=-math.log(64) * len(value))
     best = (-math.inf, "")
-    for kind, automaton in formats.items():
-        if kind != "word":
-            score = automaton.log_likelihood(value)
-            if automaton.typical(score, len(value)):
+    for kind in KINDS:
+        if kind in formats:
+            score = formats[kind].log_likelihood(value)
+            if formats[kind].typical(score, len(value)):
                 best = max(best, ((score - plain) / len(value), kind))
     return best
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of credential characters that the plain spans leave, in order."""
+    taken: list[list[int]] = []     # the spans as disjoint ranges
+    for start, end, _ in base:
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        while at < len(taken) and taken[at][0] < end:
+            if taken[at][0] - start >= LEAST_VALUE:
+                yield start, taken[at][0]
+            start = max(start, taken[at][1])
+            if start >= end:
+                break       # the span may reach into the next run
+            at += 1
+        if end - start >= LEAST_VALUE:
+            yield start, end
+
+
+def secrets_in(value: str, formats: dict[str, Automaton], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of a candidate: itself if it is a secret as a whole, else those of its pieces that are."""
+    def kind_of(part: str) -> str:
+        score, kind = best_kind(part, formats)
+        return kind if score >= threshold and score * len(part) >= EVIDENCE else ""
+
+    if kind := kind_of(value):
+        return [(0, len(value), kind)]
+    pieces = [m.span() for m in _PIECE.finditer(value) if len(m[0]) < len(value)]
+    return [(a, b, kind) for a, b in pieces if (kind := kind_of(value[a:b]))]
+
+
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", formats: dict[str, Automaton] | None = None,
                  threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id, n_assign, n_access, n_hex, base_sha256, spans, n_learned``.
 
     Counts, ``base_sha256`` and ``spans`` are in code points of the whole text; null texts are empty:
     no spans, and the SHA-256 of nothing.  ``spans`` lists the plain spans and the added candidates
-    as ``kind:start:end``, by start, then kind as listed.  Without enough labelled credentials (an empty
-    table, say) nothing is added.  Repeated rows and ids give a row each; other columns are ignored.
+    as ``kind:start:end``, by start, then kind as listed.  Without labelled credentials (an empty
+    table, say) nothing is added.  Very long texts cost their length; of labelled values over ``LONGEST`` characters the
+    automata learn the first ``LONGEST``, but score whole candidates.  Repeated rows and ids give a row each; other columns are ignored.
     """
     formats = fit_formats(df, text_col) if formats is None else formats
     shared = df.sparkSession.sparkContext.broadcast(formats)
@@ -257,25 +312,22 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         formats = shared.value
         learned = any(k in formats for k in KINDS)
-        scores: dict[str, tuple[float, str]] = {}
+        known: dict[str, list[tuple[int, int, str]]] = {}
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column("text").to_pylist():
                 base = plain_spans(text)
                 added = []
-                for m in CANDIDATE.finditer(text) if learned else ():
-                    a, b, value = m.start(), m.end(), m[0]
-                    if any(x < b and a < y for x, y, _ in base):
-                        continue
-                    score = scores.get(value)
-                    if score is None:
-                        if len(scores) >= 200_000:
-                            scores.clear()
-                        score = best_kind(value, formats)
+                for a, b in candidates(text, base) if learned else ():
+                    value = text[a:b]
+                    found = known.get(value)
+                    if found is None:
+                        found = secrets_in(value, formats, threshold)
                         if b - a <= 64:
-                            scores[value] = score
-                    if score[0] >= threshold:
-                        added.append((a, b, score[1]))
+                            if len(known) >= 200_000:
+                                known.clear()
+                            known[value] = found
+                    added += [(a + x, a + y, kind) for x, y, kind in found]
                 joined = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
                 every = sorted(base + added, key=lambda x: (x[0], listed[x[2]]))
                 kinds = Counter(k for _, _, k in base)
