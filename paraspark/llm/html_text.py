@@ -5,16 +5,19 @@ root-to-leaf path of block-level tags.  Per path, text length (linked text count
 punctuation are averaged over its blocks; the two ratios are fused into a score, smoothed over
 neighbouring blocks in page order to at most twice itself, and paths whose blocks reach a share of the page's best score are content.  Paths through
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by tag, role,
-class or id, score zero.  Content blocks name the region: their article or main elements, or
-without such the smallest element around them.  All of the region but zero-score paths is
-the text; nothing else of it is dropped.
+class or id, score zero; within an article a class or id must name such a thing (``cookie-notice``, ``ad-slot``), not
+only mention it (``notice-of-meeting``).  Content blocks name the region: their article or main elements, or
+without such the smallest element around them with the headings that lead up to it.  All of the region but
+zero-score paths is the text; nothing else of it is dropped.  Memory is linear in the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +28,24 @@ from paraspark.llm.common import table
 SHARE = 0.1         # of the best smoothed score that a content path reaches
 LINKS = 0.5         # share of linked text above which a low-scoring block outside articles is a menu
 ARTICLE_PRIOR = 4.0
+_LINK_REACH = 3     # a link and two elements within it
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(script|style|template|textarea|iframe|noscript|title|svg|math|object|select|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(script|style|template|textarea|iframe|noscript|title|svg|object|select|xmp|annotation|annotation-xml)\b(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp "
-                    "small span strike strong sub sup time tt u var wbr".split())
+                    "small span strike strong sub sup time tt u var wbr "
+                    # formulas
+                    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+                    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                       "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -45,6 +53,7 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
              "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _HOLDERS = frozenset("ul ol dl table body html article main div section".split())
 _REGION = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROP_TAGS = frozenset("nav footer aside form menu button head dialog fieldset".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 _DROP_WORDS = frozenset(
@@ -52,14 +61,36 @@ _DROP_WORDS = frozenset(
     "breadcrumb breadcrumbs sidebar aside footer comment comments disqus replies reply respond cookie cookies consent gdpr notice "
     "notices popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
     "widget toolbar pagination pager copyright disclaimer banner".split())
+#: Words that tell where or in what form a thing is, not what it is.
+_FORM_WORDS = frozenset(
+    "area bar block body bottom box button buttons card center col column container content form group header icon icons inner item items "
+    "label left link links list main outer panel posts right row section slot text thread title top unit wrap wrapper".split())
 _HEADERS = frozenset("header masthead topbar".split())
 
 
 class _Element:
-    __slots__ = ("dropped", "name", "number", "path", "region")
+    """An open element; ``block``, ``path`` and ``held`` (dropped) are of the innermost block-level one."""
 
-    def __init__(self, name: str, number: int, path: str, region: int, dropped: bool) -> None:
-        self.name, self.number, self.path, self.region, self.dropped = name, number, path, region, dropped
+    __slots__ = ("block", "dropped", "held", "linked", "name", "path", "region")
+
+    def __init__(self, name: str, block: int = 0, path: int = 0, region: int = 0, dropped: bool = False, held: bool = False, linked: int = 0) -> None:
+        self.name, self.block, self.path, self.region, self.dropped, self.held, self.linked = name, block, path, region, dropped, held, linked
+
+
+class Block(NamedTuple):
+    text: str
+    path: int           # number of its root-to-leaf path of block-level tags
+    element: int        # the innermost block-level element
+    region: int         # the outermost article or main element, 0 without
+    dropped: bool
+    linked: float       # share of linked text
+    heading: bool
+
+
+def _names(words: list[str]) -> bool:
+    """Whether the words of a class name something to drop: the last one does, or all but words of form do."""
+    said = [w for w in words if w not in _FORM_WORDS and not w.isdigit()]
+    return bool(said) and (words[-1] in _DROP_WORDS or all(w in _DROP_WORDS for w in said))
 
 
 def _is_dropped(name: str, attributes: str, in_region: bool) -> bool:
@@ -74,34 +105,36 @@ def _is_dropped(name: str, attributes: str, in_region: bool) -> bool:
         if key == "role" and value.lower() in _DROP_ROLES:
             return True
         if key in ("class", "id"):
-            words = {w.lower() for w in _SPLIT.split(value)} | set(_SPLIT.split(value.lower()))
-            if words & _DROP_WORDS or not in_region and words & _HEADERS:
-                return True
+            for one in value.split():
+                ways = [[w.lower() for w in _SPLIT.split(x) if w] for x in (one, one.lower())]
+                words = {w for way in ways for w in way}
+                if any(map(_names, ways)) if in_region else words & (_DROP_WORDS | _HEADERS):
+                    return True
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, str, tuple[int, ...], int, bool, float]]:
-    """(text, path, numbers of the elements around it, region, dropped, share of linked text) of the blocks in page order."""
-    root = _Element("", 0, "", 0, False)
-    stack, made, blocks, at = [root], 0, [], 0
+def blocks_of(html: str) -> tuple[list[Block], list[int]]:
+    """The blocks in page order, and for each block-level element the number of the one around it."""
+    stack, blocks, at = [_Element("")], [], 0
+    around, opened = [0], Counter()
+    paths: dict[tuple[int, str], int] = {}
+    headings = [False]
     parts: list[str] = []
     linked = [0]
 
     def flush() -> None:
-        # the innermost element that is no inline one names the block
         if parts:
             text = _WHITE.sub(" ", unescape("".join(parts))).strip(" ")
             parts.clear()
             if text:
-                holder = next(e for e in reversed(stack) if e.name not in _INLINE)
-                blocks.append((text, holder.path, tuple(e.number for e in stack if e.name not in _INLINE), holder.region,
-                               holder.dropped, min(1.0, linked[0] / len(text))))
+                top = stack[-1]
+                blocks.append(Block(text, top.path, top.block, top.region, top.held, min(1.0, linked[0] / len(text)), headings[top.path]))
         linked[0] = 0
 
     def add(raw: str) -> None:
         if not stack[-1].dropped:
             parts.append(raw)
-            if any(e.name == "a" for e in stack[-3:]):
+            if stack[-1].linked:
                 linked[0] += len(raw)
 
     def close(names: tuple[str, ...] | str, until: frozenset = _HOLDERS) -> None:
@@ -109,6 +142,7 @@ def blocks_of(html: str) -> list[tuple[str, str, tuple[int, ...], int, bool, flo
             if stack[k].name in names:
                 if any(e.name not in _INLINE for e in stack[k:]):
                     flush()
+                opened.subtract(e.name for e in stack[k:])
                 del stack[k:]
                 return
             if stack[k].name in until:
@@ -125,7 +159,7 @@ def blocks_of(html: str) -> list[tuple[str, str, tuple[int, ...], int, bool, flo
         if m[2]:
             if name == "br":
                 add(" ")
-            elif any(e.name == name for e in stack):
+            elif opened[name] > 0:
                 close((name,), frozenset() if name not in _INLINE else _HOLDERS)
             continue
         if name not in _INLINE:
@@ -142,25 +176,32 @@ def blocks_of(html: str) -> list[tuple[str, str, tuple[int, ...], int, bool, flo
         attributes = m[4]
         if attributes.rstrip().endswith("/") and name not in _CLOSES_P:
             continue
-        made += 1
         dropped = top.dropped or _is_dropped(name, attributes, top.region > 0)
-        if dropped and not top.dropped and name in _INLINE:
-            add(" ")
-        path = top.path if name in _INLINE else f"{top.path}/{name}"
-        region = made if name in _REGION and not dropped and not top.region else top.region
-        stack.append(_Element(name, made, path, region, dropped))
+        links = _LINK_REACH if name == "a" else max(0, top.linked - 1)
+        opened[name] += 1
+        if name in _INLINE:
+            if dropped and not top.dropped:
+                add(" ")
+            stack.append(_Element(name, top.block, top.path, top.region, dropped, top.held, links))
+            continue
+        around.append(top.block)
+        path = paths.setdefault((top.path, name), len(headings))
+        if path == len(headings):
+            headings.append(name in _HEADINGS)
+        region = len(around) - 1 if name in _REGION and not dropped and not top.region else top.region
+        stack.append(_Element(name, len(around) - 1, path, region, dropped, dropped, links))
     if at < len(html):
         rest = html[at:]
         cut = re.search(r"<[a-zA-Z/!]", rest)     # a tag the page ends in
         add(rest[:cut.start()] if cut else rest)
     flush()
-    return blocks
+    return blocks, around
 
 
-def path_scores(blocks: list[tuple]) -> list[float]:
+def path_scores(blocks: list[Block]) -> list[float]:
     """The smoothed, fused score of each block's path."""
     totals: dict[tuple, list[float]] = {}
-    for text, path, _, region, dropped, linked in blocks:
+    for text, path, _, region, dropped, linked, _ in blocks:
         sums = totals.setdefault((path, region > 0, dropped), [0, 0.0, 0])
         sums[0] += 1
         sums[1] += len(text) * (1.05 - linked)
@@ -168,27 +209,54 @@ def path_scores(blocks: list[tuple]) -> list[float]:
     fused = {}
     for key, (n, chars, marks) in totals.items():
         fused[key] = 0.0 if key[2] else (chars / n) * (1 + marks / n) * (ARTICLE_PRIOR if key[1] else 1.0)
-    raw = [fused[path, region > 0, dropped] for _, path, _, region, dropped, _ in blocks]
+    raw = [fused[path, region > 0, dropped] for _, path, _, region, dropped, *_ in blocks]
     padded = [raw[0], *raw, raw[-1]] if raw else []
     smooth = [(padded[k] + 2 * padded[k + 1] + padded[k + 2]) / 4 for k in range(len(raw))]
     return [min(s, 2 * r) for s, r in zip(smooth, raw, strict=True)]
 
 
+def _region_around(blocks: list[Block], core: list[int], around: list[int]) -> list[bool]:
+    """Of each block whether it lies in the smallest element around the core, or in headings that lead up to that."""
+    holder = blocks[core[0]].element
+    for k in core[1:]:
+        other = blocks[k].element
+        while holder != other:      # an element has a larger number than the one around it
+            holder, other = (around[holder], other) if holder > other else (holder, around[other])
+    inside = [False] * len(around)
+    for element, parent in enumerate(around):
+        inside[element] = element == holder or element > holder and inside[parent]
+    chosen = [inside[b.element] for b in blocks]
+    above, up = {0}, holder
+    while up:
+        above.add(up)
+        up = around[up]
+    first, led = chosen.index(True), -1
+    for k in range(first - 1, -1, -1):
+        b = blocks[k]
+        if b.dropped or b.linked > LINKS or led >= 0 and not b.heading:
+            break
+        if b.heading:
+            if around[b.element] not in above:
+                break
+            led = k
+    if led >= 0:
+        chosen[led:first] = [True] * (first - led)
+    return chosen
+
+
 def main_text(html: str) -> list[str]:
     """The blocks of a page's main text, in page order."""
-    blocks = blocks_of(html)
+    blocks, around = blocks_of(html)
     scores = path_scores(blocks)
     best = max(scores, default=0.0)
     if best == 0.0:
         return []
     core = [k for k, s in enumerate(scores) if s >= SHARE * best]
-    regions = {blocks[k][3] for k in core if blocks[k][3]}
+    regions = {blocks[k].region for k in core if blocks[k].region}
     if regions:
-        return [b[0] for b in blocks if b[3] in regions and not b[4]]
-    around = set(blocks[core[0]][2]).intersection(*(blocks[k][2] for k in core))
-    holder = max(around, default=0)
-    return [b[0] for b, s in zip(blocks, scores, strict=True)
-            if holder in b[2] and not b[4] and (s >= SHARE * best or b[5] <= LINKS)]
+        return [b.text for b in blocks if b.region in regions and not b.dropped]
+    chosen = _region_around(blocks, core, around)
+    return [b.text for b, s, c in zip(blocks, scores, chosen, strict=True) if c and not b.dropped and (s >= SHARE * best or b.linked <= LINKS)]
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -196,7 +264,7 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The whole html is read.  Character references are decoded, white space (``\\x20``, ``\\x09``-``\\x0D``) inside a block becomes
     one space, blocks are trimmed and joined by newlines.  Null or empty html, and pages without
-    main text, give an empty text.  Unclosed, misnested and cut-off tags close as in browsers.
+    main text, give an empty text.  Very long and deeply nested pages take memory linear in their length.  Unclosed, misnested and cut-off tags close as in browsers.
     Repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

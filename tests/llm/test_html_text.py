@@ -36,6 +36,35 @@ def test_pages_without_article_go_by_path_scores():
     assert main_text(html) == long
 
 
+def test_graphics_formulas_and_classes_that_only_mention_a_thing():
+    expect('<article><svg class="i"/><p>Kept text.</p></article>', ["Kept text."])
+    expect('<article><p>a<svg viewBox="0 > 1"/>b <svg><title>t</title><path d="M"/></svg>c</p></article>', ["ab c"])
+    expect("<article><p>So <math><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><mi>y</mi></math> holds.</p></article>", ["So x2+y holds."])
+    expect('<article><section id="notice-of-meeting"><p>One.</p></section><p class="copyright-law">Two.</p><p class="adage">Three.</p></article>',
+           ["One.", "Two.", "Three."])
+    for name in ("ad", "ad-slot-3", "cookie-notice", "commentList", "share-buttons", "related posts", "site_nav", "x newsletter-box"):
+        expect(f'<article><p>One.</p><div class="{name}"><p>No.</p></div><p id="{name}">No.</p></article>', ["One."])
+
+
+def test_headings_that_lead_up_to_the_main_element():
+    long = "Words and words, with marks. " * 9
+    page = "<body><div class=top><h1>Site</h1></div><p>Welcome<ul><li><a href=/>Menu</a></ul>{}<div><h1>Title</h1><h2>Under</h2><p>By me</p><div><p>{}</p><p>{}</p></div></div>"
+    assert main_text(page.format("", long, long)) == ["Title", "Under", "By me", long.strip(), long.strip()]
+    assert main_text(page.format("<h3>Other</h3><p>Tail</p>", long, long))[0] == "Title"
+
+
+def test_deep_and_unclosed_pages_take_linear_memory():
+    import tracemalloc
+    peaks = []
+    for n in (2000, 8000):
+        html = "<div>" * n + "text" + "<div><b>more" * n
+        tracemalloc.start()
+        assert len(main_text(html)) == n + 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 40_000_000
+
+
 def test_templates_of_random_pages_match_their_blocks():
     rng = random.Random(2)
     for _ in range(200):
