@@ -67,7 +67,7 @@ def labelled_values(text: str) -> list[tuple[str, str]]:
 
 def ordinary(run: str) -> str:
     """The kind of an ordinary run, empty for others."""
-    if not any(map(str.isdigit, run)):
+    if run.isalpha() or not any(map(str.isdigit, run)):
         return "word"
     return "" if any(map(str.isalpha, run)) else "number"
 
@@ -85,9 +85,12 @@ def symbol(c: str) -> str:
     return "z" if c.islower() else "Z" if c.isupper() else c
 
 
+_SYMBOLS = {c: symbol(c) for c in map(chr, range(128))}
+
+
 def symbols(value: str) -> list[str]:
     """The first ``LITERAL`` characters as they are, so that fixed prefixes are learned, then classes."""
-    return ["=" + c for c in value[:LITERAL]] + [symbol(c) for c in value[LITERAL:]]
+    return ["=" + c for c in value[:LITERAL]] + [_SYMBOLS.get(c) or symbol(c) for c in value[LITERAL:]]
 
 
 class _State:
@@ -116,6 +119,23 @@ class Automaton:
     def typical(self, score: float, length: int) -> bool:
         return abs(score / length - self.mean) <= DEVIATIONS * (self.spread + 0.05) / math.sqrt(min(length, LONGEST))
 
+    def typical_likelihood(self, steps: list[str]) -> float | None:
+        """The log-likelihood of a whole value's symbols if it is typical; given up as soon as it cannot be."""
+        n = len(steps)
+        reach = n * DEVIATIONS * (self.spread + 0.05) / math.sqrt(min(n, LONGEST))
+        least, at, total, states = n * self.mean - reach, 0, 0.0, self.states
+        for c in steps:
+            step = states[at][1].get(c)
+            if step is None:
+                total += self.unseen
+            else:
+                total += step[0]
+                at = step[1]
+            if total < least:       # it only falls
+                return None
+        total += states[at][0]
+        return total if least <= total <= n * self.mean + reach else None
+
     def log_likelihood(self, value: str, ends: bool = True) -> float:
         """Of the value's symbols and, if asked, its end; unseen steps cost ``unseen`` and stay in the state."""
         at, total, states = 0, 0.0, self.states
@@ -249,14 +269,14 @@ def fit_formats(df: DataFrame, text_col: str = "text", sample: int = SAMPLE, alp
 
 def best_kind(value: str, formats: dict[str, Automaton]) -> tuple[float, str]:
     """(log-likelihood ratio per character against ordinary runs, kind) of the likeliest format."""
-    plain = max((formats[k].log_likelihood(value) for k in ORDINARY if k in formats), default=-math.log(64) * len(value))
-    best = (-math.inf, "")
+    steps, best = symbols(value), (-math.inf, "")
     for kind in KINDS:
-        if kind in formats:
-            score = formats[kind].log_likelihood(value)
-            if formats[kind].typical(score, len(value)):
-                best = max(best, ((score - plain) / len(value), kind))
-    return best
+        if kind in formats and (score := formats[kind].typical_likelihood(steps)) is not None:
+            best = max(best, (score, kind))
+    if not best[1]:
+        return best
+    plain = max((formats[k].log_likelihood(value) for k in ORDINARY if k in formats), default=-math.log(64) * len(value))
+    return (best[0] - plain) / len(value), best[1]
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
