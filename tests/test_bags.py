@@ -57,3 +57,16 @@ def test_sliced_arrays_no_rows_and_a_long_pair():
 def test_f_scores():
     sizes = np.array([[0, 0, 4, 4, 2], [0, 3, 0, 4, 4]])
     assert bags.f_scores(np.array([0, 0, 0, 0, 2]), sizes, 1.0).tolist() == [1.0, 0.0, 0.0, 0.0, 2 / 3]
+
+
+@pytest.mark.parametrize("slice_", [1 << 16, 40])
+@pytest.mark.parametrize("alphabet", ["ab", "é😀漢字́x", [chr(0x4e00 + k) for k in range(6000)]])
+def test_different_items_match_counters(monkeypatch, slice_, alphabet):
+    monkeypatch.setattr(bags, "SLICE", slice_)
+    pairs = made(random.Random(7 + len(alphabet)), alphabet, 150, 12) + [("", ""), ("a", "a"), ("", "ab"), ("aaaaaaa", "a a a")]
+    shared, sizes, different = bags.counted(*(pa.array(x) for x in zip(*pairs)), 6)
+    for k, (p, r) in enumerate(pairs):
+        for n in range(7):
+            a, b = grams(p, n), grams(r, n)
+            assert different[n, :, k].tolist() == [len(a), len(b)] and sizes[n, :, k].tolist() == [a.total(), b.total()]
+            assert shared[n, k] == (a & b).total()
