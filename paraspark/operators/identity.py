@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paraspark.session import scratch_dir
+
 _MID = "__mid"
 SKETCH_PER_CELL = 64    # keys drawn for each cut
 
@@ -24,6 +26,13 @@ def _order_cols(order_cols):
     return [F.col(c) if isinstance(c, str) else c for c in order_cols]
 
 
+def stored_keys(df: DataFrame, name: str) -> DataFrame:
+    """A narrow frame written under the shared folder and read back, as numbering reads its rows several times."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def key_cuts(df: DataFrame, names: list[str], cells: int) -> str:
     """Up to ``cells - 1`` keys that cut the rows into parts of about one size.
 
