@@ -70,7 +70,11 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; documents it does not take go."""
     rows, row = _numbered(docs)
-    taken = mix_sources(rows, id_col=row).where("taken > 0")
+    # rows are told apart by nulls as well, but the draws are of the columns' hash alone
+    drawn = f"draw_{row}"
+    while drawn in docs.columns:
+        drawn += "_"
+    taken = mix_sources(rows.withColumn(drawn, F.xxhash64(*docs.columns)), id_col=row, draw_col=drawn).where("taken > 0")
     times = stored(taken.select(F.col(row), (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct(), "times")
     name = "times"
     while name in docs.columns:

@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
-                cells: int = CELLS) -> DataFrame:
+                cells: int = CELLS, draw_col: str | None = None) -> DataFrame:
     """One row per input row: ``id, source, size, source_size, target, taken``.
 
     ``size`` counts the words of the whole text, null counting none.  ``taken`` is ``size`` times the
@@ -68,11 +68,12 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     remains of the target, so a source misses its target by half a document at most.  Null sources
     are one source, the last.  Equal keys (repeated rows) are ordered by id and size.  Documents
     without words take nothing; an empty table gives no rows; other input columns are ignored.
+    ``draw_col`` names what the draws are of, if that is not the id.
     """
     text = text_or_empty(text_col)
     drawn = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                       F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-                      (-F.log(draw(F.col(id_col), seed)) / quality(text)).alias("key"))
+                      (-F.log(draw(F.col(draw_col or id_col), seed)) / quality(text)).alias("key"))
     cell = F.floor(cells * (1 - F.exp(-F.col("key")))).cast("int")
     drawn = stored(drawn.withColumn("cell", cell), "mix")
     budgets = targets(drawn.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
