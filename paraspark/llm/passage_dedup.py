@@ -1,11 +1,12 @@
 """Substring dedup: MinHash banding of paragraphs, verified and clustered by components.
 
 Paragraphs are all runs of ``WINDOW`` words of a text, so a passage is found wherever it stands in
-a line.  A band is one permutation: a paragraph's key is the run of ``RUN`` words (its 13
-neighbouring five-word shingles) at the shingle that the permutation puts first among those where
-the run ends inside the paragraph.  Overlapping paragraphs mostly share their minimum, so a text
-has about one key per 17 words and band.  Equal paragraphs have equal keys in every band, and
-``bands_for`` tells how many bands ones with a changed word need, by ``key_share``.
+a line.  A key is the run of ``RUN`` words (its 13 neighbouring five-word shingles) at the shingle that
+a permutation puts first.  With one band, among those where the run ends inside the paragraph; overlapping
+paragraphs mostly share it.  ``bands_for`` tells how many such bands ones with a changed word need, by
+``key_share``, and from two on the minima of every nine neighbouring runs are taken instead, under one permutation:
+near paragraphs share half a paragraph of equal words, which holds nine runs, so they share a key for certain.
+A text has about one key per five words.
 
 Texts are first grouped by equality: of copies all but the first by id are repeats as a whole, and
 that one alone takes part in what follows.  In every
@@ -18,8 +19,8 @@ linked to the first of them, so no equal paragraph is lost and no bucket becomes
 Places that still lie in no match meet the other unsettled places of their bucket by keys, never pair by
 pair.  With 46 different shingles a Jaccard of 0.8 leaves two paragraphs one changed, missing or added word, or
 ``NEARLY`` equal words in a row.  So a place first gives six keys of its run and 11 more words, of which near
-paragraphs share one; places whose keys meet give keys of the words before and after each edit beside the run;
-edits that meet, with different words passed over, give the key of every paragraph around them without the
+paragraphs share one; places whose keys meet give keys of the words before and after each edit beside the run, as
+far off as the words next to an edit may have their place; edits that meet, with different words passed over, give the key of every paragraph around them without the
 word.  All paragraphs of such a key are one edit apart, so a link of each with the first loses none.
 Overlapping matches of a text join into spans; matches connect spans, and each component keeps its
 first span, by id and place, and gives the others up for removal.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,7 @@ RUN = 17
 WIDTH = 5
 PERCENT = 80
 RECALL = 0.95
+HALF = 25           # equal words side by side that near paragraphs share; they hold nine runs
 PARTNERS = 512      # pairs of a pivot in one task
 NEARLY = 45         # equal words that leave the paragraph around them a Jaccard of PERCENT, if their shingles differ
 PLACES = 4096       # of a text whose keys are made at once
@@ -86,24 +89,23 @@ def key_share(window: int = WINDOW, run: int = RUN, width: int = WIDTH) -> float
 
 
 def anchors(words: np.ndarray, bands: int, window: int = WINDOW, run: int = RUN, width: int = WIDTH) -> np.ndarray:
-    """Places of the minima of all paragraphs under all bands, ascending."""
-    span = window - run + 1
+    """Places of the minima, ascending: of all paragraphs for one band, of the runs in all half paragraphs for more."""
+    span = (window if bands == 1 else HALF) - run + 1
     if len(words) < window:
         return np.empty(0, np.int64)
     shingles = grams(words, width)[:len(words) - run + 1]
     found, step = [], 1 << 16
     low = np.uint64((1 << 20) - 1)
     places = np.arange(min(len(shingles), step + span), dtype=np.uint64)
-    for band in range(bands):
-        order = mix(shingles ^ np.uint64(0x9E3779B97F4A7C15 * (2 * band + 1) % (1 << 64))) & ~low
-        for at in range(0, len(order) - span + 1, step):
-            least = order[at:at + step + span - 1] | places[:len(order[at:at + step + span - 1])]
-            done = 1        # each entry is the minimum, with its place, of this many from it on
-            while done < span:
-                shift = min(done, span - done)
-                least = np.minimum(least[:-shift], least[shift:])
-                done += shift
-            found.append(np.unique(least & low).astype(np.int64) + at)
+    order = mix(shingles ^ np.uint64(0x9E3779B97F4A7C15)) & ~low
+    for at in range(0, len(order) - span + 1, step):
+        least = order[at:at + step + span - 1] | places[:len(order[at:at + step + span - 1])]
+        done = 1        # each entry is the minimum, with its place, of this many from it on
+        while done < span:
+            shift = min(done, span - done)
+            least = np.minimum(least[:-shift], least[shift:])
+            done += shift
+        found.append(np.unique(least & low).astype(np.int64) + at)
     return np.unique(np.concatenate(found))
 
 
@@ -285,38 +287,31 @@ def _marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def _edits(runs: _Runs, places: np.ndarray, opened: np.ndarray) -> Iterator[tuple]:
-    """Keys of the words before and after every edit beside a place's run: ``(keys, opened, at, kind, gap, word)``.
+def _edits(runs: _Runs, places: np.ndarray, opened: np.ndarray, reach: int = HALF - RUN) -> Iterator[tuple]:
+    """Keys of the words before and after every edit at most ``reach`` words beside a place's run: ``(keys, opened, at, kind, gap, word)``.
 
     Each edit of a text gives its keys once, however many places it is beside.  Of the 49 equal words, kind 0 has
-    33 or more before the edit, kind 1 as many after it, kind 4 at least 17 on both sides.  ``word`` is the word passed
+    ``HALF`` or more before the edit, kind 1 as many after it; those next to it hold a place.  ``word`` is the word passed
     over, -1 if none is (``gap`` 0); ``at`` is where the words before it end or, for kind 1, those after it start.  Kinds 2 and
-    3: equal runs of ``NEARLY`` words from ``at`` on, in a paragraph that starts, or that ends, with them.
+    3: equal runs of ``NEARLY`` words, of which the first hold a place, in the last or the first paragraph that holds them.
     """
-    reach = NEARLY - RUN
-
-    def beside(p: np.ndarray) -> np.ndarray:
-        return _marked(runs.n + 1, np.concatenate([p - reach, p + RUN]), np.concatenate([p + 1, p + NEARLY]))
-
-    marked, free = beside(places), beside(places[opened])
-    whole = np.flatnonzero(marked)
-    for first in range(0, len(whole), POSITIONS):
-        at = whole[first:first + POSITIONS]
-        for kind, held, beyond in ((0, 33, 5), (1, 5, 33), (4, RUN, RUN)):
+    for kind, first, last in ((0, RUN, RUN + reach), (1, -reach, 0), (2, -reach, 0)):
+        marked, free = (_marked(runs.n + 1, p + first, p + last + 1) for p in (places, places[opened]))
+        whole = np.flatnonzero(marked)
+        for k in range(0, len(whole), POSITIONS):
+            at = whole[k:k + POSITIONS]
+            if kind == 2:
+                x = at[runs.inside(at, at + NEARLY) & _varied(runs, at)]
+                for side, start in ((2, np.minimum(x, runs.n - WINDOW)), (3, np.maximum(x + NEARLY - WINDOW, 0))):
+                    yield runs.pair(side, (x, x), (x, x + NEARLY)), free[x], start, side, 0, 0
+                continue
+            held, beyond = (HALF, WIDTH) if kind == 0 else (WIDTH, HALF)
             for gap in (0, 1):
                 end, start = (at - gap, at) if kind == 1 else (at, at + gap)
                 ok = runs.inside(end - held, start + beyond)
                 end, start, x = end[ok], start[ok], at[ok]
                 yield (runs.pair(16 + kind, (end - held, end), (start, start + beyond)), free[x], x, kind, gap,
                        runs.word(end) if gap else -1)
-    whole = np.flatnonzero(_marked(runs.n, places - reach, places + 1))
-    free = _marked(runs.n, places[opened] - reach, places[opened] + 1)
-    for first in range(0, len(whole), POSITIONS):
-        at = whole[first:first + POSITIONS]
-        fits = runs.inside(at, at + NEARLY) & _varied(runs, at)
-        for kind, ok in ((2, fits & (at + WINDOW <= runs.n)), (3, fits & (at + NEARLY >= WINDOW))):
-            x = at[ok]
-            yield runs.pair(kind, (x, x), (x, x + NEARLY)), free[x], x, kind, 0, 0
 
 
 def _varied(runs: _Runs, at: np.ndarray) -> np.ndarray:
@@ -341,14 +336,13 @@ def _exact(runs: _Runs, at: np.ndarray, opened: np.ndarray, kinds: np.ndarray, g
     ``WINDOW`` - 1 words are equal, and the paragraph starts or ends with those before or after the edit.
     """
     for gap in (0, 1):
-        for kind, side, least, most in ((0, 0, 33, NEARLY), (1, 1, 33, NEARLY), (4, 0, RUN, 33), (4, 1, RUN, 33)):
-            own = np.flatnonzero((kinds == kind) & (gaps == gap))
-            k = np.arange(least, most)[None, :]
+        for side in (0, 1):
+            own = np.flatnonzero((kinds == side) & (gaps == gap))
+            k = np.arange(HALF, NEARLY)[None, :]
             m, rest = at[own][:, None] + 0 * k, WINDOW - 1 - k
             if side == 0:
                 start, left, right, word = m - k, (m - k, m), (m + gap, m + gap + rest), runs.word(m)
             else:
-                m = m + gap if kind == 4 else m
                 start, left, right, word = m + k - WINDOW, (m - gap - rest, m - gap), (m, m + k), runs.word(m - 1)
             ok = runs.inside(start, start + WINDOW) & runs.inside(left[0], right[1])
             key = mix(runs.pair(64 + side, left, right) + k.astype(np.uint64))
@@ -393,6 +387,7 @@ class _Passages:
 
     def __init__(self, texts: DataFrame, bands: int) -> None:
         self.texts, spark = texts, texts.sparkSession
+        self.reach = (NEARLY if bands == 1 else HALF) - RUN
         self.members = stored(texts.mapInArrow(_keys(bands), "id long, row_key long, node long, n long, keys array<long>, "
                                                "places array<int>"), "passage-keys")
         long = self.members.where(F.col("n") >= WINDOW)
@@ -476,22 +471,25 @@ class _Passages:
         return stored(links.unionByName(self.near(rest, links)), "passage-links")
 
     def near(self, rest: DataFrame, links: DataFrame) -> DataFrame:
-        """Links of near paragraphs at the places that no match holds, with any place of their buckets."""
-        found = links.select(F.col("a").alias("node"), F.col("a0").alias("s"), F.col("a1").alias("e")).union(links.select("b", "b0", "b1"))
-        found = found.groupBy("node").agg(F.collect_set(F.struct("s", "e")).alias("found"))
-        held = F.exists("found", lambda r: (r["s"] <= F.col("place")) & (r["e"] >= F.col("place") + RUN))
-        marked = stored(rest.join(found, "node", "left").select("key", "node", "place", (~F.coalesce(held, F.lit(False))).alias("opened")),
+        """Links of near paragraphs at the places that no match with the pivot holds, with any place of their buckets."""
+        # a match elsewhere links a place with others than its bucket's, so only one with the pivot's first place holds it
+        found = (links.groupBy(F.col("a").alias("lo"), F.col("b").alias("node"))
+                 .agg(F.collect_set(F.struct("a0", "a1", "b0", "b1")).alias("found")))
+        first = rest.groupBy("key").agg(F.min("node").alias("lo"), F.min(F.struct("node", "place"))["place"].alias("i"))
+        held = F.exists("found", lambda r: (r["a0"] <= F.col("i")) & (r["a1"] >= F.col("i") + RUN)
+                        & (r["b0"] <= F.col("place")) & (r["b1"] >= F.col("place") + RUN))
+        held = F.coalesce(held, F.lit(False)) | ((F.col("node") == F.col("lo")) & (F.col("place") == F.col("i")))
+        marked = stored(rest.join(first, "key").join(found, ["lo", "node"], "left").select("key", "node", "place", (~held).alias("opened")),
                         "passage-marked")
         places = self.meeting(marked).select("node", "place", "opened").distinct()
         loose = stored(self.keyed(places, ["place"], _loose, ["place", "around"], "place int, around long"), "passage-loose")
         # places with equal words all around are linked already, so one of them stands for the others
         places = self.meeting(loose).groupBy("around").agg(F.min(F.struct("node", "place")).alias("one"), F.max("opened").alias("opened"))
         places = places.select("one.*", "opened")
-        edits = stored(self.keyed(places, ["place"], _edits, ["at", "kind", "gap", "word"], "at int, kind int, gap int, word long"),
+        edits = stored(self.keyed(places, ["place"], partial(_edits, reach=self.reach), ["at", "kind", "gap", "word"], "at int, kind int, gap int, word long"),
                        "passage-edits")
         nearly = edits.where("kind IN (2, 3)")
-        starts = self.starred(nearly.select("key", "node", F.when(F.col("kind") == 2, F.col("at")).otherwise(F.col("at") + NEARLY - WINDOW)
-                                            .alias("start"), "opened"))
+        starts = self.starred(nearly.select("key", "node", F.col("at").alias("start"), "opened"))
         met = self.meeting(edits.where("kind NOT IN (2, 3)"), F.min("word") < F.max("word"))
         places = met.select("node", F.col("at").alias("place"), "kind", "gap", "opened")
         exact = stored(self.keyed(places, ["place", "kind", "gap"], _exact, ["start", "word"], "start int, word long"), "passage-exact")

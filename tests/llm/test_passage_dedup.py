@@ -258,3 +258,44 @@ def test_every_round_of_near_keys_lets_paragraphs_one_edit_apart_meet(edit, size
             a, b = (t[e[k]:e[k] + P.WINDOW] for t, e in zip(texts, exact, strict=True))
             p, q = (set(P.grams(x.astype(np.uint64), P.WIDTH).tolist()) for x in (a, b))
             assert len(a) == len(b) == P.WINDOW and 100 * len(p & q) >= P.PERCENT * len(p | q)
+
+
+def test_near_paragraphs_share_a_key_for_certain():
+    rng = np.random.default_rng(8)
+    bands = P.bands_for(P.key_share(), P.RECALL)
+    for k in range(3000):
+        passage = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+        edited = passage.copy()
+        edited[20 + k % 10] += np.uint64(1)
+        keys = []
+        for p in (passage, edited):
+            ends = (rng.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(2))
+            words = np.concatenate([next(ends), p, next(ends)])
+            keys.append(set(P.grams(words, P.RUN)[P.anchors(words, bands)].tolist()))
+        assert keys[0] & keys[1], k
+
+
+def test_short_texts_near_by_a_run_in_the_middle_are_linked(spark):
+    rng = random.Random(21)
+    texts = []
+    for first in range(6):      # of 50 words, 45 in a row are equal and others stand before and after them
+        run = sentence(rng, 45)
+        texts += [sentence(rng, first) + run + sentence(rng, 5 - first) for _ in range(2)]
+    rows = P.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert sorted((r.doc_id, r.keep_id) for r in rows) == [(k, k // 2 * 2) for k in range(12)]
+
+
+def test_matches_elsewhere_do_not_hide_a_near_paragraph(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(8):
+        # 1 and 2 are near by 25 and 24 words beside another one; each run lies in a passage that 0 or 5 share with 1, 3 or 4 with 2
+        left, right, far = (sentence(rng, n) for n in (25, 24, 200))
+        ends = [far[k:k + 30] for k in (0, 30, 60, 90)]
+        texts += [ends[0] + left, ends[0] + left + ["one"] + right + ends[1], ends[2] + left + ["two"] + right + ends[3],
+                  ends[2] + left, right + ends[3], right + ends[1]]
+    rows = P.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    clusters = {}
+    for r in rows:
+        clusters.setdefault(r.doc_id // 6, set()).add(r.cluster_id)
+    assert len(rows) >= 48 and {k: len(c) for k, c in clusters.items()} == dict.fromkeys(range(8), 1)
