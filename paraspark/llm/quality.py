@@ -84,7 +84,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 for words in word_hashes(batch.column("text"), fold=False):
                     n_words.append(len(words))
                     repeats.append(repeated_words(words))
-                paths = [model.encode(t, cache) for t in batch.column("text").to_pylist()]
+                paths = model.encode_all(batch.column("text").to_pylist(), cache)
                 byte = [int(np.count_nonzero((p >= lo) & (p <= hi))) for p in paths]
                 kept = [c for c in batch.schema.names if c != "text"]
                 yield pa.record_batch(

@@ -17,7 +17,8 @@ pieces of equal score compete (runs of spaces) the merges are ordered by place,
 of a pair can say: such segments are merged in order.
 
 Segments that no piece can span (before each space, at characters in no piece) are independent,
-so their paths are found once and kept in a bounded cache per task process.
+so their paths are found once and kept in a bounded cache per task process.  The segments of many texts
+that are not there are searched side by side: one numpy step takes the next arc of each of them.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ from pyspark.sql import functions as F
 from paraspark.llm.common import table, text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_SEGMENTS = 200_000     # kept in a task process, about 200 bytes each
+CACHE_SEGMENTS = 100_000     # kept in a task process, about 200 bytes each, besides those of the texts at hand
 CACHE_PAIRS = 400_000        # pairs of pieces, about 100 bytes each
 CACHE_CHARS = 64             # longer segments are not kept
+SEARCHED = 1 << 17           # characters searched side by side
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -70,6 +72,141 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class _Hashed:
+    """Numbers looked up by whole arrays of keys of at least zero: open addressing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int) -> None:
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift, self.low, self.missing = np.uint64(64 - bits), (1 << bits) - 1, missing
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, missing, np.int32)
+        rest, slots = np.arange(len(keys)), self._slots(keys)
+        while len(rest):
+            free = self.keys[slots[rest]] < 0
+            self.keys[slots[rest[free]]] = keys[rest[free]]      # one of several that meet stays
+            placed = self.keys[slots[rest]] == keys[rest]
+            self.values[slots[rest[placed]]] = values[rest[placed]]
+            rest = rest[~placed]
+            slots[rest] = (slots[rest] + 1) & self.low
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.values[slots], self.missing)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) & self.low
+            there = self.keys[slots[rest]]
+            same = there == keys[rest]
+            out[rest[same]] = self.values[slots[rest[same]]]
+            rest = rest[~same & (there >= 0)]
+        return out
+
+
+class _SideBySide:
+    """``Transducer._finite`` for many segments at once: the same depth-first search, an arc of each a step."""
+
+    def __init__(self, model: Transducer) -> None:
+        spell, arcs, rank, ids = model.spell, model.arcs, model.rank, model.vocabulary
+        self.char = np.zeros(0x110000, np.int32)        # 0: in no piece, and the end of a segment
+        inner = sorted({c for p in arcs for c in p if c in arcs})
+        self.char[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.width = len(inner) + 1
+        # the tree of the pieces' heads; node 0 is the empty one
+        nodes, keys, pieces = {"": 0}, [], [-1]
+        for piece in (p for p in arcs if all(c in arcs for c in p)):
+            for size in range(1, len(piece) + 1):
+                if piece[:size] not in nodes:
+                    nodes[piece[:size]] = len(nodes)
+                    keys.append(nodes[piece[:size - 1]] * self.width + int(self.char[ord(piece[size - 1])]))
+                    pieces.append(arcs.get(piece[:size], -1))
+        self.children = _Hashed(np.array(keys, np.int64), np.arange(1, len(nodes), dtype=np.int32), -1)
+        self.piece = np.array(pieces, np.int32)
+        self.size = np.array([len(p) for p in spell], np.int32)
+        # ranks, the parts that pieces are merged from, and the ranks of all pairs that may merge
+        self.rank, self.left, self.right = (np.full(len(spell), x, np.int64) for x in (-1, -1, -1))
+        self.whole = np.ones(len(spell), bool)          # without parts
+        keys, values = [], []
+        for piece, i in ids.items():
+            self.rank[i] = rank[piece]
+            if model.parts[piece]:
+                self.whole[i] = False
+                self.left[i], self.right[i] = (ids.get(x, -1) for x in model.parts[piece])
+            for at in range(1, len(piece)):
+                a, b = ids.get(piece[:at]), ids.get(piece[at:])
+                if a is not None and b is not None:
+                    keys.append(a << 20 | b)
+                    values.append(2 * rank[piece])
+        self.merges = _Hashed(np.array(keys, np.int64), np.array(values, np.int32), 1 << 30)
+
+    def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``Transducer.compatible`` of pairs of ids."""
+        ok = np.ones(len(x), bool)
+        at, limit = np.arange(len(x)), np.full(len(x), 1 << 29, np.int64)    # twice a rank, plus one for the right side
+        while len(at):
+            fine = self.merges.of(x << 20 | y) >= limit
+            ok[at[~fine]] = False
+            one, two = self.rank[x], self.rank[y]
+            left = ~self.whole[x] & (self.whole[y] | (one > two))
+            fine &= left | ~self.whole[y]
+            limit = np.where(left, 2 * one, 2 * two + 1)
+            x, y = np.where(left, self.right[x], x), np.where(left, y, self.left[y])
+            fine &= (x >= 0) & (y >= 0)
+            at, x, y, limit = at[fine], x[fine], y[fine], limit[fine]
+        return ok
+
+    def paths(self, segments: list[str]) -> Iterator[bytes]:
+        """The paths as int32 bytes, in order; all characters of the segments have to be pieces."""
+        sizes = np.array([len(x) + 1 for x in segments])
+        ends = np.cumsum(sizes) - 1
+        chars = self.char[np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le"), np.uint32)]
+        chars[ends] = 0
+        arcs, left = [], np.zeros(len(chars), np.int64)      # by length the pieces from each place on, and which are untried
+        at = np.arange(len(chars))
+        node = np.zeros(len(chars), np.int64)
+        while len(at):
+            there = chars[np.minimum(at + len(arcs), len(chars) - 1)]
+            node = self.children.of(node * self.width + there)
+            some = (node >= 0) & (there > 0)
+            at, node = at[some], node[some].astype(np.int64)
+            if len(at):
+                piece = np.full(len(chars), -1, np.int32)
+                piece[at] = self.piece[node]
+                left[at[piece[at] >= 0]] |= 1 << len(arcs)
+                arcs.append(piece)
+        arcs = np.stack(arcs)
+        via = np.full(len(chars), -1, np.int64)     # the piece that a place is reached by
+        place, goal = ends - sizes + 1, ends
+        while len(place):
+            untried = left[place]
+            go = untried > 0
+            back = place[~go]
+            place[~go] = back - self.size[via[back]]        # leads nowhere
+            start, untried = place[go], untried[go]
+            size = np.frexp(untried.astype(np.float64))[1].astype(np.int64)      # the longest one
+            left[start] = untried ^ (np.int64(1) << (size - 1))
+            piece, before = arcs[size - 1, start].astype(np.int64), via[start]
+            fine = before < 0
+            asked = np.flatnonzero(~fine)
+            fine[asked] = self.compatible(before[asked], piece[asked])
+            via[start[fine] + size[fine]] = piece[fine]
+            place[go] = start + np.where(fine, size, 0)
+            open_ = place < goal
+            place, goal = place[open_], goal[open_]
+        used = np.zeros(len(chars), bool)
+        place, goal = ends, ends - sizes + 1
+        while len(place):
+            used[place] = True
+            place = place - self.size[via[place]]
+            open_ = place > goal
+            place, goal = place[open_], goal[open_]
+        raw = via[used].astype(np.int32).tobytes()
+        to = (4 * np.cumsum(used)[ends]).tolist()
+        return (raw[a:b] for a, b in zip([0, *to], to))
+
+
 class Transducer:
     """A compiled model; ``encode`` and ``decode`` work on whole texts."""
 
@@ -281,6 +418,12 @@ class Transducer:
             return re.findall(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+", text)
         return re.findall(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n", text)
 
+    def encode_all(self, texts: list[str], cache: _Cache) -> list[np.ndarray]:
+        """``encode`` of every text; segments that are not in the cache are searched side by side."""
+        segments = [self.segments(text) for text in texts]
+        cache.fill({x for found in segments for x in found})
+        return [np.frombuffer(b"".join(map(cache.__getitem__, found)), np.int32) for found in segments]
+
     def encode(self, text: str, cache: dict | None = None) -> np.ndarray:
         cache = _Cache(self) if cache is None else cache
         return np.frombuffer(b"".join(map(cache.__getitem__, self.segments(text))), np.int32)
@@ -299,6 +442,42 @@ class _Cache(dict):
     def __init__(self, model: Transducer) -> None:
         super().__init__()
         self.model, self.older = model, {}
+        # lengths are bits of a number, and ids take 20 bits of a pair's key
+        many = model.kind == BPE and model.longest <= 48 and len(model.spell) < 1 << 20
+        self.searched = _SideBySide(model) if many else None
+
+    def fill(self, segments: set[str]) -> None:
+        """Keep the paths of all the given segments but the longest ones and those with ties or odd characters."""
+        if self.searched is None:
+            return
+        if len(self) >= CACHE_SEGMENTS // 2:
+            self.older = dict(self)
+            self.clear()
+        asked, held, two, tied, char = [], 0, SPACE + SPACE, self.model.tied, self.searched.char
+        for x in segments:
+            if x in self or len(x) > CACHE_CHARS or two in x and any(p in x for p in tied):
+                continue
+            path = self.older.get(x)
+            if path is not None:
+                self[x] = path
+                continue
+            asked.append(x)
+            held += len(x) + 1
+            if held > SEARCHED:
+                self._search(asked)
+                asked, held = [], 0
+        if asked:
+            self._search(asked)
+
+    def _search(self, asked: list[str]) -> None:
+        flat = np.frombuffer("".join(asked).encode("utf-32-le"), np.uint32)
+        odd = self.searched.char[flat] == 0
+        if odd.any():
+            ends = np.cumsum([len(x) for x in asked])
+            several = set(np.searchsorted(ends, np.flatnonzero(odd), side="right").tolist())
+            asked = [x for k, x in enumerate(asked) if k not in several]
+        if asked:
+            self.update(zip(asked, self.searched.paths(asked), strict=True))
 
     def __missing__(self, segment: str) -> bytes:
         path = self.older.get(segment)
@@ -364,7 +543,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 texts = batch.column("text").to_pylist()
-                paths = [model.encode(t, cache) for t in texts]
+                paths = model.encode_all(texts, cache)
                 yield pa.record_batch(
                     [batch.column("id"), _arrow_ids(paths), pa.array([len(p) for p in paths], pa.int64()),
                      pa.array([int(np.count_nonzero((p >= lo) & (p <= hi))) for p in paths], pa.int64()),

@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from paraspark.llm import sentencepiece_fst as S
 from paraspark.llm.sentencepiece_fst import MODEL_PATH, Transducer, _Cache, decode_ids, encode_texts
 from tests.llm.helpers import docs, edge_texts, rows_by, sentence
 
@@ -79,3 +80,20 @@ def test_long_runs_of_tied_pieces_are_merged_like_the_library(spark):
     for text in (" " * 5000 + "a", "a" + " " * 777 + "b" + " " * 17, " \n" * 300):
         assert model.encode(text).tolist() == library.encode(text)
     assert len(model.encode(" " * 100_000)) < 10_000
+
+
+def test_segments_searched_side_by_side_take_the_path_of_each():
+    with open(S.MODEL_PATH, "rb") as f:
+        raw = f.read()
+    model, alone = S.Transducer(raw), S.Transducer(raw)
+    cache, rng = S._Cache(model), random.Random(9)
+    pieces = list(model.vocabulary)
+    segments = {"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))[:rng.randint(1, 60)] for _ in range(1000)}
+    segments |= {"".join(rng.choice("abdeinst▁éß漢\0\U0001f600") for _ in range(rng.randint(1, 70))) for _ in range(1000)}
+    cache.fill(segments)
+    assert len(cache) > 1000 and not model.known        # no pair was tried by itself
+    for x in segments:
+        assert cache[x] == S.array("i", alone.path(x)).tobytes()
+    texts = ["", "one two  three\n\nfour", "▁ \0 漢字 \U0001f600 " + "a" * 500, *segments]
+    for t, ids in zip(texts, model.encode_all(texts, cache), strict=True):
+        assert ids.tolist() == alone.encode(t).tolist()
