@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import sized_broadcast, stored, table
+from paraspark.llm.common import sized_broadcast, small_batches, stored, table
 from paraspark.llm.exact_dedup import exact_dedup
 from paraspark.llm.mixing import mix_sources
 from paraspark.llm.ngram_join import ngram_join
@@ -84,7 +84,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
+    """Piece ids of every document of the mix; the texts go to Python in small batches, as the caller writes them."""
+    small_batches(spark)
     return encode_texts(docs)
 
 

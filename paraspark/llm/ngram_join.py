@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty
+from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty, trimmed
 from paraspark.llm.components import components
 from paraspark.llm.shingles import mix, shingle_set, word_hashes
 
@@ -90,7 +90,7 @@ def _add_chunks(batches: Batches) -> Batches:
 def commonness(texts: DataFrame, rows: int, width: int = WIDTH) -> np.ndarray:
     """Per sketch cell the logarithmic count of shingles, one byte each: 16 MB at most."""
     bits, schema = sketch_bits(rows), "chunk int, cells binary"
-    added = (texts.select("text").mapInArrow(_count_cells(bits, width), schema)
+    added = (texts.select("text").mapInArrow(trimmed(_count_cells(bits, width)), schema)
              .repartition("chunk").mapInArrow(_add_chunks, schema))
     levels = np.zeros(1 << bits, np.uint8)
     for k, c in added.collect():
@@ -176,8 +176,8 @@ def _bitmap(nodes: DataFrame, key: str) -> np.ndarray:
     words = (nodes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits")))
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    for w, value in words.collect():
-        bits[w] = np.uint64(value % (1 << 64))
+    found = words.toArrow()     # a row each would take the driver a hundred times as much
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
@@ -295,7 +295,7 @@ class _Join:
         self.texts, self.width, self.percent = texts, width, percent
         spark = texts.sparkSession
         self.levels = spark.sparkContext.broadcast(commonness(texts, texts.count(), width))
-        self.members = stored(texts.mapInArrow(_classes(self.levels, width, percent), "id long, row_key long, n long, "
+        self.members = stored(texts.mapInArrow(trimmed(_classes(self.levels, width, percent)), "id long, row_key long, n long, "
                                                "node long, rare int, tokens array<long>"), "ngram-classes")
         # of the prefixes that several tasks gave for one class, the smallest row's stays
         given = self.members.where(F.size("tokens") > 0)
@@ -308,7 +308,7 @@ class _Join:
         """``(node, tokens)`` of at least the given nodes, from one row each."""
         keys = self.classes.select("node", "row_key").join(nodes.select("node").distinct(), "node")
         bits = self.texts.sparkSession.sparkContext.broadcast(_bitmap(keys, "row_key"))
-        return self.texts.select("row_key", "text").mapInArrow(_sets(bits, self.width), "node long, tokens binary")
+        return self.texts.select("row_key", "text").mapInArrow(trimmed(_sets(bits, self.width)), "node long, tokens binary")
 
     def groups(self) -> DataFrame:
         """``(pivot, node, n)``: classes that share a prefix token with one that may link are in one group."""
@@ -348,7 +348,7 @@ class _Join:
         places = sized_broadcast(placed, placed.count(), BROADCAST_ROWS)
         met = self.sets_of(placed).join(places, "node").select("pivot", "cls", "one", "two", "node", "tokens")
         met = met.repartition("pivot", "cls", "one", "two").sortWithinPartitions("pivot", "cls", "one", "two")
-        return components(stored(met.mapInArrow(_verify(self.levels, self.percent), "a long, b long"), "ngram-links"))
+        return components(stored(met.mapInArrow(trimmed(_verify(self.levels, self.percent)), "a long, b long"), "ngram-links"))
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty
+from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty, trimmed
 from paraspark.llm.sentencepiece_fst import MODEL_PATH, SLICE, cache_of, share_model
 from paraspark.llm.shingles import grams, word_hashes
 
@@ -101,7 +101,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                      F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
                      (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
                      (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
-    return rows.mapInArrow(run, "id long, lang string, n_chars long, word_chars long, n_symbols long, n_dup_lines long, "
+    return rows.mapInArrow(trimmed(run), "id long, lang string, n_chars long, word_chars long, n_symbols long, n_dup_lines long, "
                                 "n_words long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double")
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import table, text_or_empty
+from paraspark.llm.common import table, text_or_empty, trimmed
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE_SEGMENTS = 100_000     # kept in a task process, about 200 bytes each, besides those of the texts at hand
@@ -551,7 +551,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["id", "ids", "n_tokens", "n_byte_tokens", "round_trip"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    out = rows.mapInArrow(run, "id long, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
+    out = rows.mapInArrow(trimmed(run), "id long, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -76,3 +76,33 @@ def test_rows_that_differ_in_the_place_of_a_null_are_told_apart(spark):
     import corpus_pipeline
     rows, name = corpus_pipeline._numbered(spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "x string, y string"))
     assert rows.select(name).distinct().count() == 2
+
+
+def test_texts_go_to_the_last_stage_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "10000")
+        C.encode(spark, docs(spark, ["some text"]), "")
+        assert int(spark.conf.get(setting)) <= 1000
+        spark.conf.set(setting, "10")       # a smaller one stays
+        C.encode(spark, docs(spark, ["some text"]), "")
+        assert spark.conf.get(setting) == "10"
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    import pyarrow as pa
+    from paraspark.llm import common
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append("released")
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = pa.record_batch([pa.array([1])], names=["x"])
+    for found in common.trimmed(lambda batches: (b for b in batches))(iter([batch, batch])):
+        given.append(found.num_rows)
+    assert given == [1, 1, "released"]
