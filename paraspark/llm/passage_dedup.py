@@ -34,11 +34,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty
+from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty, trimmed
 from paraspark.llm.components import components
 from paraspark.llm.ngram_join import (
     BITMAP_BITS,
@@ -67,6 +67,7 @@ POSITIONS = 1 << 14
 KEY_ROWS = 1 << 17  # keys held before they go on
 _PART = 11          # of three parts of 32 words one has as many
 BROADCAST_PAIRS = 200_000   # with their places
+BROADCAST_PLACES = 6_000_000    # of eight bytes each
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -206,7 +207,10 @@ def matches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], grams_a:
 
 
 def _verify(batches: Batches) -> Batches:
-    """Rows arrive by (pivot, part), the pivot's own words first; ``n`` is the length of b if the match is exact."""
+    """Rows arrive by (pivot, part), the pivot's own words first; ``n`` is the length of b if the match is exact.
+
+    A seed holds its place in a above the 32 bits of that in b.
+    """
     at, pivot, pivot_grams = None, None, None
     names = ["a", "b", "a0", "a1", "b0", "b1", "n"]
     for batch in batches:
@@ -216,7 +220,7 @@ def _verify(batches: Batches) -> Batches:
             if b is None:
                 at, pivot, pivot_grams = a, words, grams(words.astype(np.uint64), WIDTH)
             elif at == a:
-                found = set(matches(pivot, words, [(s["i"], s["j"]) for s in seeds], pivot_grams))
+                found = set(matches(pivot, words, [(s >> 32, s & 0xFFFFFFFF) for s in seeds], pivot_grams))
                 out += [(a, b, *m, len(words) if np.array_equal(pivot[m[0]:m[1]], words[m[2]:m[3]]) else None) for m in found]
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 5, strict=True)], names=names)
@@ -349,6 +353,19 @@ def _exact(runs: _Runs, at: np.ndarray, opened: np.ndarray, kinds: np.ndarray, g
             yield key[ok], np.broadcast_to(opened[own][:, None], ok.shape)[ok], start[ok], word[ok] if gap else -1
 
 
+def _packed(columns: list[str]) -> Column:
+    """A place, the columns of 0 or 1 that follow it, and ``opened`` in one number; a struct takes eight bytes for each and more."""
+    packed = F.col(columns[0]).cast("long")
+    for c in (*columns[1:], "opened"):
+        packed = 2 * packed + F.col(c).cast("long")
+    return packed
+
+
+def _unpacked(packed: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``opened`` and the columns that ``_packed`` put together."""
+    return (packed & 1).astype(bool), [packed >> columns, *((packed >> (columns - k)) & 1 for k in range(1, columns))]
+
+
 def _near_keys(make, asked: list[str], fields: list[str], types: list) -> Callable[[Batches], Batches]:
     """Rows ``key, node`` and what ``make`` tells of each key, with ``opened`` of its place."""
     def run(batches: Batches) -> Batches:
@@ -365,8 +382,7 @@ def _near_keys(make, asked: list[str], fields: list[str], types: list) -> Callab
         for batch in batches:
             for node, raw, found in zip(*(batch.column(c) for c in ("node", "words", "places")), strict=True):
                 runs = _Runs(np.frombuffer(raw.as_py(), np.uint32))
-                found = found.values if isinstance(found, pa.ListScalar) else found
-                opened, *given = (found.field(c).to_numpy(zero_copy_only=False) for c in ("opened", *asked))
+                opened, given = _unpacked(found.values.to_numpy(), len(asked))
                 for first in range(0, len(opened), PLACES):
                     part_of = slice(first, first + PLACES)
                     for keys, free, *more in make(runs, given[0][part_of].astype(np.int64), opened[part_of], *(x[part_of] for x in given[1:])):
@@ -382,13 +398,19 @@ def _near_keys(make, asked: list[str], fields: list[str], types: list) -> Callab
     return run
 
 
+def _sized(asked: DataFrame, places: str) -> DataFrame:
+    """Hint a broadcast only if both the rows and all their places are few enough."""
+    rows, held = asked.agg(F.count("*"), F.coalesce(F.sum(F.size(places)), F.lit(0))).first()
+    return sized_broadcast(asked, rows if held <= BROADCAST_PLACES else BROADCAST_PAIRS + 1, BROADCAST_PAIRS)
+
+
 class _Passages:
     """The steps of one search; holds what they share."""
 
     def __init__(self, texts: DataFrame, bands: int) -> None:
         self.texts, spark = texts, texts.sparkSession
         self.reach = (NEARLY if bands == 1 else HALF) - RUN
-        self.members = stored(texts.mapInArrow(_keys(bands), "id long, row_key long, node long, n long, keys array<long>, "
+        self.members = stored(texts.mapInArrow(trimmed(_keys(bands)), "id long, row_key long, node long, n long, keys array<long>, "
                                                "places array<int>"), "passage-keys")
         long = self.members.where(F.col("n") >= WINDOW)
         # equal texts: how many, and the row that stands for them
@@ -422,27 +444,27 @@ class _Passages:
         """``(node, words)`` of at least the given texts, from one row each."""
         keys = self.classes.select("node", "row_key").join(nodes.distinct(), "node")
         bits = self.texts.sparkSession.sparkContext.broadcast(_bitmap(keys, "row_key"))
-        return self.texts.select("row_key", "node", "text").mapInArrow(_words(bits), "node long, words binary")
+        return self.texts.select("row_key", "node", "text").mapInArrow(trimmed(_words(bits)), "node long, words binary")
 
     def links(self, hits: DataFrame) -> DataFrame:
         """Verified matches of the pivots with the other texts of their buckets."""
         own = hits.where("node = lo").groupBy("key").agg(F.min("place").alias("i"))
         pairs = (hits.where("node <> lo").join(own, "key").groupBy(F.col("lo").alias("a"), F.col("node").alias("b"))
-                 .agg(F.collect_set(F.struct("i", F.col("place").alias("j"))).alias("seeds")))
+                 .agg(F.collect_set(F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))).alias("seeds")))
         pairs = stored(pairs, "passage-pairs")
         words = self.words_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         # small tables of places go to all tasks, so that words are shuffled once, to their pivot
         asked = stored(pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), "parts").alias("part"), "b", "seeds"), "passage-asked")
         few = asked.count()
-        partner = (words.withColumnRenamed("node", "b").join(sized_broadcast(asked, few, BROADCAST_PAIRS), "b")
+        partner = (words.withColumnRenamed("node", "b").join(_sized(asked, "seeds"), "b")
                    .select("a", "part", "b", "seeds", "words"))
         pivots = (words.withColumnRenamed("node", "a").join(sized_broadcast(parts, few, BROADCAST_ROWS), "a")
                   .select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"),
-                          F.lit(None).cast("array<struct<i:int,j:int>>").alias("seeds"), "words"))
+                          F.lit(None).cast("array<long>").alias("seeds"), "words"))
         met = (partner.unionByName(pivots).repartition("a", "part")
                .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()))
-        return stored(met.mapInArrow(_verify, "a long, b long, a0 int, a1 int, b0 int, b1 int, n int"), "passage-links")
+        return stored(met.mapInArrow(trimmed(_verify), "a long, b long, a0 int, a1 int, b0 int, b1 int, n int"), "passage-links")
 
     def unsettled(self, hits: DataFrame, links: DataFrame) -> DataFrame:
         """``key, node, place`` of the places that the pivot's matches do not settle, and of the pivots there.
@@ -504,10 +526,10 @@ class _Passages:
     def keyed(self, places: DataFrame, columns: list[str], make, fields: list[str], schema: str) -> DataFrame:
         """The keys that ``make`` gives to the places of each text."""
         asked = places.groupBy("node", *columns).agg(F.max("opened").alias("opened"))
-        asked = stored(asked.groupBy("node").agg(F.collect_list(F.struct(*columns, "opened")).alias("places")), "passage-places")
+        asked = stored(asked.groupBy("node").agg(F.collect_list(_packed(columns)).alias("places")), "passage-places")
         types = [pa.int64() if c.split()[1] == "long" else pa.int32() for c in schema.split(", ")]
-        return (self.words_of(asked.select("node")).join(sized_broadcast(asked, asked.count(), BROADCAST_PAIRS), "node")
-                .mapInArrow(_near_keys(make, columns, fields, types), f"key long, node long, {schema}, opened boolean"))
+        return (self.words_of(asked.select("node")).join(_sized(asked, "places"), "node")
+                .mapInArrow(trimmed(_near_keys(make, columns, fields, types)), f"key long, node long, {schema}, opened boolean"))
 
     def starred(self, rows: DataFrame, also=None) -> DataFrame:
         """Links of all paragraphs of a key, equal but for one edit, with the first of them."""
@@ -522,8 +544,8 @@ class _Passages:
     def equal(self, rest: DataFrame) -> DataFrame:
         """Links of the places that share a whole paragraph, with the first place of the smallest text."""
         asked = stored(rest.groupBy("node").agg(F.collect_set("place").alias("places")), "passage-places")
-        rows = stored(self.words_of(asked.select("node")).join(sized_broadcast(asked, asked.count(), BROADCAST_PAIRS), "node")
-                      .mapInArrow(_whole, "key long, node long, place int"), "passage-whole")
+        rows = stored(self.words_of(asked.select("node")).join(_sized(asked, "places"), "node")
+                      .mapInArrow(trimmed(_whole), "key long, node long, place int"), "passage-whole")
         first = F.min(F.struct("node", "place")).alias("first")
         met = rows.groupBy("key").agg(first, F.max("node").alias("hi")).where("first.node <> hi").select(
             "key", F.col("first.node").alias("a"), F.col("first.place").alias("i"))

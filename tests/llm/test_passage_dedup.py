@@ -299,3 +299,42 @@ def test_matches_elsewhere_do_not_hide_a_near_paragraph(spark):
     for r in rows:
         clusters.setdefault(r.doc_id // 6, set()).add(r.cluster_id)
     assert len(rows) >= 48 and {k: len(c) for k, c in clusters.items()} == dict.fromkeys(range(8), 1)
+
+
+def test_tables_of_places_that_may_be_broadcast_hold_plain_numbers(spark, monkeypatch):
+    rng = random.Random(5)
+    passage, near = sentence(rng, 60), sentence(rng, 60)
+    texts = [" ".join(sentence(rng, 20) + passage + sentence(rng, 20)) for _ in range(3)]
+    texts = docs(spark, texts + [" ".join(near), " ".join(near[:30] + ["other"] + near[31:])])
+    asked = []
+    sized = P.sized_broadcast
+
+    def noted(df, rows, limit):
+        asked.extend(f.dataType.simpleString() for f in df.schema.fields if f.name in ("seeds", "places"))
+        return sized(df, rows, limit)
+
+    monkeypatch.setattr(P, "sized_broadcast", noted)
+    found = sorted(map(tuple, P.repeated_passages(texts).collect()), key=str)
+    # a seed or place as a struct takes the driver 32 bytes and more
+    assert len(asked) >= 4 and set(asked) <= {"array<bigint>", "array<int>"}
+    assert len(found) == 5
+
+
+def test_broadcasts_are_bounded_by_places_too(spark, monkeypatch):
+    hinted = []
+    monkeypatch.setattr(P, "sized_broadcast", lambda df, rows, limit: hinted.append(rows <= limit))
+    few = spark.createDataFrame([(1, [1, 2]), (2, [3])], "node long, places array<long>")
+    monkeypatch.setattr(P, "BROADCAST_PLACES", 3)
+    P._sized(few, "places")
+    monkeypatch.setattr(P, "BROADCAST_PLACES", 2)
+    P._sized(few, "places")
+    P._sized(few.limit(0), "places")
+    assert hinted == [True, False, True]
+
+
+def test_packed_places_come_back(spark):
+    rows = [(0, 0, 1, True), (7, 1, 0, False), ((1 << 31) - 1, 1, 1, True)]
+    frame = spark.createDataFrame(rows, "place int, kind int, gap int, opened boolean")
+    packed = np.array([r[0] for r in frame.select(P._packed(["place", "kind", "gap"])).collect()])
+    opened, given = P._unpacked(packed, 3)
+    assert list(zip(*(x.tolist() for x in given), opened.tolist(), strict=True)) == rows
