@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paraspark.llm.common import sized_broadcast, stored, table, text_or_empty, trimmed
+from paraspark.llm.common import dropped, sized_broadcast, stored, table, text_or_empty, trimmed
 from paraspark.llm.components import components
 from paraspark.llm.ngram_join import (
     BITMAP_BITS,
@@ -66,8 +66,10 @@ PLACES = 4096       # of a text whose keys are made at once
 POSITIONS = 1 << 14
 KEY_ROWS = 1 << 17  # keys held before they go on
 _PART = 11          # of three parts of 32 words one has as many
+_MIDDLE = 35        # equal words on the longer side of an edit: so many or more, or at most one less
 BROADCAST_PAIRS = 200_000   # with their places
 BROADCAST_PLACES = 6_000_000    # of eight bytes each
+BROADCAST_KEYS = 500_000
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -232,7 +234,8 @@ def _whole(batches: Batches) -> Batches:
         keys, nodes, starts = [], [], []
         for node, raw, places in zip(*(batch.column(c).to_pylist() for c in ("node", "words", "places")), strict=True):
             whole = grams(np.frombuffer(raw, np.uint32).astype(np.uint64), WINDOW)
-            at = np.unique(np.concatenate([np.arange(max(0, p + RUN - WINDOW), min(p, len(whole) - 1) + 1) for p in places]))
+            p = np.array(places, np.int64)
+            at = np.flatnonzero(_marked(len(whole), p + RUN - WINDOW, p + 1))
             keys.append(whole[at])
             starts.append(at)
             nodes.append(np.full(len(at), node, np.int64))
@@ -334,6 +337,23 @@ def _varied(runs: _Runs, at: np.ndarray) -> np.ndarray:
     return (kinds >= least)[back].reshape(at.shape)
 
 
+def _narrow(runs: _Runs, at: np.ndarray, opened: np.ndarray, kinds: np.ndarray, gaps: np.ndarray) -> Iterator[tuple]:
+    """Two keys an edit, of which those that share a key of ``_exact`` share one: ``(keys, opened, at, kind, gap, word)``.
+
+    Of the words on both sides, that are 49, the longer side has ``HALF`` and the other 15, or ``_MIDDLE`` and ``WIDTH``.
+    """
+    for gap in (0, 1):
+        for side in (0, 1):
+            own = np.flatnonzero((kinds == side) & (gaps == gap))
+            m = at[own]
+            for part, held in enumerate((HALF, _MIDDLE)):
+                beyond = (WINDOW - _MIDDLE, WIDTH)[part]
+                left, right = ((m - held, m), (m + gap, m + gap + beyond)) if side == 0 else ((m - gap - beyond, m - gap), (m, m + held))
+                ok = runs.inside(left[0], right[1])
+                word = runs.word(m if side == 0 else m - 1)[ok] if gap else -1
+                yield runs.pair(32 + 2 * side + part, left, right)[ok], opened[own][ok], m[ok], side, gap, word
+
+
 def _exact(runs: _Runs, at: np.ndarray, opened: np.ndarray, kinds: np.ndarray, gaps: np.ndarray) -> Iterator[tuple]:
     """Keys of all paragraphs with their edit there: ``(keys, opened, start of the paragraph, word)``.
 
@@ -441,10 +461,11 @@ class _Passages:
         return stored(few.unionByName(many.join(met, "key")), "passage-hits")
 
     def words_of(self, nodes: DataFrame) -> DataFrame:
-        """``(node, words)`` of at least the given texts, from one row each."""
+        """``(node, words)`` of at least the given texts, from one row each; read once, for all rounds."""
         keys = self.classes.select("node", "row_key").join(nodes.distinct(), "node")
         bits = self.texts.sparkSession.sparkContext.broadcast(_bitmap(keys, "row_key"))
-        return self.texts.select("row_key", "node", "text").mapInArrow(trimmed(_words(bits)), "node long, words binary")
+        words = self.texts.select("row_key", "node", "text").mapInArrow(trimmed(_words(bits)), "node long, words binary")
+        return stored(words, "passage-words")
 
     def links(self, hits: DataFrame) -> DataFrame:
         """Verified matches of the pivots with the other texts of their buckets."""
@@ -452,7 +473,10 @@ class _Passages:
         pairs = (hits.where("node <> lo").join(own, "key").groupBy(F.col("lo").alias("a"), F.col("node").alias("b"))
                  .agg(F.collect_set(F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))).alias("seeds")))
         pairs = stored(pairs, "passage-pairs")
-        words = self.words_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+        self.words = words = self.words_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+        # the keys of all texts are not read from here on
+        with_keys, self.members = self.members, stored(self.members.select("id", "node", "n"), "passage-members")
+        dropped(with_keys)
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
         # small tables of places go to all tasks, so that words are shuffled once, to their pivot
         asked = stored(pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), "parts").alias("part"), "b", "seeds"), "passage-asked")
@@ -506,36 +530,47 @@ class _Passages:
         places = self.meeting(marked).select("node", "place", "opened").distinct()
         loose = stored(self.keyed(places, ["place"], _loose, ["place", "around"], "place int, around long"), "passage-loose")
         # places with equal words all around are linked already, so one of them stands for the others
+        dropped(marked)
         places = self.meeting(loose).groupBy("around").agg(F.min(F.struct("node", "place")).alias("one"), F.max("opened").alias("opened"))
         places = places.select("one.*", "opened")
         edits = stored(self.keyed(places, ["place"], partial(_edits, reach=self.reach), ["at", "kind", "gap", "word"], "at int, kind int, gap int, word long"),
                        "passage-edits")
+        dropped(loose)
         nearly = edits.where("kind IN (2, 3)")
         starts = self.starred(nearly.select("key", "node", F.col("at").alias("start"), "opened"))
         met = self.meeting(edits.where("kind NOT IN (2, 3)"), F.min("word") < F.max("word"))
+        # most edits that meet have no 49 equal words around them: two keys tell, before each gives those of 20 paragraphs
+        columns = ["place", "kind", "gap"]
         places = met.select("node", F.col("at").alias("place"), "kind", "gap", "opened")
-        exact = stored(self.keyed(places, ["place", "kind", "gap"], _exact, ["start", "word"], "start int, word long"), "passage-exact")
-        return starts.unionByName(self.starred(exact, F.min("word") < F.max("word"))).distinct()
+        narrow = stored(self.keyed(places, columns, _narrow, ["place", "kind", "gap", "word"], "place int, kind int, gap int, word long"),
+                        "passage-narrow")
+        dropped(edits)
+        places = self.meeting(narrow, F.min("word") < F.max("word")).select("node", *columns, "opened")
+        exact = stored(self.keyed(places, columns, _exact, ["start", "word"], "start int, word long"), "passage-exact")
+        dropped(narrow)
+        more = self.starred(exact, F.min("word") < F.max("word"))
+        dropped(exact)
+        return starts.unionByName(more).distinct()
 
     def meeting(self, rows: DataFrame, also=None) -> DataFrame:
-        """The rows whose key several texts have, one of them at an open place."""
-        several = (F.min("node") < F.max("node")) & F.max("opened")
+        """The rows whose key several texts have, one of them at an open place; if few keys are left, rows are not shuffled."""
+        several = (F.min("node") < F.max("node")) & (F.max("opened") if "opened" in rows.columns else F.lit(True))
         keys = rows.groupBy("key").agg((several if also is None else several & also).alias("several")).where("several").select("key")
-        return rows.join(keys, "key", "left_semi")
+        keys = stored(keys, "passage-met")
+        return rows.join(sized_broadcast(keys, keys.count(), BROADCAST_KEYS), "key", "left_semi")
 
     def keyed(self, places: DataFrame, columns: list[str], make, fields: list[str], schema: str) -> DataFrame:
         """The keys that ``make`` gives to the places of each text."""
         asked = places.groupBy("node", *columns).agg(F.max("opened").alias("opened"))
         asked = stored(asked.groupBy("node").agg(F.collect_list(_packed(columns)).alias("places")), "passage-places")
         types = [pa.int64() if c.split()[1] == "long" else pa.int32() for c in schema.split(", ")]
-        return (self.words_of(asked.select("node")).join(_sized(asked, "places"), "node")
+        return (self.words.join(_sized(asked, "places"), "node")
                 .mapInArrow(trimmed(_near_keys(make, columns, fields, types)), f"key long, node long, {schema}, opened boolean"))
 
     def starred(self, rows: DataFrame, also=None) -> DataFrame:
         """Links of all paragraphs of a key, equal but for one edit, with the first of them."""
-        several = (F.min("node") < F.max("node")) & F.max("opened")
-        first = rows.groupBy("key").agg(F.min(F.struct("node", "start")).alias("first"),
-                                        (several if also is None else several & also).alias("several")).where("several")
+        rows = stored(self.meeting(rows, also).select("key", "node", "start"), "passage-starred")
+        first = rows.groupBy("key").agg(F.min(F.struct("node", "start")).alias("first"))
         first = first.select("key", F.col("first.node").alias("a"), F.col("first.start").alias("a0"))
         return rows.join(first, "key").where("node <> a").select(
             "a", F.col("node").alias("b"), "a0", (F.col("a0") + WINDOW).alias("a1"), F.col("start").alias("b0"),
@@ -544,12 +579,13 @@ class _Passages:
     def equal(self, rest: DataFrame) -> DataFrame:
         """Links of the places that share a whole paragraph, with the first place of the smallest text."""
         asked = stored(rest.groupBy("node").agg(F.collect_set("place").alias("places")), "passage-places")
-        rows = stored(self.words_of(asked.select("node")).join(_sized(asked, "places"), "node")
+        rows = stored(self.words.join(_sized(asked, "places"), "node")
                       .mapInArrow(trimmed(_whole), "key long, node long, place int"), "passage-whole")
-        first = F.min(F.struct("node", "place")).alias("first")
-        met = rows.groupBy("key").agg(first, F.max("node").alias("hi")).where("first.node <> hi").select(
+        whole, rows = rows, stored(self.meeting(rows), "passage-whole")
+        dropped(whole)
+        first = rows.groupBy("key").agg(F.min(F.struct("node", "place")).alias("first")).select(
             "key", F.col("first.node").alias("a"), F.col("first.place").alias("i"))
-        same = rows.join(met, "key").where("node <> a OR place <> i")
+        same = rows.join(first, "key").where("node <> a OR place <> i")
         return same.select("a", F.col("node").alias("b"), F.col("i").alias("a0"), (F.col("i") + WINDOW).alias("a1"),
                            F.col("place").alias("b0"), (F.col("place") + WINDOW).alias("b1")).distinct()
 

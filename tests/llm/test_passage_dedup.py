@@ -1,9 +1,13 @@
 import random
+import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paraspark.llm import common
 from paraspark.llm import passage_dedup as P
 from tests.llm.helpers import WORDS, docs, edge_texts, sentence
 
@@ -338,3 +342,70 @@ def test_packed_places_come_back(spark):
     packed = np.array([r[0] for r in frame.select(P._packed(["place", "kind", "gap"])).collect()])
     opened, given = P._unpacked(packed, 3)
     assert list(zip(*(x.tolist() for x in given), opened.tolist(), strict=True)) == rows
+
+
+def test_used_up_tables_are_dropped(spark, monkeypatch):
+    rng = random.Random(31)
+    base = sentence(rng, 120)
+    texts = [" ".join(sentence(rng, 10) + base[:20 + 9 * k] + [f"edit{k}"] + base[21 + 9 * k:]) for k in range(8)]
+    written, stored = [], P.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        written.append((name, [urlparse(f).path for f in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(P, "stored", noted)
+    rows = P.repeated_passages(docs(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == set(range(8))
+    large = {"passage-keys", "passage-marked", "passage-loose", "passage-edits", "passage-narrow", "passage-exact"}
+    assert large <= {name for name, _ in written}
+    assert {name for name, files in written if name in large and any(Path(f).exists() for f in files)} == set()
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    def shuffles():
+        return set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = shuffles()
+    out = common.stored(spark.range(20_000).groupBy("id").count(), "test-steps")
+    assert out.count() == 20_000
+    for _ in range(50):     # executors delete them soon after
+        left = {f for f in shuffles() - before if f.exists() and f.stat().st_size > 10_000}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_settings_are_as_before_after_a_step_that_fails(spark):
+    name = common._CLEANUP_SETTING
+    before = spark.conf.get(name, "false")
+    with pytest.raises(Exception, match="no such thing"):
+        common.stored(spark.range(1).select(F.raise_error(F.lit("no such thing"))), "test-fails")
+    assert spark.conf.get(name, "false") == before
+
+
+@pytest.mark.parametrize("edit", ["change", "add"])
+def test_edits_that_share_a_paragraph_key_share_one_of_two(edit):
+    rng = np.random.default_rng(13)
+
+    def draw(n):
+        return rng.integers(0, 1 << 32, n).astype(np.uint32)
+    for place in range(5, 45):
+        passage, other = draw(50), None
+        other = passage.copy()
+        if edit == "change":
+            other[place] += 1
+        else:
+            other = np.insert(passage, place, draw(1))
+        texts = [np.concatenate([draw(30), x, draw(30)]) for x in (passage, other)]
+        given = [[np.array(x) for x in zip(*((at, kind, gap) for _, at, kind, gap, _ in near_keys(t, P._edits) if kind in (0, 1)), strict=True)]
+                 for t in texts]
+        exact, narrow = ([{k for k, *_ in near_keys(t, make, *g)} for t, g in zip(texts, given, strict=True)] for make in (P._exact, P._narrow))
+        if exact[0] & exact[1]:
+            assert narrow[0] & narrow[1]
+            # of the edits that meet, only those with a shared key go on, and they give the same paragraphs
+            met = narrow[0] & narrow[1]
+            for t, g, keys in zip(texts, given, exact, strict=True):
+                on = [np.array(x) for x in zip(*{(at, kind, gap) for k, at, kind, gap, _ in near_keys(t, P._narrow, *g) if k in met}, strict=True)]
+                assert exact[0] & exact[1] <= {k for k, *_ in near_keys(t, P._exact, *on)} <= keys
