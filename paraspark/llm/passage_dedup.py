@@ -69,7 +69,7 @@ _PART = 11          # of three parts of 32 words one has as many
 _MIDDLE = 35        # equal words on the longer side of an edit: so many or more, or at most one less
 BROADCAST_PAIRS = 200_000   # with their places
 BROADCAST_PLACES = 6_000_000    # of eight bytes each
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 2_000_000      # of eight bytes, about 130 MB as a hash table
 
 Batches = Iterator[pa.RecordBatch]
 
